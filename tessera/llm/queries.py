@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import media, mixing, packing, urls
 from .common import table
 
 
@@ -11,7 +11,9 @@ def op6_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op6_source_mixing": op6_source_mixing,
+    "op8_media": media.query,
     "op9_url_filters": urls.query,
 }
 
