@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, urls
+from . import language, media, mixing, packing, urls
 from .common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op8_media": media.query,
     "op9_url_filters": urls.query,
+    "op10_language_id": language.query,
 }
 
 ORACLES = {
