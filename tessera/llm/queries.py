@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, packing, urls
+from . import language, lines, media, mixing, packing, simhash, urls
 from .common import table
 
 
@@ -12,13 +12,16 @@ def op6_source_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_line_dedup": lines.query,
     "op6_source_mixing": op6_source_mixing,
+    "op7_simhash": simhash.query,
     "op8_media": media.query,
     "op9_url_filters": urls.query,
     "op10_language_id": language.query,
 }
 
 ORACLES = {
+    "op2_line_dedup": lines.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op9_url_filters": urls.ORACLE,
 }
