@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, media, mixing, packing, simhash, urls
+from . import embeddings, language, lines, media, mixing, packing, simhash, urls
 from .common import table
 
 
@@ -13,6 +13,7 @@ def op6_source_mixing(spark, sf_dir):
 QUERIES = {
     "op1_packing": packing.query,
     "op2_line_dedup": lines.query,
+    "op3_embedding_dedup": embeddings.query,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": simhash.query,
     "op8_media": media.query,
