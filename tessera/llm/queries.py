@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, lines, media, mixing, packing, simhash, urls
+from . import embeddings, html, language, lines, media, mixing, packing, simhash, urls
 from .common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_packing": packing.query,
     "op2_line_dedup": lines.query,
     "op3_embedding_dedup": embeddings.query,
+    "op4_html_extraction": html.query,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": simhash.query,
     "op8_media": media.query,
