@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, language, lines, media, mixing, packing, simhash, urls
+from . import embeddings, html, language, lines, media, mixing, packing, simhash, suffixes, urls
 from .common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_line_dedup": lines.query,
     "op3_embedding_dedup": embeddings.query,
     "op4_html_extraction": html.query,
+    "op5_suffix_dedup": suffixes.query,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": simhash.query,
     "op8_media": media.query,
