@@ -1,7 +1,7 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
 Only vectors of one label and length are compared. Equal vectors are first made one row with a count. Spherical k-means, fitted on a bounded sample
-(SAMPLE vectors by hash), assigns every vector to the cell of its nearest centroid. So that no link is lost, a vector also
+(about SAMPLE vectors by hash), assigns every vector to the cell of its nearest centroid. So that no link is lost, a vector also
 visits each cell in which a vector within the threshold's angle could lie: those whose bisecting plane with its own cell is nearer than the
 sine of that angle. Each vector's links are counted in its own cell, among owners and visitors, so once each. If the sample says that
 cells would not save products (vectors would visit most of them), a label has one cell. Cells are cut into parts of PART rows,
@@ -60,8 +60,9 @@ def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray
 
 def fit(distinct: DataFrame, threshold: float, per_cell: int = PER_CELL, sample: int = SAMPLE) -> dict[tuple, np.ndarray]:
     """Centroids by (label, dim); labels for which cells don't save products have none."""
-    counts = {(r.label, r.dim): r.n for r in distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    rows = distinct.select("label", "dim", "embedding", F.xxhash64("first").alias("h")).orderBy("h").limit(sample).collect()
+    counts = {(r.label, r.dim): r.n for r in distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
+    share = min(1.0, sample / max(1, sum(counts.values())))
+    rows = distinct.filter(F.pmod(F.xxhash64("first"), F.lit(1 << 40)) < int(share * (1 << 40))).select("label", "dim", "embedding").collect()
     by: dict[tuple, list] = {}
     for r in rows:
         by.setdefault((r.label, r.dim), []).append(r.embedding)

@@ -1,7 +1,7 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text (TRAIN_BYTES bytes from at most TRAIN_DOCS
-documents, picked by md5 of doc_id). A text is cut greedily into the longest phrases that occur in the
+documents, drawn by hash of doc_id). A text is cut greedily into the longest phrases that occur in the
 sample (longest matches in the automaton); the language that needs the fewest phrases for each byte wins, ties by name.
 
 Letters outside the samples' ALPHABET most frequent bytes count as one symbol. The automaton is a table of next states,
@@ -156,13 +156,20 @@ def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[fl
 
 
 def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> Parser:
-    """Learns from text and lang of documents that aren't held out, at most train_docs for each language."""
+    """Learns from text and lang of documents that aren't held out: about train_docs for each language, drawn by hash."""
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40))
+    wanted = F.lit(False)
+    for lang, n in counts.items():  # twice as many as needed, so that there are enough
+        wanted |= (F.col("lang") == lang) & (draw < int(min(1.0, (2 * train_docs + 20) / n) * (1 << 40)))
+    drawn: dict[str, list] = {lang: [] for lang in counts}
+    for r in usable.filter(wanted).select("lang", draw.alias("draw"), F.substring("text", 1, train_bytes).alias("text")).collect():
+        drawn[r.lang].append((r.draw, r.text))
     samples = {}
-    for (lang,) in usable.select("lang").distinct().orderBy("lang").collect():
-        rows = usable.filter(F.col("lang") == lang).select(F.md5(F.col("doc_id").cast("string")).alias("shuffled"), F.substring("text", 1, train_bytes).alias("text")).orderBy("shuffled", "text").limit(train_docs).collect()
-        each = max(1, train_bytes // max(1, len(rows)))
-        parts = [plain(r.text) for r in rows]
+    for lang, rows in drawn.items():
+        parts = [plain(text) for _, text in sorted(rows)[:train_docs]]
+        each = max(1, train_bytes // max(1, len(parts)))
         sample = b" ".join(p[:each] for p in parts)
         left = b" ".join(p[each:] for p in parts)  # short documents leave room
         samples[lang] = (sample + b" " + left)[:train_bytes]
