@@ -10,7 +10,7 @@ accumulated, and rows are accumulated within a cell. The number of digits grows
 with a third of all rows is spread like any other. Only the one-row-per-source table is ordered in one task.
 
 Null text has size 0, null source is a source of its own (last in order), empty tables give empty results, repeated
-rows count each, other columns are ignored by `allocate` and kept by `mix`.
+rows count each, other columns are ignored by `allocate` and kept by `mix`, which takes rows of one doc_id for one document repeated.
 """
 
 from __future__ import annotations
@@ -60,9 +60,9 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES
     return levels.select("source_key", "source_size", target.alias("target"))
 
 
-def allocate(docs: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES, keep: tuple[str, ...] = ()) -> DataFrame:
+def allocate(docs: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, virtual_finish (of its first copy), before
-    (words of its source's queue before it), in the order of virtual_finish; columns named in keep are carried along."""
+    (words of its source's queue before it)."""
     sized = materialise(
         docs.select(
             "doc_id",
@@ -70,7 +70,6 @@ def allocate(docs: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES, keep:
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("source_key"),
             word_count(F.col("text")).alias("size"),
             F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("shuffled"),
-            *keep,
         ),
         "mix-sized",
     )
@@ -97,7 +96,6 @@ def allocate(docs: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES, keep:
         taken.cast("long").alias("taken"),
         F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target")).alias("virtual_finish"),
         "before",
-        *keep,
     )
 
 
@@ -114,20 +112,19 @@ def queued(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, copies=COPIES) -> DataFrame:
     """The mixed documents: each copy taken is a row with docs' columns, globally sorted by virtual finish time.
 
-    A copy cut at the end of service keeps its first words with the white space before each."""
-    names = docs.columns
-    tagged = docs.select("doc_id", "source", "text", F.struct(*names).alias("mixed"))
-    rows = allocate(tagged, weights, share, copies, keep=("mixed",)).withColumn("goal", F.floor(F.col("target") + 0.5))
-    rows = rows.select(
-        "mixed",
-        "size",
-        "doc_id",
-        F.explode(F.array(*(F.struct(F.lit(c).alias("copy"), served(c).cast("int").alias("words"), ((F.col("source_size") * c + F.col("before") + F.col("size")) / F.col("target")).alias("finish")) for c in range(copies)))).alias("c"),
-    ).filter("c.words > 0")
-    cut = F.array_join(F.slice(F.regexp_extract_all("mixed.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("c.words")), "")
-    text = F.when(F.col("c.words") < F.col("size"), cut).otherwise(F.col("mixed.text"))
-    rows = rows.orderBy("c.finish", "doc_id", "c.copy")
-    return rows.select(*((text if n == "text" else F.col("mixed")[n]).alias(n) for n in names))
+    Only ids and sizes are queued; texts join by doc_id, which names one text. A copy cut at the end of service keeps its first words
+    with the white space before each, and n_chars, where there is one, follows."""
+    queue = allocate(docs, weights, share, copies).withColumn("goal", F.floor(F.col("target") + 0.5))
+    service = F.array(*(F.struct(F.lit(c).alias("copy"), served(c).cast("int").alias("words"), ((F.col("source_size") * c + F.col("before") + F.col("size")) / F.col("target")).alias("finish")) for c in range(copies)))
+    served_rows = queue.select("doc_id", "size", F.explode(service).alias("c")).filter("c.words > 0")
+    plan = served_rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.collect_list("c").alias("_copies"))
+    one = docs.dropDuplicates(["doc_id"])
+    rows = one.join(plan, one.doc_id.eqNullSafe(F.col("_id"))).withColumn("_c", F.explode("_copies")).orderBy("_c.finish", "doc_id", "_c.copy")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_c.words")), "")
+    rows = rows.withColumn("text", F.when(F.col("_c.words") < F.col("_size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 ORACLE = r"""

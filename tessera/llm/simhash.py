@@ -1,20 +1,24 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-Fingerprints: ASCII letters in lower case, words between ASCII white space, all runs of SHINGLE words; bit i is set if
-it is set in over half of the shingles' XXH64 values. Fewer words: the whole sequence is the one shingle. No words or null: 0.
-
-Search, over distinct fingerprints only: the 64 bits are cut into BLOCKS blocks. Two fingerprints that differ in RADIUS bits or fewer agree
-on at least BLOCKS - RADIUS blocks, so each fingerprint is dealt once for every choice of that many blocks, by their value (its cell), and
-any linked pair meets. Cells of over CELL fingerprints are cut into parts by hash, and a task for each pair of
-parts compares them, so no cell is held whole. Within a task fingerprints are stored vertically: one bit plane for each bit. For
-many queries at once, each plane's differences are added into carry-save counters (ones, twos, and a sticky overflow for
-four and more), and a query's row is abandoned when all its distances exceed the radius. Each block of comparisons gives only a spanning forest, and a distributed component search ends the job.
+Fingerprints: ASCII letters in lower case, words between ASCII white space, all runs of `shingle` words; bit i is set if
+it is set in over half of the shingles' hashes (XXH64; each further 64 bits mix it anew). Fewer words: the whole sequence is the one
+shingle. No words or null: 0.
+
+Search, over distinct fingerprints only: each fingerprint is dealt once for each of several bit masks, by its bits under the mask (its
+cell). For `radius` 3 of 64 bits the masks are all choices of 2 of 5 blocks, so any linked pair meets in a cell. For `similarity`, which
+takes 256 bits, masks are drawn at random, longer and more of them as fingerprints get more, so that a cell stays small and
+a pair at the limit meets with a chance of 0.98. Cells of over CELL fingerprints are cut into parts by hash, and
+a task for each pair of parts compares them, so no cell is held whole. Within a task fingerprints are stored vertically, one bit plane for each bit. For
+many queries at once, each plane's differences are added into carry-save counters with a sticky overflow, and a query's row is
+abandoned when all its distances exceed the radius. Each block of comparisons gives only a spanning forest, and a distributed
+component search ends the job.
 
 Equal texts, repeated rows and empty texts share fingerprints, hence classes; null doc_id is left without a class. Other columns are ignored (and kept by `keep_one`).
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,156 +32,199 @@ from .graph import components, forest
 
 SHINGLE = 3
 RADIUS = 3
-BITS = 64
 BLOCKS = 5
+#: For near copies in general: words of a shingle, Jaccard similarity of the shingles, and the words of 64 bits that tell it.
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE = 4
+#: The mean number of fingerprints that share a random mask's cell, and how many masks that hit once are expected at the limit.
+MEAN_CELL = 64
+EXPECTED_HITS = 4
 CELL = 1024
 #: Fingerprints of neighbouring small cells compared together.
 BATCH = 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        values = [xxhash.xxh64_intdigest(joined, 42)]
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    x = h + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    rows = h.view("u1").reshape(-1, 8)
+    for at in range(0, len(rows), 1 << 14):
+        counts += np.unpackbits(rows[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts > len(rows) / 2, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    found = (text or "").encode("utf-8").lower().split()
+    if not found:
+        return [0] * words
+    joined = b" ".join(found)
+    digest = xxhash.xxh64_intdigest
+    if len(found) <= shingle:
+        values = [digest(joined, 42)]
     else:
-        ends = np.cumsum([len(w) + 1 for w in words])
+        ends = np.cumsum([len(w) + 1 for w in found])
         starts = [0, *ends[:-shingle].tolist()]
-        digest = xxhash.xxh64_intdigest
         values = [digest(joined[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    half = len(values) / 2
-    counts = np.zeros(BITS, np.int64)
-    hashes = np.array(values, "<u8").view("u1").reshape(-1, 8)
-    for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts > half, bitorder="little").tobytes(), "little")
+    h = np.array(values, "<u8")
+    return [majority(mixed(h, i) if i else h) for i in range(words)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns with fp: the fingerprint as a signed long."""
+def names(words: int) -> list[str]:
+    return [f"f{i}" for i in range(words)]
 
-    @F.pandas_udf("long")
-    def of(texts):
-        import pandas as pd
 
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], "u8").view("i8"))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id with the fingerprint's words f0, f1, ... as signed longs."""
 
-    return docs.select(*columns, of(F.col("text")).alias("fp"))
+    def run(batches):
+        for b in batches:
+            f = np.array([fingerprint(t.as_py(), shingle, words) for t in b.column(1)], "u8").reshape(-1, words).view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i], pa.int64()) for i in range(words))], ["doc_id", *names(words)])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names(words)))
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
-    """BITS by words: bit j of word w of plane b is bit b of fingerprint 64 * w + j."""
+    """fp: fingerprints by words. Planes by words: bit j of word w of plane b is bit b of fingerprint 64 * w + j."""
     n = -(-len(fp) // 64) * 64
-    bits = np.zeros((BITS, n), "u1")
-    bits[:, : len(fp)] = np.unpackbits(np.ascontiguousarray(fp).view("u1").reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.zeros((fp.shape[1] * 64, n), "u1")
+    bits[:, : len(fp)] = np.unpackbits(np.ascontiguousarray(fp).view("u1").reshape(len(fp), -1), axis=1, bitorder="little").T
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def within(queries: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, fingerprint) of pairs that differ in radius bits or fewer; radius is 3 or less."""
+def over_radius(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Where the counted distance exceeds the radius: a comparison with a constant, bit by bit from the top."""
+    more, same = over, ~over
+    for j in reversed(range(len(counters))):
+        if radius >> j & 1:
+            same = same & counters[j]
+        else:
+            more = more | (same & counters[j])
+            same = same & ~counters[j]
+    return more
+
+
+def within(queries: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (query, fingerprint) of pairs that differ in radius bits or fewer; both are arrays of fingerprints by words."""
     planes = planes_of(fp)
     live = np.arange(len(queries))
-    ones = np.zeros((len(queries), planes.shape[1]), "u8")
-    twos, over = ones.copy(), ones.copy()
-    for b in range(BITS):
-        asked = ((queries[live] >> np.uint64(b)) & np.uint64(1)) * ALL
-        differ = planes[b][None, :] ^ asked[:, None]
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if b % 8 == 7 and b < BITS - 1:
-            going = ~(over == ALL).all(axis=1)
+    counters = [np.zeros((len(queries), planes.shape[1]), "u8") for _ in range(radius.bit_length())]
+    over = np.zeros((len(queries), planes.shape[1]), "u8")
+    last = len(planes) - 1
+    for b, plane in enumerate(planes):
+        asked = ((queries[live, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) * ALL
+        carry = plane[None, :] ^ asked[:, None]
+        for c in counters:
+            up = c & carry
+            c ^= carry
+            carry = up
+        over |= carry
+        if b % 16 == 15 and radius < b < last:
+            going = ~(over_radius(counters, over, radius) == ALL).all(axis=1)
             if not going.all():
-                live, ones, twos, over = live[going], ones[going], twos[going], over[going]
+                live, over = live[going], over[going]
+                counters = [c[going] for c in counters]
                 if not len(live):
                     return live, live
-    far = over
-    if radius < 3:
-        far = far | (ones & twos)
-    if radius < 2:
-        far = far | twos
-    if radius < 1:
-        far = far | ones
-    near = np.unpackbits((~far).view("u1"), axis=1, bitorder="little")[:, : len(fp)]
+    near = np.unpackbits((~over_radius(counters, over, radius)).view("u1"), axis=1, bitorder="little")[:, : len(fp)]
     q, f = np.nonzero(near)
     return live[q], f
 
 
-def links_of(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links_of(left: np.ndarray, left_id: np.ndarray, right: np.ndarray, right_id: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between two lists of fingerprints."""
     a, b = [], []
     for at in range(0, len(left), BATCH):
         q, f = within(left[at : at + BATCH], right, radius)
-        x, y = forest(left[at : at + BATCH][q].view("i8"), right[f].view("i8"))
+        x, y = forest(left_id[at : at + BATCH][q], right_id[f])
         a.append(x)
         b.append(y)
     return np.concatenate(a or [np.zeros(0, "i8")]), np.concatenate(b or [np.zeros(0, "i8")])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """fps: distinct fp. A spanning forest (a, b) of the graph of fingerprints within radius."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    dealt = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)))).alias("k")).select("fp", F.col("k.way").alias("way"), F.col("k.value").alias("value"))
+def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int, int]]:
+    """(word, mask) for each choice of blocks - radius blocks of 64 bits."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [(0, sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
+
+
+def random_masks(n: int, words: int, radius: int) -> list[tuple[int, int]]:
+    """(word, mask) with as many bits, and so many of them, as n fingerprints need."""
+    bits = max(8, min(48, round(math.log2(max(2, n) / MEAN_CELL))))
+    hit = (1 - radius / (64 * words)) ** bits
+    rng = np.random.default_rng(5)
+    return [(i % words, sum(1 << int(j) for j in rng.choice(64, bits, replace=False))) for i in range(math.ceil(EXPECTED_HITS / hit))]
+
+
+def radius_of(similarity: float, words: int) -> int:
+    """The mean number of differing bits of two documents whose shingles have this Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return math.floor(64 * words * math.acos(cosine) / math.pi)
+
+
+def links(fps: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int = CELL) -> DataFrame:
+    """fps: id and distinct fingerprints f0, ... A spanning forest (a, b), by id, of the graph of fingerprints within radius."""
+    words = len(fps.columns) - 1
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    ways = F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col(f"f{w}").bitwiseAND(F.lit(signed(m))).alias("value")) for i, (w, m) in enumerate(masks)))
+    dealt = fps.select("id", *names(words), F.explode(ways).alias("k")).select("id", *names(words), "k.way", "k.value")
     large = materialise(dealt.groupBy("way", "value").count().filter(F.col("count") > cell).select("way", "value", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "simhash-large")
     # a part meets itself and each other part once: the pair's name is its two numbers in order
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    placed = dealt.join(large, ["way", "value"], "left").select("way", "value", "fp", F.when(F.col("parts").isNull(), 0).otherwise(mine).alias("mine"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(pairs)).alias("p")).select("way", "value", "p.i", "p.j", "mine", "fp")
-    grouped = placed.repartition("way", "value", "i", "j").sortWithinPartitions("way", "value", "i", "j")
+    placed = dealt.join(large, ["way", "value"], "left").select("way", "value", "id", *names(words), F.when(F.col("parts").isNull(), 0).otherwise(mine).alias("mine"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(pairs)).alias("p"))
+    keys = ["way", "value", "i", "j"]
+    grouped = placed.select("way", "value", "p.i", "p.j", "mine", "id", *names(words)).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 200_000:
-                ready, held = split_last(held)
-                yield from compared(ready)
-        if held is not None:
+            if held.num_rows >= 100_000:
+                begun = starts_of(held)
+                if len(begun) > 1:
+                    yield from compared(held.slice(0, int(begun[-1])))
+                    held = held.slice(int(begun[-1]))
+        if held is not None and held.num_rows:
             yield from compared(held)
 
-    def columns(t):
-        return [t.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(6)]
-
-    def split_last(t):
-        way, value, i, j, _, _ = columns(t)
-        same = (way == way[-1]) & (value == value[-1]) & (i == i[-1]) & (j == j[-1])
-        cut = len(same) if same.all() else int(np.nonzero(~same)[0][-1]) + 1
-        return (t.slice(0, cut), t.slice(cut)) if cut < len(same) else (t.slice(0, 0), t)
+    def starts_of(t):
+        cols = [t.column(k).to_numpy() for k in keys]
+        return np.nonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))[0]
 
     def compared(t):
-        if not t.num_rows:
-            return
-        way, value, i, j, mine, fp = columns(t)
-        fp = fp.view("u8")
-        new = np.concatenate([[True], (way[1:] != way[:-1]) | (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        starts = np.nonzero(new)[0]
-        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+        starts = starts_of(t)
+        sizes = np.diff(np.concatenate([starts, [t.num_rows]]))
+        i, j, mine, ids = (t.column(c).to_numpy() for c in ("i", "j", "mine", "id"))
+        fp = np.stack([t.column(n).to_numpy() for n in names(words)], axis=1).view("u8")
         a, b = [], []
-        small = np.repeat((sizes > 1) & (sizes <= BATCH), sizes)
-        few, begun = fp[small], np.nonzero(new[small])[0]
+        few = np.nonzero((sizes > 1) & (sizes <= BATCH))[0]
+        rows = np.nonzero(np.repeat((sizes > 1) & (sizes <= BATCH), sizes))[0]
+        ends = np.cumsum(sizes[few])
         at = 0
-        while at < len(begun):  # whole small cells, up to BATCH fingerprints; links across cells are as true
-            end = max(at + 1, int(np.searchsorted(begun, begun[at] + BATCH, side="right")) - 1)
-            if begun[-1] - begun[at] < BATCH and len(few) - begun[at] <= BATCH:
-                end = len(begun)
-            part = few[begun[at] : begun[end] if end < len(begun) else len(few)]
-            x, y = links_of(part, part, radius)
+        while at < len(few):  # whole small cells, up to BATCH fingerprints; links across cells are as true
+            begun = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, begun + BATCH, side="right")))
+            part = rows[begun : int(ends[end - 1])]
+            x, y = links_of(fp[part], ids[part], fp[part], ids[part], radius)
             a.append(x)
             b.append(y)
             at = end
         for k in np.nonzero(sizes > BATCH)[0]:
-            s = slice(starts[k], starts[k] + sizes[k])
-            members, own = fp[s], mine[s]
-            left, right = (members, members) if i[s.start] == j[s.start] else (members[own == i[s.start]], members[own == j[s.start]])
-            x, y = links_of(left, right, radius)
+            part = np.arange(starts[k], starts[k] + sizes[k])
+            left, right = (part, part) if i[part[0]] == j[part[0]] else (part[mine[part] == i[part[0]]], part[mine[part] == j[part[0]]])
+            x, y = links_of(fp[left], ids[left], fp[right], ids[right], radius)
             a.append(x)
             b.append(y)
         if a:
@@ -187,26 +234,36 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int
     return grouped.mapInArrow(run, "a long, b long")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """prints: doc_id, fp. Returns fp, component_id (smallest doc_id of all documents reachable), one row a fingerprint."""
-    known = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    up = components(links(known.select("fp"), radius, cell=cell)).select(F.col("node").alias("fp"), "root")
-    rooted = known.join(up, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    return materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
+def classes(prints: DataFrame, masks, radius: int, cell: int = CELL) -> DataFrame:
+    """prints: doc_id, f0, ... Returns f0, ... and component_id (smallest doc_id of all documents reachable), one row a fingerprint.
+    masks: a list, or a function of the number of distinct fingerprints."""
+    words = names(len(prints.columns) - 1)
+    known = materialise(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(F.min("doc_id").alias("id")), "simhash-distinct")
+    found = links(known.select("id", *words), masks(known.count()) if callable(masks) else masks, radius, cell)
+    up = components(found).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+    return materialise(known.join(up, "id", "left").select(*words, F.coalesce("component_id", "id").alias("component_id")), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: 64 bits of runs of three words, linked at RADIUS bits or fewer."""
+    prints = materialise(fingerprints(docs), "simhash-prints")
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    return prints.join(classes(prints, block_masks(), RADIUS), "f0", "left").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
-    prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shingle), "simhash-prints")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes(prints, radius), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """doc_id, component_id: linked where the fingerprints tell a similarity of so much or more."""
+    prints = materialise(fingerprints(docs, shingle, words), "simhash-prints")
+    radius = radius_of(similarity, words)
+    found = classes(prints, lambda n: random_masks(n, words, radius), radius)
+    return prints.join(found, names(words), "left").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without those that are near copies of a document with a smaller doc_id."""
-    kept = near_duplicates(docs, shingle, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    groups = similar(docs, **how)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
