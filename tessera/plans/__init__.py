@@ -1,4 +1,6 @@
 """The registered queries: QUERIES by name, ORACLES with the SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import costs, dialogue, graphs, ledger, operations, publishing, quality, retrieval, segments, sourcing, streams, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
