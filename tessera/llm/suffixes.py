@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ LENGTH = 50
 GRAM = 16
 SHALLOW = 16
 #: Bytes hashed together, and the bits that hold a place in them.
-PLACE_BITS = 20
+PLACE_BITS = 18
 BUFFER = 1 << PLACE_BITS
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 4 << 20
 #: Bytes of text for each bucket, and from how many buckets on they grow.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 BUCKETS = 4096
 SAMPLE_DOCS = 20_000
 #: A gram expected in more documents than this is dealt by whole strings.
@@ -208,11 +211,11 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def batches_of(column: pa.Array, most: int = 16 << 20):
+def batches_of(column: pa.Array, most: int = SLICE_BYTES):
     """Slices (start, length) of a batch of about so many bytes."""
-    sizes, start, held = [len(x) for x in encoded(column)], 0, 0
+    sizes, start, held = pc.binary_length(column).to_pylist(), 0, 0
     for i, n in enumerate(sizes):
-        held += n
+        held += n or 0
         if held >= most:
             yield start, i + 1 - start
             start, held = i + 1, 0
@@ -362,7 +365,7 @@ def resolve(docs: DataFrame, open_: DataFrame) -> DataFrame:
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 20_000:
+            if held.num_rows >= 5_000:
                 g = held.column("g").to_numpy()
                 other = np.nonzero(g != g[-1])[0]
                 if len(other):
@@ -394,8 +397,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
+def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left) if asked for."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
@@ -409,30 +412,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     drop_tables(found, rest)
     release(spark)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def cut_slice(ids, texts, listed):
+        out: list[list] = [[] for _ in names[1:]]
+        for at, raw in enumerate(encoded(texts)):
+            gone = np.zeros(len(raw) + 1, np.int8)
+            if listed[at].is_valid:
+                v = listed[at].values.flatten()
+                change = np.zeros(len(raw) + 1, np.int32)
+                start = v[0].to_numpy(zero_copy_only=False).astype("i8")
+                np.add.at(change, start, 1)
+                np.add.at(change, start + v[1].to_numpy(zero_copy_only=False) + LENGTH - 1, -1)
+                gone = (np.cumsum(change, dtype=np.int32) > 0).astype(np.int8)
+            left = np.frombuffer(raw, "u1")[gone[: len(raw)] == 0].tobytes()
+            row = (len(raw), len(raw) - len(left), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest(), left)
+            for c, v in zip(out, row, strict=False):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names)
+
     def cut(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            at = 0
-            listed = b.column("repeats")
-            for raw in encoded(b.column("text")):
-                gone = np.zeros(len(raw) + 1, np.int8)
-                if listed[at].is_valid:
-                    v = listed[at].values.flatten()
-                    change = np.zeros(len(raw) + 1, np.int64)
-                    start = v[0].to_numpy(zero_copy_only=False).astype("i8")
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + v[1].to_numpy(zero_copy_only=False) + LENGTH - 1, -1)
-                    gone = (np.cumsum(change) > 0).astype(np.int8)
-                left = np.frombuffer(raw, "u1")[gone[: len(raw)] == 0].tobytes()
-                for c, v in zip(out, (len(raw), len(raw) - len(left), int((np.diff(gone, prepend=0) == 1).sum()), left, hashlib.sha256(left).hexdigest()), strict=True):
-                    c.append(v)
-                at += 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            for start, size in batches_of(b.column("text")):
+                yield cut_slice(b.column("doc_id").slice(start, size), b.column("text").slice(start, size), b.column("repeats").slice(start, size))
 
     joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "repeats")
-    done = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    done = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
