@@ -28,7 +28,7 @@ TRAIN_DOCS = 48
 ALPHABET = 63
 LANE = 512
 #: Bytes of text parsed together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
 ENDS = np.int32(1 << 30)
 #: ASCII signs and digits, which no language owns, are left out; white space is a space.
@@ -96,7 +96,7 @@ class Parser:
     def __init__(self, samples: dict[str, bytes]):
         self.names = sorted(samples)
         counts = sum((np.bincount(np.frombuffer(s, "u1"), minlength=256) for s in samples.values()), np.zeros(256, int))
-        self.symbol = np.full(256, ALPHABET, np.int32)
+        self.symbol = np.full(256, ALPHABET, np.uint8)
         order = np.argsort(-counts, kind="stable")[:ALPHABET]
         self.symbol[order] = np.arange(len(order))
         self.width = ALPHABET + 1
