@@ -1 +1,66 @@
-"""To come."""
+"""Versions, snapshots and their audits. An order is a card, its line items are the facts."""
+
+from pyspark.sql import functions as F
+
+from .registry import query
+
+
+@query("SELECT o_custkey, count(*) AS versions, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS current, max(o_orderdate) AS published_at FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def current_manifest(t):
+    current = F.max(F.struct("o_orderdate", "o_orderkey"))
+    return t("orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("versions"), current["o_orderkey"].alias("current"), F.max("o_orderdate").alias("published_at"))
+
+
+@query("SELECT l_orderkey, count(*) AS facts, string_agg(DISTINCT l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber || ':' || l_partkey) AS content, sha256(string_agg(DISTINCT l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber || ':' || l_partkey)) AS digest FROM lineitem GROUP BY 1")
+def snapshot_digest(t):
+    """Nested content in a fixed order, and its hash."""
+    fact = F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    c = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("facts"), F.array_join(F.array_sort(F.collect_set(fact)), ",").alias("content"))
+    return c.withColumn("digest", F.sha2("content", 256))
+
+
+@query("SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, CASE WHEN a.l_partkey IS NULL THEN 'ADDED' WHEN b.l_partkey IS NULL THEN 'REMOVED' WHEN a.p IS DISTINCT FROM b.p THEN 'CHANGED' ELSE 'SAME' END AS change FROM (SELECT l_partkey, max(l_suppkey) AS p FROM lineitem WHERE year(l_shipdate) = 1995 GROUP BY 1) a FULL JOIN (SELECT l_partkey, max(l_suppkey) AS p FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1) b ON a.l_partkey = b.l_partkey")
+def version_diff(t):
+    of = lambda y, n: t("lineitem").filter(F.year("l_shipdate") == y).groupBy("l_partkey").agg(F.max("l_suppkey").alias(n))
+    a, b = F.col("a"), F.col("b")
+    change = F.when(a.isNull(), "ADDED").when(b.isNull(), "REMOVED").when(a != b, "CHANGED").otherwise("SAME")
+    return of(1995, "a").join(of(1996, "b"), "l_partkey", "full").select("l_partkey", change.alias("change"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)")
+def purge_list(t):
+    """Cards of stores that are to be purged."""
+    live = t("customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    return t("orders").join(live, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN n IS NULL THEN 'NEW' WHEN open_n = n THEN 'DEFER' WHEN open_n > 0 THEN 'REDRAFT' ELSE 'REASSEMBLE' END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def entity_card_state(t):
+    g = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open_n"))
+    state = F.when(F.col("n").isNull(), "NEW").when(F.col("open_n") == F.col("n"), "DEFER").when(F.col("open_n") > 0, "REDRAFT").otherwise("REASSEMBLE")
+    return t("customer").select("c_custkey").join(g, "c_custkey", "left").select("c_custkey", state.alias("state"))
+
+
+@query("""SELECT 'order without lines' AS rule, count(*) AS violations FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'line without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'discount out of range', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1
+UNION ALL SELECT 'unknown status', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P')""")
+def violation_counts(t):
+    o, li = t("orders"), t("lineitem")
+    rules = [
+        ("order without lines", o.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")),
+        ("line without order", li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")),
+        ("discount out of range", li.filter("l_discount < 0 OR l_discount > 1")),
+        ("unknown status", o.filter("o_orderstatus NOT IN ('O', 'F', 'P')")),
+    ]
+    counts = [d.agg(F.count("*").alias("violations")).select(F.lit(n).alias("rule"), "violations") for n, d in rules]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("SELECT o_clerk AS key, count(*) AS n FROM (SELECT o_custkey || ':' || o_orderpriority AS o_clerk, o_orderstatus FROM orders) GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def idempotency_conflicts(t):
+    """Operation keys that were used with different bodies."""
+    o = t("orders").select(F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderpriority").alias("key"), "o_orderstatus")
+    return o.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("o_orderstatus").alias("bodies")).filter("bodies > 1").select("key", "n")
