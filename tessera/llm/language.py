@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 TRAIN_BYTES = 24_000
 TRAIN_DOCS = 48
@@ -178,6 +178,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN
 
 def identify(docs: DataFrame, parser: Parser, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """columns of docs with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("lang_pred string, score double")

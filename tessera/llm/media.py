@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, table
+from .common import bounded_batches, materialise, scratch_path, table
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
@@ -119,6 +119,7 @@ class Shards:
 
 def store(docs: DataFrame, base: str | None = None) -> DataFrame:
     """The manifest: doc_id, n_bytes, digest, shard, offset, length."""
+    bounded_batches(docs.sparkSession)
     base = base or scratch_path(docs.sparkSession, "media")
 
     def run(batches):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 
 END_ID = 1
 LENGTH = 2048
@@ -92,6 +92,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array(np.full(len(ids), part, "int32")), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "before", "n_tokens", "ids"])
                 before, at = int(ends[-1]), at + len(ids)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary")
 
 

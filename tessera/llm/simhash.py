@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 from .graph import components, forest
 
 SHINGLE = 3
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
             f = np.array([fingerprint(t.as_py(), shingle, words) for t in b.column(1)], "u8").reshape(-1, words).view("i8")
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i], pa.int64()) for i in range(words))], ["doc_id", *names(words)])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names(words)))
 
 

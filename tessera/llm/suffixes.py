@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialise, table
+from .common import bounded_batches, drop_tables, materialise, table
 
 LENGTH = 50
 GRAM = 16
@@ -400,6 +400,7 @@ def release(spark: SparkSession) -> None:
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left) if asked for."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = max(32, min(math.ceil(total / BUCKET_BYTES), max(BUCKETS, total // (16 * BUCKET_BYTES))))
