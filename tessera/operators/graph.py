@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import with_checkpoints
+
 DEPTH = 50
 
 
@@ -12,6 +14,7 @@ def closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """edges: src, dst. (src, dst, hops) of every node reachable by one edge or more, with the least number of hops.
 
     Each round joins only pairs that are new, so the work ends when nothing is."""
+    edges = with_checkpoints(edges)
     found = edges.select("src", "dst").distinct().withColumn("hops", F.lit(1)).checkpoint()
     new, step = found, edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct().checkpoint()
     for hop in range(2, depth + 1):
@@ -25,6 +28,7 @@ def closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def merge_roots(merges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """merges: node, into (one row a node). (node, root, hops): where each chain of merges ends. Chains double each round."""
+    merges = with_checkpoints(merges)
     at = merges.select("node", F.col("into").alias("root"), F.lit(1).alias("hops")).checkpoint()
     for _ in range(depth.bit_length() + 1):
         up = at.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("hops").alias("more"))

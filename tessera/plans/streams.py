@@ -1 +1,66 @@
-"""To come."""
+"""Streaming queries, each with its batch twin as the oracle."""
+
+from pyspark.sql import functions as F
+
+from ..functions.text import question_key
+from ..streaming.jobs import appended, completed, events, stream
+from .dialogue import KEY
+from .registry import query
+
+
+def plain(c):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(t):
+    s = events(t.spark, t.sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return completed(s.select(F.col("w.start").alias("start"), "event_type", "n", "total")).select(plain("start"), "event_type", "n", "total")
+
+
+@query("SELECT w AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1")
+def stream_sliding(t):
+    s = events(t.spark, t.sf_dir).groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return completed(s.select(F.col("w.start").alias("start"), "n")).select(plain("start"), "n")
+
+
+SESSIONS = """SELECT user_id, start, n FROM (SELECT user_id, sid, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM (
+ SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL {} MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2)"""
+
+
+@query(SESSIONS.format(30))
+def stream_session(t):
+    s = events(t.spark, t.sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return completed(s.select("user_id", F.col("w.start").alias("start"), "n")).select("user_id", plain("start"), "n")
+
+
+@query(SESSIONS.format(10))
+def stream_context_ttl(t):
+    """A user's context lives until ten minutes pass without an event."""
+    s = events(t.spark, t.sf_dir).groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return completed(s.select("user_id", F.col("w.start").alias("start"), "n")).select("user_id", plain("start"), "n")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_dedup(t):
+    """Each event once, however often it is delivered within the watermark."""
+    return appended(events(t.spark, t.sf_dir).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def stream_latest(t):
+    newest = F.max(F.struct("ts", "event_id", "event_type"))
+    s = events(t.spark, t.sf_dir).groupBy("user_id").agg(newest.alias("x"))
+    return completed(s.select("user_id", F.col("x.event_type").alias("event_type"), F.col("x.ts").alias("ts"))).select("user_id", "event_type", plain("ts"))
+
+
+@query("SELECT user_id, max(event_id) AS revision, count(*) - 1 AS stale FROM events WHERE event_type = 'click' GROUP BY 1")
+def stream_stale(t):
+    s = events(t.spark, t.sf_dir).filter("event_type = 'click'").groupBy("user_id").agg(F.max("event_id").alias("revision"), (F.count("*") - 1).alias("stale"))
+    return completed(s)
+
+
+@query(f"SELECT {KEY} AS question_key, count(*) AS n, max(conv_id) AS last_conv FROM conversations WHERE role = 'user' GROUP BY 1")
+def stream_pending(t):
+    s = stream(t.spark, t.sf_dir, "conversations").filter("role = 'user'").groupBy(question_key(F.col("text")).alias("question_key")).agg(F.count("*").alias("n"), F.max("conv_id").alias("last_conv"))
+    return completed(s)
