@@ -139,7 +139,7 @@ def records(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
         anchor = place[starts]
         new = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))[0]
         s, n = starts[new], np.diff(np.concatenate([new, [len(starts)]]))
-        g = gram[anchor[new].astype(np.int64)]
+        g = mixed(gram[anchor[new].astype(np.int64)])  # the least hashes are small ones: mixed anew they fill all buckets alike
         owner = np.searchsorted(first, s, side="right") - 1
         common = np.isin(g, hot) if len(hot) else np.zeros(len(g), bool)
         rows = [(g[~common], buffer.hashes(s, s + n + LENGTH - 1, 1)[~common], owner[~common], s[~common], n[~common])]
