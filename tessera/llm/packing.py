@@ -5,7 +5,7 @@ partition. The per-partition totals (one row a partition) become partition offse
 knows its global offset, and cuts it at the window borders. A document over a border gives one record on either side.
 
 The tokeniser splits at white space before it merges, so the ids of a text are those of its words in a row. Words are
-tokenised once per worker and kept in a table of at most CACHE_WORDS words; later words are tokenised again.
+kept in a table, once a worker sees them again, of at most CACHE_WORDS words; others are tokenised anew.
 
 Null text counts as empty: one token. Repeated rows are packed each. No rows give no pieces. Other columns are ignored.
 """
@@ -24,11 +24,13 @@ from .common import bounded_batches, materialise, table
 
 END_ID = 1
 LENGTH = 2048
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
+SEEN_BITS = 22
+MARK = "\x1f"
 #: Characters whose words are looked up together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
-_words: dict[str, dict[str, bytes]] = {}
+_words: dict[str, tuple[dict[str, bytes], bytearray]] = {}
 _tokenizers: dict = {}
 
 
@@ -39,7 +41,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """ids of texts as little-endian bytes, word by word."""
+    """ids of texts as little-endian bytes, word by word. Words seen a second time are kept; a bit field remembers the first time."""
 
     def __init__(self, path: str):
         if path not in _tokenizers:
@@ -49,17 +51,38 @@ class WordIds:
             _tokenizers[path].encode_special_tokens = False
         self.model = _tokenizers[path]
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = _words.setdefault(path, {"": b""})
+        self.known, self.seen = _words.setdefault(path, ({"": b""}, bytearray(1 << SEEN_BITS)))
+        mark = self.model.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
+        known, seen, mask = self.known, self.seen, (1 << SEEN_BITS) - 1
         new = list(set().union(*words).difference(known))
-        fresh = dict(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(known) + len(fresh) <= CACHE_WORDS:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, ws)) for ws in words]
-        return [b"".join([known[w] if w in known else fresh[w] for w in ws]) for ws in words]
+        room = len(known) < CACHE_WORDS
+        known.update(zip(new, self.encoded(new), strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in new:
+            at = hash(w) & mask
+            if not (room and seen[at]):
+                del known[w]
+            seen[at] = 1
+        return out
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Each word's ids; many words are encoded as one text, with a mark between them that is a token of its own."""
+        if self.mark is None or any(MARK in w for w in words):
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        out, size = [], self.dtype.itemsize
+        for e in self.model.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            raw, start = ids.tobytes(), 0
+            for at in (np.nonzero(ids == self.mark)[0] * size).tolist():
+                out.append(raw[start:at])
+                start = at + size
+            out.append(raw[start:])
+        return out
 
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS):
