@@ -30,7 +30,8 @@ LANE = 512
 #: Bytes of text parsed together.
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
-ENDS = np.int32(1 << 30)
+#: A step's number of phrases that end stands above this bit.
+ENDS = 29
 #: ASCII signs and digits, which no language owns, are left out; white space is a space.
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalpha())
 SPACES = bytes(32 if c < 33 or c == 127 else c for c in range(256))
@@ -76,13 +77,14 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def steps(symbols: list[int], width: int) -> np.ndarray:
-    """Next state by state * width + symbol; ENDS is added where a phrase ends before the symbol."""
+    """Next state by state * width + symbol, and from bit ENDS on how many phrases end there."""
     to = automaton(symbols)
     root = np.zeros(width, np.int32)
     for c, s in to[0].items():
         root[c] = s
-    # at the root, a symbol that is not in the sample is a phrase of its own
-    out = np.tile(root | ENDS, (len(to), 1))
+    # a phrase ends where it can't go on; a symbol that isn't in the sample is one more, of its own
+    out = np.tile(root | (1 + (root == 0)) << ENDS, (len(to), 1)).astype(np.int32)
+    out[0] = root | (root == 0) << ENDS
     flat = [(i, c, s) for i, t in enumerate(to) for c, s in t.items()]
     at = np.array(flat, np.int64)
     if len(at):
@@ -130,9 +132,9 @@ class Parser:
                 if not m:
                     break
                 v = next_state[state[:m] * np.int32(self.width) + cols[i, :m]]
-                count[:m] += v >= ENDS
-                state[:m] = v & ~ENDS
-            np.add.at(found[:, k], owner[order], count + 1)
+                count[:m] += v >> ENDS
+                state[:m] = v & ((1 << ENDS) - 1)
+            np.add.at(found[:, k], owner[order], count + (state > 0))
         return found
 
 
@@ -191,9 +193,11 @@ def identify(docs: DataFrame, parser: Parser, columns: tuple[str, ...] = ("doc_i
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that have no letters to judge by."""
-    names = docs.columns
-    return identify(docs, fit(docs), tuple(names)).filter(F.col("lang_pred") != UNKNOWN).select(*names)
+    """docs without those that have no letters to judge by; where there is nothing to learn from, only that counts."""
+    names, parser = docs.columns, fit(docs)
+    if not parser.names:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, parser, tuple(names)).filter(F.col("lang_pred") != UNKNOWN).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

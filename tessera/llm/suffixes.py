@@ -21,7 +21,6 @@ wholly are treated alike and aren't repeats of each other. Matches never cross d
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 
@@ -391,12 +390,6 @@ def resolve(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, FOUND)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished phases, whose results are written tables by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left) if asked for."""
     spark = docs.sparkSession
@@ -405,13 +398,10 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = max(32, min(math.ceil(total / BUCKET_BYTES), max(BUCKETS, total // (16 * BUCKET_BYTES))))
     found = materialise(search(docs, buckets, frequent(docs, n_docs)), "suffix-found")
-    release(spark)
     rest = materialise(resolve(docs, found.filter("g IS NOT NULL")), "suffix-resolved")
-    release(spark)
     repeats = found.filter("g IS NULL").select("doc_id", "s", "n").unionByName(rest.select("doc_id", "s", "n"))
     by_doc = materialise(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("repeats")), "suffix-repeats")
     drop_tables(found, rest)
-    release(spark)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
