@@ -132,3 +132,58 @@ def reorder_slices(t):
     w = F.split("text", " ", -1)
     b = t("benchmark").filter(F.size(w) >= 6)
     return b.select("item_id", F.transform(F.slice(w, 1, 6), lambda x: F.left(x, F.lit(2))).alias("head"), F.array_join(F.concat(F.slice(w, 2, 2), F.slice(w, 1, 1), F.slice(w, 4, 3)), " ").alias("moved"))
+
+
+@query(r"""SELECT p_partkey, unnest(CASE WHEN p_type LIKE '%STEEL%' THEN ['HOT', 'ICE'] WHEN p_type LIKE '%TIN%' THEN ['HOT'] ELSE ['ANY'] END) AS variant FROM part""")
+def dual_variants(t):
+    """A part of both variants is two rows."""
+    kind = F.col("p_type")
+    variants = F.when(kind.contains("STEEL"), F.array(F.lit("HOT"), F.lit("ICE"))).when(kind.contains("TIN"), F.array(F.lit("HOT"))).otherwise(F.array(F.lit("ANY")))
+    return t("part").select("p_partkey", F.explode(variants).alias("variant"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_type), ' '), lambda w: w NOT IN ('small', 'medium', 'large', 'standard', 'economy', 'promo')), ' ') AS name,
+list_filter(string_split(lower(p_type), ' '), lambda w: w IN ('small', 'medium', 'large'))[1] AS size FROM part""")
+def entity_name_parts(t):
+    """The name without its size and grade words, and the size."""
+    sizes, grades = ("small", "medium", "large"), ("standard", "economy", "promo")
+    words = F.split(F.lower("p_type"), " ")
+    among = lambda w, these: F.array_contains(F.array(*map(F.lit, these)), w)
+    name = F.array_join(F.filter(words, lambda w: ~among(w, sizes + grades)), " ")
+    return t("part").select("p_partkey", name.alias("name"), F.get(F.filter(words, lambda w: among(w, sizes)), 0).alias("size"))
+
+
+@query(r"""SELECT p_partkey, CAST(regexp_extract(s, '([0-9]+)\.([0-9]+)', 1) AS BIGINT) AS whole, CAST(regexp_extract(s, '([0-9]+)\.([0-9]+)', 2) AS BIGINT) AS part FROM (SELECT p_partkey, 'price ' || p_size || '.' || (p_partkey % 100) AS s FROM part)""")
+def price_split(t):
+    s = F.concat(F.lit("price "), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 100).cast("string"))
+    pattern = r"([0-9]+)\.([0-9]+)"
+    return t("part").select("p_partkey", F.regexp_extract(s, pattern, 1).cast("bigint").alias("whole"), F.regexp_extract(s, pattern, 2).cast("bigint").alias("part"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE op WHEN 0 THEN q + 5 WHEN 1 THEN q - 5 ELSE q * 3 END AS result, CASE op WHEN 0 THEN 'ADD' WHEN 1 THEN 'SUBTRACT' ELSE 'SCALE' END AS op, CASE op WHEN 0 THEN q + 5 WHEN 1 THEN q - 5 ELSE q * 3 END BETWEEN 0 AND 100 AS inside FROM (SELECT *, l_quantity AS q, l_linenumber % 3 AS op FROM lineitem)")
+def typed_calculation(t):
+    q, op = F.col("l_quantity"), F.col("l_linenumber") % 3
+    result = F.when(op == 0, q + 5).when(op == 1, q - 5).otherwise(q * 3)
+    name = F.when(op == 0, "ADD").when(op == 1, "SUBTRACT").otherwise("SCALE")
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", result.alias("result"), name.alias("op"), result.between(0, 100).alias("inside"))
+
+
+@query(r"""WITH v AS (SELECT DISTINCT string_split(lower(p_type), ' ')[3] AS alias, string_split(lower(p_type), ' ')[1] AS term FROM part) SELECT alias, count(DISTINCT term) AS terms FROM v GROUP BY 1 HAVING count(DISTINCT term) > 1""")
+def lexicon_ambiguity(t):
+    """Aliases that stand for more than one term."""
+    w = F.split(F.lower("p_type"), " ")
+    return t("part").select(F.get(w, 2).alias("alias"), F.get(w, 0).alias("term")).groupBy("alias").agg(F.countDistinct("term").alias("terms")).filter("terms > 1")
+
+
+@query(r"""SELECT item_id, alias FROM benchmark b, (SELECT unnest(['with', 'and', 'der', 'que', 'les']) AS alias) a WHERE regexp_matches(lower(b.text), '(^|[^a-z])' || alias || '([^a-z]|$)')""")
+def lexicon_match(t):
+    """Aliases that stand in a text between boundaries: the five aliases are a fixed list."""
+    aliases = F.broadcast(t.spark.createDataFrame([(a,) for a in ("with", "and", "der", "que", "les")], "alias string"))
+    words = t("benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]"))).alias("alias"))
+    return words.join(aliases, "alias").select("item_id", "alias")
+
+
+@query(r"""SELECT conv_id, turn, contains(text, '###') AS cells, string_split(text, '. ')[1] AS head, len(string_split(text, '. ')) AS parts FROM conversations""")
+def arrow_statements(t):
+    parts = F.split("text", r"\. ", -1)
+    return t("conversations").select("conv_id", "turn", F.contains("text", F.lit("###")).alias("cells"), parts[0].alias("head"), F.size(parts).cast("long").alias("parts"))
