@@ -167,9 +167,9 @@ def random_masks(n: int, words: int, radius: int) -> list[tuple[int, int]]:
 
 
 def radius_of(similarity: float, words: int) -> int:
-    """The mean number of differing bits of two documents whose shingles have this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return math.floor(64 * words * math.acos(cosine) / math.pi)
+    """The differing bits of two documents whose shingles have this Jaccard similarity: the mean and one standard deviation."""
+    bits, p = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
 def links(fps: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int = CELL) -> DataFrame:
