@@ -5,14 +5,18 @@ it is set in over half of the shingles' hashes (XXH64; each further 64 bits mix
 shingle. No words or null: 0.
 
 Search, over distinct fingerprints only: each fingerprint is dealt once for each of several bit masks, by its bits under the mask (its
-cell). For `radius` 3 of 64 bits the masks are all choices of 2 of 5 blocks, so any linked pair meets in a cell. For `similarity`, which
-takes 256 bits, masks are drawn at random, longer and more of them as fingerprints get more, so that a cell stays small and
-a pair at the limit meets with a chance of 0.98. Cells of over CELL fingerprints are cut into parts by hash, and
+cell). For `radius` 3 of 64 bits the masks are all choices of 2 of 5 blocks, so any linked pair meets in a cell. Cells of over CELL
+fingerprints are cut into parts by hash, and
 a task for each pair of parts compares them, so no cell is held whole. Within a task fingerprints are stored vertically, one bit plane for each bit. For
 many queries at once, each plane's differences are added into carry-save counters with a sticky overflow, and a query's row is
 abandoned when all its distances exceed the radius. Each block of comparisons gives only a spanning forest, and a distributed
 component search ends the job.
 
+`similar` links documents whose sets of shingles have a Jaccard similarity of `similarity` or more. Fingerprints of 256 bits only find candidates
+for it: one row for each distinct set is dealt by BANDS bands of min-hashes (a pair at 0.8 meets in none with a chance of 2e-5, whatever
+the number of documents), and pairs in a cell are candidates within a radius of six standard deviations over the mean. The components of the candidates
+are groups; within each group, in pairs of parts where it is large, the sets themselves are compared, and only links that hold count.
+
 Equal texts, repeated rows and empty texts share fingerprints, hence classes; null doc_id is left without a class. Other columns are ignored (and kept by `keep_one`).
 """
 
@@ -37,13 +41,18 @@ BLOCKS = 5
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE = 4
-#: The mean number of fingerprints that share a random mask's cell, and how many masks that hit once are expected at the limit.
-MEAN_CELL = 64
-EXPECTED_HITS = 4
+#: Bands of so many min-hashes: at similarity 0.8 a band agrees with a chance of 0.26, at 0.5 of 0.016, at 0.3 of 0.0007.
+BANDS = 36
+BAND = 6
 CELL = 1024
+#: Sets of shingles in a part of a group.
+PART = 512
 #: Fingerprints of neighbouring small cells compared together.
 BATCH = 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+KEYS = ["way", "value", "i", "j"]
+#: Odd numbers that make a hash function of each min-hash.
+DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND), dtype="u8") << np.uint64(1) | np.uint64(1)
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -62,10 +71,11 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts > len(rows) / 2, bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of all runs of words, with repeats."""
     found = (text or "").encode("utf-8").lower().split()
     if not found:
-        return [0] * words
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     digest = xxhash.xxh64_intdigest
     if len(found) <= shingle:
@@ -74,10 +84,33 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> lis
         ends = np.cumsum([len(w) + 1 for w in found])
         starts = [0, *ends[:-shingle].tolist()]
         values = [digest(joined[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(values, "<u8")
+    return np.array(values, "<u8")
+
+
+def fingerprint_of(h: np.ndarray, words: int) -> list[int]:
+    if not len(h):
+        return [0] * words
     return [majority(mixed(h, i) if i else h) for i in range(words)]
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    return fingerprint_of(shingle_hashes(text, shingle), words)
+
+
+def bands_of(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band: the min-hashes of a set of hashes, BAND at a time. None for an empty set."""
+    if not len(distinct):
+        return np.zeros(0, "u8")
+    flip, times = DRAWN
+    least = np.full(BANDS * BAND, ALL)
+    for at in range(0, len(distinct), 256):
+        np.minimum(least, ((distinct[at : at + 256, None] ^ flip) * times).min(axis=0), out=least)
+    key = np.zeros(BANDS, "u8")
+    for one in least.reshape(BANDS, BAND).T:
+        key = mixed(key ^ one, 1)
+    return key
+
+
 def names(words: int) -> list[str]:
     return [f"f{i}" for i in range(words)]
 
@@ -94,6 +127,26 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names(words)))
 
 
+def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, the digest s0, s1 of the set of shingles, the fingerprint's words and the bands' keys."""
+
+    def run(batches):
+        for b in batches:
+            s, f, keys = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), shingle)
+                distinct = np.unique(h)
+                s.append([xxhash.xxh64_intdigest(distinct.tobytes(), seed) for seed in (1, 2)])
+                f.append(fingerprint_of(h, words))
+                keys.append(bands_of(distinct).view("i8"))
+            at = np.array([*s], "u8").reshape(-1, 2).view("i8")
+            fp = np.array(f, "u8").reshape(-1, words).view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(at[:, i]) for i in range(2)), *(pa.array(fp[:, i]) for i in range(words)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "s0", "s1", *names(words), "bands"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names(words)) + ", bands array<long>")
+
+
 def planes_of(fp: np.ndarray) -> np.ndarray:
     """fp: fingerprints by words. Planes by words: bit j of word w of plane b is bit b of fingerprint 64 * w + j."""
     n = -(-len(fp) // 64) * 64
@@ -158,41 +211,39 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int, i
     return [(0, sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
 
 
-def random_masks(n: int, words: int, radius: int) -> list[tuple[int, int]]:
-    """(word, mask) with as many bits, and so many of them, as n fingerprints need."""
-    bits = max(8, min(48, round(math.log2(max(2, n) / MEAN_CELL))))
-    hit = (1 - radius / (64 * words)) ** bits
-    rng = np.random.default_rng(5)
-    return [(i % words, sum(1 << int(j) for j in rng.choice(64, bits, replace=False))) for i in range(math.ceil(EXPECTED_HITS / hit))]
-
-
 def radius_of(similarity: float, words: int) -> int:
-    """The differing bits of two documents whose shingles have this Jaccard similarity: the mean and one standard deviation."""
+    """The differing bits of two documents whose shingles have this Jaccard similarity: the mean and six standard deviations (sets of
+    a few shingles, where ties are common, differ by up to 48 bits on average where the formula says 39)."""
     bits, p = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
-def links(fps: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int = CELL) -> DataFrame:
-    """fps: id and distinct fingerprints f0, ... A spanning forest (a, b), by id, of the graph of fingerprints within radius."""
-    words = len(fps.columns) - 1
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    ways = F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col(f"f{w}").bitwiseAND(F.lit(signed(m))).alias("value")) for i, (w, m) in enumerate(masks)))
-    dealt = fps.select("id", *names(words), F.explode(ways).alias("k")).select("id", *names(words), "k.way", "k.value")
+def in_parts(dealt: DataFrame, cell: int) -> DataFrame:
+    """dealt: way, value (the cell), id and others. Cells of over `cell` rows as pairs (i, j) of parts; a cell's or pair's rows are in one partition, in order."""
+    rest = [c for c in dealt.columns if c not in ("way", "value")]
     large = materialise(dealt.groupBy("way", "value").count().filter(F.col("count") > cell).select("way", "value", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "simhash-large")
     # a part meets itself and each other part once: the pair's name is its two numbers in order
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    placed = dealt.join(large, ["way", "value"], "left").select("way", "value", "id", *names(words), F.when(F.col("parts").isNull(), 0).otherwise(mine).alias("mine"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(pairs)).alias("p"))
-    keys = ["way", "value", "i", "j"]
-    grouped = placed.select("way", "value", "p.i", "p.j", "mine", "id", *names(words)).repartition(*keys).sortWithinPartitions(*keys)
+    placed = dealt.join(large, ["way", "value"], "left").select("way", "value", *rest, F.when(F.col("parts").isNull(), 0).otherwise(mine).alias("mine"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(pairs)).alias("p"))
+    return placed.select("way", "value", "p.i", "p.j", "mine", *rest).repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def starts_of(t: pa.Table) -> np.ndarray:
+    cols = [t.column(k).to_numpy() for k in KEYS]
+    return np.nonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))[0]
+
+
+def whole_groups(compared, rows: int):
+    """A function for mapInArrow that hands `compared` tables of whole groups, of about so many rows."""
 
     def run(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 100_000:
+            if held.num_rows >= rows:
                 begun = starts_of(held)
                 if len(begun) > 1:
                     yield from compared(held.slice(0, int(begun[-1])))
@@ -200,9 +251,19 @@ def links(fps: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int =
         if held is not None and held.num_rows:
             yield from compared(held)
 
-    def starts_of(t):
-        cols = [t.column(k).to_numpy() for k in keys]
-        return np.nonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))[0]
+    return run
+
+
+def masked(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """fps: id, f0, ... Each row once for each mask, with its cell."""
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    ways = F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col(f"f{w}").bitwiseAND(F.lit(signed(m))).alias("value")) for i, (w, m) in enumerate(masks)))
+    return fps.select("*", F.explode(ways).alias("k")).select(*fps.columns, "k.way", "k.value")
+
+
+def links(dealt: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
+    """dealt: id, f0, ... and way, value (the cell). A spanning forest (a, b), by id, of the graph of fingerprints that meet in a cell and are within radius."""
+    words = len(dealt.columns) - 3
 
     def compared(t):
         starts = starts_of(t)
@@ -232,15 +293,14 @@ def links(fps: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int =
             x, y = forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return grouped.mapInArrow(run, "a long, b long")
+    return in_parts(dealt, cell).mapInArrow(whole_groups(compared, 100_000), "a long, b long")
 
 
-def classes(prints: DataFrame, masks, radius: int, cell: int = CELL) -> DataFrame:
-    """prints: doc_id, f0, ... Returns f0, ... and component_id (smallest doc_id of all documents reachable), one row a fingerprint.
-    masks: a list, or a function of the number of distinct fingerprints."""
+def classes(prints: DataFrame, masks: list[tuple[int, int]], radius: int, cell: int = CELL) -> DataFrame:
+    """prints: doc_id, f0, ... Returns f0, ... and component_id (smallest doc_id of all documents reachable), one row a fingerprint."""
     words = names(len(prints.columns) - 1)
     known = materialise(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    found = links(known.select("id", *words), masks(known.count()) if callable(masks) else masks, radius, cell)
+    found = links(masked(known.select("id", *words), masks), radius, cell)
     up = components(found).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
     return materialise(known.join(up, "id", "left").select(*words, F.coalesce("component_id", "id").alias("component_id")), "simhash-classes")
 
@@ -252,12 +312,73 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes(prints, block_masks(), RADIUS), "f0", "left").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """doc_id, component_id: linked where the fingerprints tell a similarity of so much or more."""
-    prints = materialise(fingerprints(docs, shingle, words), "simhash-prints")
-    radius = radius_of(similarity, words)
-    found = classes(prints, lambda n: random_masks(n, words, radius), radius)
-    return prints.join(found, names(words), "left").select("doc_id", "component_id")
+def true_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs, of one in left and one in right, whose sets have this Jaccard similarity. Pairs that are joined already aren't compared."""
+    sizes = np.array([len(x) for x in sets])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    root, mark = np.arange(len(sets)), np.zeros(len(known), bool)
+    a, b = [], []
+    for q in left:
+        asked = right[(root[right] != root[q]) & (np.minimum(sizes[right], sizes[q]) >= similarity * np.maximum(sizes[right], sizes[q]) - 1e-6)]
+        if not len(asked):
+            continue
+        mine = flat[begin[q] : begin[q] + sizes[q]]
+        mark[mine] = True
+        n = sizes[asked]
+        at = np.cumsum(n) - n
+        both = np.add.reduceat(mark[flat[np.repeat(begin[asked] - at, n) + np.arange(n.sum())]], at, dtype=np.int64)
+        mark[mine] = False
+        hit = asked[both / (n + sizes[q] - both) >= similarity]
+        for r in np.unique(root[hit]):
+            a.append(q)
+            b.append(r)
+            root[root == r] = root[q]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(docs: DataFrame, candidates: DataFrame, similarity: float, shingle: int, part: int) -> DataFrame:
+    """candidates: (node, root), the components of candidate links. A spanning forest (a, b) of the links that hold within each of them."""
+    members = candidates.select(F.col("node").alias("id"), F.col("root").alias("value")).unionByName(candidates.select(F.col("root").alias("id"), F.col("root").alias("value")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").dropDuplicates(["id", "text"]).select("id", "value", "text")
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view("i8") for t in b.column(2)]
+            some = [i for i, x in enumerate(found) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(some), pa.int16()), b.column(1).take(some), b.column(0).take(some), pa.array([found[i] for i in some], pa.list_(pa.int64()))], ["way", "value", "id", "shingles"])
+
+    def compared(t):
+        starts = starts_of(t)
+        ends = [*starts[1:], t.num_rows]
+        i, j, mine, ids = (t.column(c).to_numpy() for c in ("i", "j", "mine", "id"))
+        shingles = t.column("shingles").combine_chunks()
+        flat, offsets = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        a, b = [], []
+        for start, end in zip(starts, ends, strict=True):
+            rows = np.arange(end - start)
+            here = mine[start:end]
+            left, right = (rows, rows) if i[start] == j[start] else (rows[here == i[start]], rows[here == j[start]])
+            x, y = true_links([flat[offsets[k] : offsets[k + 1]] for k in range(start, end)], left, right, similarity)
+            a.append(ids[start + x])
+            b.append(ids[start + y])
+        x, y = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    held = materialise(texts.mapInArrow(sets, "way short, value long, id long, shingles array<long>"), "simhash-sets")
+    return in_parts(held, part).mapInArrow(whole_groups(compared, 2 * part), "a long, b long")
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE, cell: int = CELL, part: int = PART) -> DataFrame:
+    """doc_id, component_id: linked where the sets of shingles have a Jaccard similarity of so much or more."""
+    prints = materialise(sketches(docs, shingle, words), "simhash-prints")
+    whole = ["s0", "s1"]
+    known = materialise(prints.filter("doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in [*names(words), "bands"])), "simhash-distinct")
+    dealt = known.select("id", *names(words), F.posexplode("bands").alias("way", "value")).withColumn("way", F.col("way").cast("short"))
+    candidates = components(links(dealt, radius_of(similarity, words), cell))
+    up = components(verified(docs, candidates, similarity, shingle, part)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+    found = materialise(known.join(up, "id", "left").select(*whole, F.coalesce("component_id", "id").alias("component_id")), "simhash-classes")
+    return prints.join(found, whole, "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -93,6 +93,48 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, *[i for i, _ in other], 200]
 
 
+def shingles_of(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_similar(rows):
+    sets = [shingles_of(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    return {rows[i][0]: rows[r][0] for i, r in enumerate(union_find(len(rows), near))}
+
+
+@pytest.mark.parametrize(("cell", "part"), [(1024, 512), (8, 4)])
+def test_similar_pairs_about_the_limit_against_brute_force(spark, cell, part):
+    """Pairs of similarity 0.70 to 0.90, sets of a few shingles, and a family whose members are near the limit to each other."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    rows = []
+    for k in range(160):
+        n = int(rng.integers(8, 14)) if k % 4 == 0 else 204
+        base = [word() for _ in range(n)]
+        copy = base[: n - 1 - int(rng.integers(0, 3))] if k % 4 == 0 else base[: int((n - 4) * (0.70 + 0.2 * k / 160)) + 4]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    base = [word() for _ in range(104)]
+    rows += [(1000 + i, " ".join(base[:k] + [word()] * 9 + base[k + 9 :])) for i, k in enumerate(rng.integers(0, 95, 40).tolist())]
+    want = brute_similar(rows)
+    linked = sum(want[2 * k + 1] == 2 * k for k in range(160))
+    assert 60 < linked < 120
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cell=cell, part=part).collect()}
+    assert got == want
+
+
+def test_bands_meet_at_the_limit():
+    """Pairs at similarity 0.8 share a band as often as the docstring says; unlike sets don't."""
+    rng = np.random.default_rng(12)
+    met = []
+    for n in [4, 40, 400] * 20:
+        h = rng.integers(0, 1 << 63, n * 5 // 4, dtype="u8")
+        met.append(int((simhash.bands_of(h) == simhash.bands_of(h[:n])).sum()))
+        assert not (simhash.bands_of(h) == simhash.bands_of(h + np.uint64(1))).any()
+    assert min(met) > 0 and 7 < np.mean(met) < 12
+
+
 def test_simhash_query_edges(spark):
     _, _, d = near_docs(spark)
     rows = simhash.near_duplicates(d.drop("component_id")).collect()
