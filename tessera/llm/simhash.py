@@ -128,16 +128,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
 
 
 def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, the digest s0, s1 of the set of shingles, the fingerprint's words and the bands' keys."""
+    """doc_id, the digest s0, s1 of the set of shingles, and the set's fingerprint (repeats don't count) and bands."""
 
     def run(batches):
         for b in batches:
             s, f, keys = [], [], []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), shingle)
-                distinct = np.unique(h)
+                distinct = np.unique(shingle_hashes(t.as_py(), shingle))
                 s.append([xxhash.xxh64_intdigest(distinct.tobytes(), seed) for seed in (1, 2)])
-                f.append(fingerprint_of(h, words))
+                f.append(fingerprint_of(distinct, words))
                 keys.append(bands_of(distinct).view("i8"))
             at = np.array([*s], "u8").reshape(-1, 2).view("i8")
             fp = np.array(f, "u8").reshape(-1, words).view("i8")

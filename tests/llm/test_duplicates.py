@@ -124,6 +124,16 @@ def test_similar_pairs_about_the_limit_against_brute_force(spark, cell, part):
     assert got == want
 
 
+def test_repeats_of_a_shingle_do_not_count(spark):
+    """A line repeated 60 times neither parts texts of similar sets nor links texts that share nothing else."""
+    rng = np.random.default_rng(13)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    line, same = text(14), text(200)
+    rows = [(0, f"{same} {line}"), (1, f"{same} " + f"{line} " * 60), (2, f"{text(200)} " + f"{line} " * 60), (3, f"{text(200)} " + f"{line} " * 60)]
+    assert brute_similar(rows) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_bands_meet_at_the_limit():
     """Pairs at similarity 0.8 share a band as often as the docstring says; unlike sets don't."""
     rng = np.random.default_rng(12)
