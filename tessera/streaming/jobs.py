@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
 
-WATERMARK = "1 hour"
-
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream. The file source takes a pattern, so a single file serves as well as a folder of them."""
@@ -19,8 +17,8 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their time as an instant (UTC) and a watermark."""
-    return stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+    """Events with their time as an instant (UTC). There is no watermark: a replay's files are in no order of time, and a watermark would drop what comes late."""
+    return stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def appended(out: DataFrame) -> DataFrame:

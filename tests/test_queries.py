@@ -23,6 +23,13 @@ def test_stream_matches_batch_twin(spark, con, sf, name):
     assert verify.differs(spark, con, name, sf) == ""
 
 
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_session", "stream_context_ttl"])
+def test_stream_does_not_depend_on_files(spark, sf, tmp_path, name):
+    """Twelve files in no order of time, so several micro-batches, and each event delivered once."""
+    spark.read.parquet(f"{sf}/events.parquet").repartition(12, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert verify.differs(spark, verify.views(str(tmp_path)), name, str(tmp_path)) == ""
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1
