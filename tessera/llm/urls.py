@@ -19,8 +19,6 @@ from .common import materialise, table
 
 BROADCAST_ROWS = 100_000
 SALTS = 64
-#: Path segments that a prefix entry may have.
-DEPTH = 4
 
 
 def host_of(url: Column) -> Column:
@@ -41,23 +39,29 @@ def validity(entries: DataFrame) -> DataFrame:
     return one.select("kind", "key", "action", F.col("entry_date").alias("valid_from"), F.lead("entry_date").over(day).alias("valid_to")).filter("action <> 'remove'")
 
 
-def candidate_keys(host: Column, path: Column) -> Column:
-    """All keys of a capture: parent domains of its host, and its host with 1 to DEPTH path segments."""
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def candidate_keys(host: Column, path: Column, depths: list[int]) -> Column:
+    """All keys of a capture: parent domains of its host, and its host with as many path segments as entries of the list have (depths)."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    deep = F.least(F.size(parts), F.lit(DEPTH))
-    prefixes = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key"))))
-    return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<struct<kind:string,key:string>>"))))
+    parts = segments(path)
+    held = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: i <= F.size(parts))
+    prefixes = F.transform(held, lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")))
+    return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(domains, prefixes))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """captures: capture_id, url, fetched (date). Returns capture_id, url, host, fetched, blocked, rule, rule_kind, n_active."""
     active = materialise(validity(entries), "url-list")
+    deep = F.when(F.col("kind") == "prefix", F.size(segments(F.col("key"))) - 1)
+    listed = active.agg(F.count("*").alias("n"), F.collect_set(deep).alias("depths")).first()
     asked = captures.select("capture_id", "url", "fetched", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     asked = asked.withColumn("row", F.monotonically_increasing_id())
-    keys = asked.select("*", F.explode_outer(candidate_keys(F.col("host"), F.col("path"))).alias("k")).select("row", "capture_id", "url", "host", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
-    if active.count() <= broadcast_rows:
+    keys = asked.select("*", F.explode_outer(candidate_keys(F.col("host"), F.col("path"), sorted(d for d in listed.depths if d > 0))).alias("k")).select("row", "capture_id", "url", "host", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
+    if listed.n <= broadcast_rows:
         joined = keys.join(F.broadcast(active), ["kind", "key"], "left")
     else:
         salted = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

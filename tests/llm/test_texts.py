@@ -133,6 +133,17 @@ def test_url_filter_by_day(spark, broadcast_rows):
     assert urls.filter_urls(caps.limit(0), listed).count() == 0 and urls.filter_urls(caps, listed.limit(0)).filter("blocked").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_url_prefixes_of_any_depth(spark, broadcast_rows):
+    listed = [("deep.example/a/b/c/d/e/f", "block"), ("deep.example/a/b", "allow"), ("deep.example/a/b/c/d/e/f/g/h/i", "allow")]
+    entries = spark.createDataFrame([(day("2024-01-01"), "prefix", k, a) for k, a in listed], "entry_date date, kind string, key string, action string")
+    asked = [(1, "a/b/c/d/e"), (2, "a/b/c/d/e/f"), (3, "a//b/c/d/e/f/g?q"), (4, "a/b/c/d/e/f/g/h/i/j"), (5, "a"), (6, "")]
+    caps = spark.createDataFrame([(i, f"https://deep.example/{p}", day("2024-02-01")) for i, p in asked], "capture_id long, url string, fetched date")
+    found = {r.capture_id: (r.blocked, r.rule, r.n_active) for r in urls.filter_urls(caps, entries, broadcast_rows, salts=4).collect()}
+    a, b, c = (k for k, _ in listed)
+    assert found == {1: (False, b, 1), 2: (True, a, 2), 3: (True, a, 2), 4: (False, c, 3), 5: (False, None, 0), 6: (False, None, 0)}
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "en", None if i % 9 == 0 else f"s{min(i % 7, 4)}") for i in range(400)] + [(400, None, "en", "s1"), (401, "w " * 3000, "en", "s2")]
