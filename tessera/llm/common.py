@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temp folder where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temp folder, in local mode only."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_scratch", None)
     if not found:
-        found = getattr(spark.sparkContext, "_tessera_scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext._tessera_scratch = found
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = sc._tessera_scratch = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return found.rstrip("/")
 
 
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch paths of the session that are not deleted yet."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tessera_paths"):
+        sc._tessera_paths = []
+    return sc._tessera_paths
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    scratch_paths(spark).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -56,10 +67,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
+    if path in scratch_paths(spark):
+        scratch_paths(spark).remove(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def step(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What build() returns, written; the scratch tables that it made on the way are deleted."""
+    before = len(scratch_paths(spark))
+    done = materialise(build(), name)
+    for path in scratch_paths(spark)[before:-1]:
+        drop_path(spark, path)
+    return done
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for df in tables:

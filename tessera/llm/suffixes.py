@@ -13,10 +13,12 @@ of the corpus would write it many times over, so only those that may have an equ
 3. The repeats of a document are united and cut out of its text.
 
 Grams that are frequent in a bounded sample of documents (SAMPLE_DOCS rows) are dealt by each whole string instead, so no task gathers a
-passage that a third of the documents share; equal records of one batch are settled before the shuffle.
+passage that a third of the documents share; equal records of one batch are settled before the shuffle. In step 2 a gram with over CROWD open segments
+is dealt by whole strings too: their least doc_id is aggregated, and the strings of others join it.
 
-Null text is empty. Texts under LENGTH bytes keep all. A null doc_id counts as the largest. doc_id names one text: rows that repeat it
-wholly are treated alike and aren't repeats of each other. Matches never cross documents. Other columns are ignored.
+Null text is empty. Texts under LENGTH bytes keep all. A null doc_id counts as the largest. Rows are known by doc_id and a hash of the
+text: several texts under one doc_id, null included, are texts of their own, none of which has the smaller doc_id, so they aren't repeats of each other; nor
+are rows that repeat wholly, and these are treated alike. Matches never cross documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ BUCKETS = 4096
 SAMPLE_DOCS = 20_000
 #: A gram expected in more documents than this is dealt by whole strings.
 HOT_DOCS = 2000
+#: Open segments of a gram that one task sorts.
+CROWD = 4096
 LAST = (1 << 63) - 1
 
 U = np.uint64
@@ -183,27 +187,28 @@ def settle(g: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, n
     return order, repeat, open_
 
 
-def runs(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges [s, s + n) united where they touch."""
+def runs(doc: np.ndarray, key: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges [s, s + n) of each text (doc, key) united where they touch."""
     if not len(doc):
-        return doc, s, n
-    order = np.lexsort((s, doc))
-    doc, s, e = doc[order], s[order], (s + n)[order]
-    # ends may not be sorted within a document, so carry the furthest one
+        return doc, key, s, n
+    order = np.lexsort((s, key, doc))
+    doc, key, s, e = doc[order], key[order], s[order], (s + n)[order]
+    other = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    # ends may not be sorted within a text, so carry the furthest one
     top = int(e.max()) + 1
-    rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    rank = np.cumsum(np.concatenate([[0], other]))
     far = np.maximum.accumulate(e + rank * top) - rank * top
-    new = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] > far[:-1])]))[0]
+    new = np.nonzero(np.concatenate([[True], other | (s[1:] > far[:-1])]))[0]
     last = np.concatenate([new[1:], [len(doc)]]) - 1
-    return doc[new], s[new], far[last] - s[new]
+    return doc[new], key[new], s[new], far[last] - s[new]
 
 
-def flat(doc, s, n, g=None) -> pa.RecordBatch:
+def flat(doc, key, s, n, g=None) -> pa.RecordBatch:
     grams = pa.nulls(len(doc), pa.int64()) if g is None else pa.array(g.view("i8"), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), grams], ["doc_id", "s", "n", "g"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), grams], ["doc_id", "key", "s", "n", "g"])
 
 
-FOUND = "doc_id long, s int, n int, g long"
+FOUND = "doc_id long, key long, s int, n int, g long"
 
 
 def encoded(texts: pa.Array) -> list[bytes]:
@@ -222,51 +227,65 @@ def batches_of(column: pa.Array, most: int = SLICE_BYTES):
         yield start, len(sizes) - start
 
 
+#: Columns of a blob of records, and of one of repeats that are settled.
+OPEN = ("<u8", "<u8", "<i8", "<i8", "<u4", "u1")
+DONE = ("<i8", "<i8", "<u4", "<u4")
+
+
+def packed(columns, kinds) -> bytes:
+    return b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True))
+
+
+def unpacked(blob: bytes, kinds) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    count, at, out = len(blob) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += count * size
+    return out
+
+
 def search(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Repeats settled by equal segments (g null), and segments left open (with g): doc_id, s, n, g."""
+    """Repeats settled by equal segments (g null), and segments left open (with g)."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for start, size in batches_of(b.column(1)):
-                g, h, text, s, n = records(encoded(b.column(1).slice(start, size)), shared.value)
-                doc = ids[start : start + size][text] if len(text) else np.zeros(0, np.int64)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
+            texts = b.column("text")
+            for start, size in batches_of(texts):
+                g, h, text, s, n = records(encoded(texts.slice(start, size)), shared.value)
+                doc, key = ids[start + text], keys[start + text]
                 order, repeat, _ = settle(g, h, doc)
                 keep, done = order[~repeat], order[repeat]
                 rows = []
-                d, rs, rn = runs(doc[done], s[done], n[done])
+                d, dk, rs, rn = runs(doc[done], key[done], s[done], n[done])
                 if len(d):
-                    rows.append((int(d[0]) % buckets, 1, b"".join((d.astype("<i8").tobytes(), rs.astype("<u4").tobytes(), rn.astype("<u4").tobytes()))))
+                    rows.append((int(dk[0]) % buckets, 1, packed((d, dk, rs, rn), DONE)))
                 bucket = ((g[keep] >> U(32)) * U(buckets)) >> U(32)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 for k in np.nonzero(np.diff(edges))[0]:
                     at = keep[edges[k] : edges[k + 1]]
-                    at = at[np.lexsort((s[at], doc[at]))]  # documents in a row pack well
-                    rows.append((int(k), 0, b"".join((g[at].astype("<u8").tobytes(), h[at].astype("<u8").tobytes(), doc[at].astype("<i8").tobytes(), s[at].astype("<u4").tobytes(), n[at].astype("u1").tobytes()))))
+                    at = at[np.lexsort((s[at], key[at], doc[at]))]  # documents in a row pack well
+                    rows.append((int(k), 0, packed((g[at], h[at], doc[at], key[at], s[at], n[at]), OPEN)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "blob"])
 
     def judge(bucket: pa.Table) -> pa.Table:
-        done, cols = [], [[] for _ in range(5)]
+        done, left = [], []
         for kind, blob in zip(bucket.column("kind").to_pylist(), bucket.column("blob").to_pylist(), strict=True):
-            if kind:
-                k = len(blob) // 16
-                done.append((np.frombuffer(blob, "<i8", k), np.frombuffer(blob, "<u4", k, 8 * k).astype("i8"), np.frombuffer(blob, "<u4", k, 12 * k).astype("i8")))
-                continue
-            k, at = len(blob) // 29, 0
-            for c, t in zip(cols, ("<u8", "<u8", "<i8", "<u4", "u1"), strict=True):
-                c.append(np.frombuffer(blob, t, k, at))
-                at += k * np.dtype(t).itemsize
+            (done if kind else left).append(unpacked(blob, DONE if kind else OPEN))
         out = []
-        if cols[0]:
-            g, h, doc, s, n = (np.concatenate(c) for c in cols)
+        if left:
+            g, h, doc, key, s, n = (np.concatenate(c) for c in zip(*left, strict=True))
             s, n = s.astype("i8"), n.astype("i8")
             order, repeat, open_ = settle(g, h, doc)
             r, o = order[repeat], order[open_]
-            done.append((doc[r], s[r], n[r]))
-            out.append(flat(doc[o], s[o], n[o], g[o]))
-        out.append(flat(*runs(*(np.concatenate([d[i] for d in done]) if done else np.zeros(0, "i8") for i in range(3)))))
+            done.append((doc[r], key[r], s[r], n[r]))
+            out.append(flat(doc[o], key[o], s[o], n[o], g[o]))
+        if done:
+            doc, key, s, n = (np.concatenate(c) for c in zip(*done, strict=True))
+            out.append(flat(*runs(doc, key, s.astype("i8"), n.astype("i8"))))
         return pa.Table.from_batches(out)
 
     dealt = docs.mapInArrow(deal, "bucket int, kind tinyint, blob binary")
@@ -325,39 +344,57 @@ class BlindTrie:
         return label
 
 
+def multikey(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by group and words, and where in it a group of equal rows begins. Each pass sorts by one word, and only rows still tied."""
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    for word in keys.T:
+        alone = new & np.concatenate([new[1:], [True]])
+        at = np.nonzero(~alone)[0]
+        if not len(at):
+            break
+        tie = np.cumsum(new)[at]
+        sub = order[at]
+        inner = np.lexsort((word[sub], tie))
+        order[at] = sub[inner]
+        w = word[order[at]]
+        new[at[1:]] |= (tie[1:] == tie[:-1]) & (w[1:] != w[:-1])
+    return order, np.nonzero(new)[0]
+
+
 def equal_strings(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """A class for each row of LENGTH bytes, the same for equal rows of a group: multikey sorting, then blind tries."""
+    """A class for each row of LENGTH bytes, the same for equal rows of a group: multikey sorting to depth SHALLOW, then blind tries."""
     words = -(-LENGTH // 8)
     wide = np.zeros((len(rows), words * 8), "u1")
     wide[:, :LENGTH] = rows
     keys = wide.view(">u8")
     shallow = SHALLOW // 8
-    order = np.lexsort((*(keys[:, i] for i in reversed(range(shallow))), group))
-    g, k = group[order], keys[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:, :shallow] != k[:-1, :shallow]).any(axis=1)])
-    starts = np.nonzero(new)[0]
-    sizes = np.diff(np.concatenate([starts, [len(g)]]))
-    tied = np.cumsum(new) - 1
+    order, starts = multikey(group, keys[:, :shallow])
+    k = keys[order, shallow:]
+    sizes = np.diff(np.concatenate([starts, [len(order)]]))
+    tied = np.repeat(np.arange(len(starts)), sizes)
     # a tied group whose rows are all like its first is one class
-    unlike = (k[:, shallow:] != k[starts][tied][:, shallow:]).any(axis=1)
-    mixed_groups = np.unique(tied[unlike])
+    unlike = (k != k[starts][tied]).any(axis=1)
     classes = starts[tied].astype(np.int64)
-    for t in mixed_groups:
+    for t in np.unique(tied[unlike]):
         at, trie = int(starts[t]), BlindTrie()
-        block = wide[order[at : at + sizes[t]], :LENGTH]
+        block = wide[order[at : at + sizes[t]], SHALLOW:LENGTH]
         for i in range(len(block)):
-            classes[at + i] = trie.add(block[i, SHALLOW:].tobytes(), at + i)
+            classes[at + i] = trie.add(block[i].tobytes(), at + i)
     out = np.empty(len(rows), np.int64)
     out[order] = classes
     return out
 
 
 def resolve(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """The repeats among open segments: doc_id, s, n, g (null)."""
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "g")).alias("segments"))
-    raw = F.encode("text", "UTF-8")
-    cut = docs.join(wanted, "doc_id").select("doc_id", raw.alias("raw"), F.explode("segments").alias("x")).select("doc_id", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.col("x.g").alias("g"), F.substring("raw", F.col("x.s") + 1, F.col("x.n") + (LENGTH - 1)).alias("bytes"))
-    grouped = cut.repartition("g").sortWithinPartitions("g")
+    """The repeats among open segments, with g null."""
+    crowd = materialise(open_.groupBy("g").count().filter(F.col("count") > CROWD).select("g", F.lit(True).alias("crowded")), "suffix-crowds")
+    marked = open_.join(crowd, "g", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    wanted = marked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "n", "g", "crowded")).alias("segments"))
+    cut = docs.join(wanted, ["doc_id", "key"]).select("doc_id", "key", F.encode("text", "UTF-8").alias("raw"), F.explode("segments").alias("x"))
+    cut = cut.select("doc_id", "key", "x.*", F.substring("raw", F.col("x.s") + 1, F.col("x.n") + (LENGTH - 1)).alias("bytes"))
+    grouped = cut.filter("NOT crowded").drop("crowded").repartition("g").sortWithinPartitions("g")
 
     def run(batches):
         held = None
@@ -374,33 +411,38 @@ def resolve(docs: DataFrame, open_: DataFrame) -> DataFrame:
             yield sort_strings(held)
 
     def sort_strings(t):
-        doc, s, n, g = (t.column(c).to_numpy().astype("i8") for c in ("doc_id", "s", "n", "g"))
+        doc, key, s, n, g = (t.column(c).to_numpy().astype("i8") for c in ("doc_id", "key", "s", "n", "g"))
         raw = np.frombuffer(b"".join(t.column("bytes").to_pylist()), "u1")
         first = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(first, n) + inner
         windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[at]
-        d, place = np.repeat(doc, n), np.repeat(s, n) + inner
+        d, k, place = np.repeat(doc, n), np.repeat(key, n), np.repeat(s, n) + inner
         cls = equal_strings(np.repeat(g, n), windows)
         least = np.full(len(cls), LAST, np.int64)
         np.minimum.at(least, cls, d)
         hit = d > least[cls]
-        return flat(*runs(d[hit], place[hit], np.ones(int(hit.sum()), np.int64)))
+        return flat(*runs(d[hit], k[hit], place[hit], np.ones(int(hit.sum()), np.int64)))
 
-    return grouped.mapInArrow(run, FOUND)
+    strings = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("s") + i).alias("s"), F.substring(F.col("bytes"), i + 1, F.lit(LENGTH)).alias("string")))
+    windows = cut.filter("crowded").select("doc_id", "key", F.explode(strings).alias("w")).select("doc_id", "key", "w.*")
+    least = windows.groupBy("string").agg(F.min("doc_id").alias("least"))
+    more = windows.join(least, "string").filter("doc_id > least").select("doc_id", "key", "s", F.lit(1).alias("n"), F.lit(None).cast("long").alias("g"))
+    return grouped.mapInArrow(run, FOUND).unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left) if asked for."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = max(32, min(math.ceil(total / BUCKET_BYTES), max(BUCKETS, total // (16 * BUCKET_BYTES))))
     found = materialise(search(docs, buckets, frequent(docs, n_docs)), "suffix-found")
     rest = materialise(resolve(docs, found.filter("g IS NOT NULL")), "suffix-resolved")
-    repeats = found.filter("g IS NULL").select("doc_id", "s", "n").unionByName(rest.select("doc_id", "s", "n"))
-    by_doc = materialise(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("repeats")), "suffix-repeats")
+    repeats = found.filter("g IS NULL").drop("g").unionByName(rest.drop("g"))
+    by_doc = materialise(repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "n")).alias("repeats")), "suffix-repeats")
     drop_tables(found, rest)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
@@ -428,7 +470,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
             for start, size in batches_of(b.column("text")):
                 yield cut_slice(b.column("doc_id").slice(start, size), b.column("text").slice(start, size), b.column("repeats").slice(start, size))
 
-    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "repeats")
+    joined = docs.join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "repeats")
     done = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 

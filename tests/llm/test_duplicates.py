@@ -176,19 +176,21 @@ def test_embedding_links_against_brute_force(spark, per_cell, part):
 
 
 def removed(rows):
-    first, out = {}, {}
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) of each row, sorted; a null doc_id is the largest."""
+    order = lambda d: float("inf") if d is None else d
+    first, out = {}, []
     raws = [(d, (t or "").encode()) for d, t in rows]
     for d, r in raws:
         for i in range(len(r) - 49):
-            first[r[i : i + 50]] = min(d, first.get(r[i : i + 50], d))
+            first[r[i : i + 50]] = min(order(d), first.get(r[i : i + 50], order(d)))
     for d, r in raws:
         gone = np.zeros(len(r) + 1, bool)
         for i in range(len(r) - 49):
-            if first[r[i : i + 50]] < d:
+            if first[r[i : i + 50]] < order(d):
                 gone[i : i + 50] = True
         left = bytes(b for b, g in zip(r, gone, strict=False) if not g)
-        out[d] = (len(r), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest())
-    return out
+        out.append((d, len(r), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
 
 
 def passages(seed, n=80):
@@ -206,15 +208,19 @@ def passages(seed, n=80):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "x" * 300), (n + 3, "x" * 120), (n + 4, "é" * 60), (n + 5, "é" * 60), (n + 6, rows[3][1]), (n + 7, "ab" * 200_000)]
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+def check_removed(spark, rows):
+    d = spark.createDataFrame([(*r, 1, b"x", 5, "t") for r in rows], "doc_id long, text string, s int, kept binary, key int, g string").repartition(4)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(d).collect()]
+    assert sorted(got, key=str) == removed(rows)
+
+
+@pytest.mark.parametrize(("hot", "crowd"), [(2000, 4096), (3, 4096), (2000, 1)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, crowd):
     monkeypatch.setattr(suffixes, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
     if hot == 3:
         monkeypatch.setattr(suffixes, "SAMPLE_DOCS", 10**6)
-    rows = passages(hot)
-    d = spark.createDataFrame([(*r, 1, b"x") for r in rows], "doc_id long, text string, s int, kept binary").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(d).collect()}
-    assert got == removed(rows)
+    check_removed(spark, passages(hot))
 
 
 def test_suffix_dedup_edges(spark):
@@ -225,6 +231,25 @@ def test_suffix_dedup_edges(spark):
     assert suffixes.remove_repeats(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_suffix_dedup_texts_that_share_a_doc_id(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rng = np.random.default_rng(14)
+    text = lambda k: "".join(rng.choice(list("abcdefgh "), k))
+    shared, other = text(80), text(90)
+    rows = [(1, shared), (None, "x" * 200 + shared), (None, "short"), (None, text(43) + shared + other), (None, text(70) + other)]
+    rows += [(4, "y" * 130 + shared), (4, "z"), (4, text(30) + other), (4, text(123)), (9, other + text(9)), (9, other + text(9)), (None, None), (4, None)]
+    check_removed(spark, rows)
+
+
+def test_suffix_dedup_of_a_passage_in_thousands_of_documents(spark):
+    rng = np.random.default_rng(15)
+    text = lambda k: "".join(rng.choice(list("abcdefgh "), k))
+    shared = text(120)
+    rows = [(i, text(int(rng.integers(0, 12))) + shared[int(rng.integers(0, 40)) :] + text(int(rng.integers(0, 12)))) for i in range(10_000)]
+    check_removed(spark, rows)
+
+
 def test_blind_trie_and_strings():
     rng = np.random.default_rng(10)
     rows = rng.integers(97, 99, (400, suffixes.LENGTH)).astype("u1")
