@@ -17,7 +17,9 @@ for it: one row for each distinct set is dealt by BANDS bands of min-hashes (a p
 the number of documents), and pairs in a cell are candidates within a radius of six standard deviations over the mean. The components of the candidates
 are groups; within each group, in pairs of parts where it is large, the sets themselves are compared, and only links that hold count.
 
-Equal texts, repeated rows and empty texts share fingerprints, hence classes; null doc_id is left without a class. Other columns are ignored (and kept by `keep_one`).
+Equal texts, repeated rows and empty texts share fingerprints, hence classes. In `near_duplicates` a null doc_id is left without a class. In `similar` and
+`keep_one` rows are known by doc_id and a hash of the text, so several texts under one doc_id are told apart and a null doc_id is the largest: a group
+of null ids only has component_id null, and one row of it stays. Other columns are ignored (and kept by `keep_one`).
 """
 
 from __future__ import annotations
@@ -127,23 +129,33 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names(words)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (of doc_id and text), doc_id, text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.xxhash64(doc_id, "text").alias("key"), doc_id.alias("doc_id"), "text")
+
+
+def digest_of(distinct: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(distinct.tobytes(), seed) for seed in (1, 2)]
+
+
 def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, the digest s0, s1 of the set of shingles, and the set's fingerprint (repeats don't count) and bands."""
+    """key, doc_id, the digest s0, s1 of the set of shingles, and the set's fingerprint (repeats don't count) and bands."""
 
     def run(batches):
         for b in batches:
             s, f, keys = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 distinct = np.unique(shingle_hashes(t.as_py(), shingle))
-                s.append([xxhash.xxh64_intdigest(distinct.tobytes(), seed) for seed in (1, 2)])
+                s.append(digest_of(distinct))
                 f.append(fingerprint_of(distinct, words))
                 keys.append(bands_of(distinct).view("i8"))
             at = np.array([*s], "u8").reshape(-1, 2).view("i8")
             fp = np.array(f, "u8").reshape(-1, words).view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(at[:, i]) for i in range(2)), *(pa.array(fp[:, i]) for i in range(words)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "s0", "s1", *names(words), "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(at[:, i]) for i in range(2)), *(pa.array(fp[:, i]) for i in range(words)), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "s0", "s1", *names(words), "bands"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names(words)) + ", bands array<long>")
+    return keyed(docs).mapInArrow(run, "key long, doc_id long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names(words)) + ", bands array<long>")
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -336,16 +348,19 @@ def true_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, simi
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def verified(docs: DataFrame, candidates: DataFrame, similarity: float, shingle: int, part: int) -> DataFrame:
-    """candidates: (node, root), the components of candidate links. A spanning forest (a, b) of the links that hold within each of them."""
+def verified(docs: DataFrame, known: DataFrame, candidates: DataFrame, similarity: float, shingle: int, part: int) -> DataFrame:
+    """known: id, key (of one row that has the set) and the digest; candidates: (node, root), the components of candidate links. A spanning
+    forest (a, b), by id, of the links that hold within each of them."""
     members = candidates.select(F.col("node").alias("id"), F.col("root").alias("value")).unionByName(candidates.select(F.col("root").alias("id"), F.col("root").alias("value")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").dropDuplicates(["id", "text"]).select("id", "value", "text")
+    asked = members.join(known.select("id", "key", "s0", "s1"), "id")
+    texts = keyed(docs).drop("doc_id").join(asked, "key").dropDuplicates(["key", "id"]).select("id", "value", "s0", "s1", "text")
 
     def sets(batches):
         for b in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view("i8") for t in b.column(2)]
-            some = [i for i, x in enumerate(found) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(some), pa.int16()), b.column(1).take(some), b.column(0).take(some), pa.array([found[i] for i in some], pa.list_(pa.int64()))], ["way", "value", "id", "shingles"])
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(4)]
+            want = np.stack([b.column(i).to_numpy() for i in (2, 3)], axis=1).view("u8").tolist()
+            some = [i for i, x in enumerate(found) if len(x) and digest_of(x) == want[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(some), pa.int16()), b.column(1).take(some), b.column(0).take(some), pa.array([found[i].view("i8") for i in some], pa.list_(pa.int64()))], ["way", "value", "id", "shingles"])
 
     def compared(t):
         starts = starts_of(t)
@@ -368,23 +383,36 @@ def verified(docs: DataFrame, candidates: DataFrame, similarity: float, shingle:
     return in_parts(held, part).mapInArrow(whole_groups(compared, 2 * part), "a long, b long")
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE, cell: int = CELL, part: int = PART) -> DataFrame:
-    """doc_id, component_id: linked where the sets of shingles have a Jaccard similarity of so much or more."""
+def grouped(docs: DataFrame, similarity: float, shingle: int, words: int, cell: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs, and for each distinct set (s0, s1) of them its group."""
     prints = materialise(sketches(docs, shingle, words), "simhash-prints")
-    whole = ["s0", "s1"]
-    known = materialise(prints.filter("doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in [*names(words), "bands"])), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    sets = prints.groupBy("s0", "s1").agg(F.min(row).alias("row"), *(F.first(n).alias(n) for n in [*names(words), "bands"]))
+    known = materialise(sets.select(F.monotonically_increasing_id().alias("id"), "s0", "s1", F.col("row.key").alias("key"), *names(words), "bands"), "simhash-distinct")
     dealt = known.select("id", *names(words), F.posexplode("bands").alias("way", "value")).withColumn("way", F.col("way").cast("short"))
     candidates = components(links(dealt, radius_of(similarity, words), cell))
-    up = components(verified(docs, candidates, similarity, shingle, part)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
-    found = materialise(known.join(up, "id", "left").select(*whole, F.coalesce("component_id", "id").alias("component_id")), "simhash-classes")
-    return prints.join(found, whole, "left").select("doc_id", "component_id")
+    up = components(verified(docs, known, candidates, similarity, shingle, part)).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    return prints, materialise(known.join(up, "id", "left").select("s0", "s1", F.coalesce("group", "id").alias("group")), "simhash-groups")
+
+
+def firsts(prints: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their group, and each group's first row: the least doc_id, null last."""
+    rows = prints.select("key", "doc_id", "s0", "s1").join(groups, ["s0", "s1"])
+    return rows, rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")).select("group", "first.doc_id", "first.key")
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE, cell: int = CELL, part: int = PART) -> DataFrame:
+    """doc_id, component_id: linked where the sets of shingles have a Jaccard similarity of so much or more."""
+    rows, first = firsts(*grouped(docs, similarity, shingle, words, cell, part))
+    return rows.select("doc_id", "group").join(first.select("group", F.col("doc_id").alias("component_id")), "group").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without those that are near copies of a document with a smaller doc_id."""
-    groups = similar(docs, **how)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WIDE, cell: int = CELL, part: int = PART) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id."""
+    kept = materialise(firsts(*grouped(docs, similarity, shingle, words, cell, part))[1].select("key", "doc_id"), "simhash-kept")
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
+    return rows.join(kept.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

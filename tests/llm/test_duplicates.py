@@ -91,6 +91,20 @@ def test_similar_documents(spark):
     kept = simhash.keep_one(d)
     assert kept.columns == d.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, *[i for i, _ in other], 200]
+    assert simhash.keep_one(d.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    rng = np.random.default_rng(16)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    a, b, c, e = (text(100) for _ in range(4))
+    rows = [(5, a), (5, b), (6, b), (None, a), (None, c), (None, c), (7, c + " more"), (None, e), (None, e + " end"), (None, ""), (8, None), (5, a)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, `s0.x` int").repartition(3)
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [(5, a), (5, b), (7, c + " more"), (8, None), *[f for f in found if f[0] is None]]))
+    assert [t.removesuffix(" end") for i, t in found if i is None] == [e]
 
 
 def shingles_of(text):
