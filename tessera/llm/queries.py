@@ -7,7 +7,7 @@ from .common import table
 
 
 def op6_source_mixing(spark, sf_dir):
-    return mixing.queued(table(spark, sf_dir, "documents")).drop("before", "virtual_finish")
+    return mixing.allocate(table(spark, sf_dir, "documents")).drop("before", "virtual_finish")
 
 
 QUERIES = {

@@ -1,6 +1,9 @@
 """Line dedup, language ID, HTML, URL filters and mixing."""
 
 import datetime
+import hashlib
+import heapq
+import math
 
 import numpy as np
 import pytest
@@ -144,6 +147,48 @@ def test_url_prefixes_of_any_depth(spark, broadcast_rows):
     assert found == {1: (False, b, 1), 2: (True, a, 2), 3: (True, a, 2), 4: (False, c, 3), 5: (False, None, 0), 6: (False, None, 0)}
 
 
+def simulated(rows, weights=(5, 2, 1), share=1.5):
+    """(doc_id, size, source_size, target, taken) by water filling and by serving a heap of queues, packet after packet."""
+    sizes, queues = {}, {}
+    for i, t, _, source in rows:
+        size = len((t or "").split())
+        sizes[source] = sizes.get(source, 0) + size
+        shuffled = hashlib.md5(f"{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+        queues.setdefault(source, []).append((shuffled, size, i))
+    budget, total = share * sum(sizes.values()), math.floor(share * sum(sizes.values()) + 0.5)
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while open_:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * sizes[s] <= level * weight[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        open_ -= set(full)
+    heap, out = [], {}
+    for s, q in queues.items():
+        q.sort(key=lambda x: x[:2])
+        at = 0
+        for copy in range(2):
+            for k, (_, size, i) in enumerate(q):
+                out.setdefault((s, k), [i, size, sizes[s], target[s], 0])
+                n = min(size, 1024) if at < target[s] < at + size else 1
+                for p in range(1, n + 1):
+                    end, words = at + size * p // n, size * p // n - size * (p - 1) // n
+                    if words:
+                        heap.append((end / target[s], "null" if s is None else f"={s}", end, words, (s, k)))
+                at += size
+    heapq.heapify(heap)
+    while heap and total:
+        *_, words, doc = heapq.heappop(heap)
+        words = min(words, total)
+        out[doc][4] += words
+        total -= words
+    return sorted(map(tuple, out.values()), key=str)
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "en", None if i % 9 == 0 else f"s{min(i % 7, 4)}") for i in range(400)] + [(400, None, "en", "s1"), (401, "w " * 3000, "en", "s2")]
@@ -155,7 +200,10 @@ def test_mixing_meets_targets(spark):
         assert 0 <= r.taken <= 2 * r.size
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     assert sum(t for _, t in by) == pytest.approx(1.5 * total) and all(t <= 2 * s + 1e-9 for s, t in by)
-    assert all(abs(sum(v) - t) <= 1 for (_, t), v in by.items())
+    assert sum(r.taken for r in got) == math.floor(1.5 * total + 0.5)
+    assert all(abs(sum(v) - t) <= 8 for (_, t), v in by.items())
+    want = simulated(rows)
+    assert [r[:3] + r[4:] for r in want] == sorted(((r.doc_id, r.size, r.source_size, r.taken) for r in got), key=lambda r: str((r[0], r[1], r[2], next(w[3] for w in want if w[0] == r[0]), r[3])))
     assert sorted(map(tuple, mixing.allocate(d.repartition(1)).collect())) == sorted(map(tuple, got))
     mixed = mixing.mix(d)
     assert mixed.columns == d.columns
@@ -166,3 +214,11 @@ def test_mixing_meets_targets(spark):
     assert words == {r.doc_id: r.taken for r in got if r.taken}
     assert mixing.allocate(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
     assert {r.taken for r in mixing.allocate(docs(spark, [(1, None, None, None), (2, "", "en", "s")])).collect()} == {0}
+
+
+def test_mixing_of_texts_that_share_a_doc_id(spark):
+    rows = [(None, "a a a", "en", "s"), (None, "b b b", "en", "s"), (None, "c c c", "en", "s"), (3, "d d", "en", "t"), (3, "e e", "en", "t"), (3, "e e", "en", "t"), (3, None, "en", "t")]
+    d = docs(spark, rows)
+    assert sorted((str((r.doc_id, r.size, r.taken)) for r in mixing.allocate(d).collect())) == sorted(str((w[0], w[1], w[4])) for w in simulated(rows))
+    texts = [r.text for r in mixing.mix(d).collect()]
+    assert {t[0] for t in texts} == {"a", "b", "c", "d", "e"} and sum(len(t.split()) for t in texts) == math.floor(1.5 * 15 + 0.5)
