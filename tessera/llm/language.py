@@ -1,11 +1,13 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text (TRAIN_BYTES bytes from at most TRAIN_DOCS
-documents, drawn by hash of doc_id). A text is cut greedily into the longest phrases that occur in the
-sample (longest matches in the automaton); the language that needs the fewest phrases for each byte wins, ties by name.
+documents, drawn by hash of doc_id; with many languages fewer, so that all samples have MODEL_BYTES together). A text is cut greedily into the
+longest phrases that occur in the sample (longest matches in the automaton). A phrase costs as many bits as name a place in the sample, so
+counts are normalised by the logarithm of the sample's length: a language of which little text is known is not held against it. The
+language that needs the fewest normalised phrases wins, ties by name.
 
-Letters outside the samples' ALPHABET most frequent bytes count as one symbol. The automaton is a table of next states,
-where a step that ends a phrase is marked and goes on from the root, so a whole batch of texts is parsed side by
+Each automaton has the bytes that its sample holds as symbols, and one symbol for all others, which is a phrase of its own. It is a table of next
+states, where a step that ends a phrase is marked and goes on from the root, so a whole batch of texts is parsed side by
 side, one table look-up for each byte. Whole texts are parsed, in lanes of LANE bytes; each lane starts at the root.
 
 Null text and text without letters: `und`, score 0. Labels that are null are not learned from; with no labelled text
@@ -16,20 +18,24 @@ on their own; doc_id, lang and source never reach a prediction; other columns ar
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_batches, table
 
 TRAIN_BYTES = 24_000
 TRAIN_DOCS = 48
-ALPHABET = 63
+MODEL_BYTES = 600_000
 LANE = 512
 #: Bytes of text parsed together.
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
+#: Texts of so many bytes at least are rejected by `keep_known` if their phrases are shorter than this on average: no language explains them.
+MIN_BYTES = 64
+MIN_PHRASE = 1.5
 #: A step's number of phrases that end stands above this bit.
 ENDS = 29
 #: ASCII signs and digits, which no language owns, are left out; white space is a space.
@@ -97,12 +103,16 @@ class Parser:
 
     def __init__(self, samples: dict[str, bytes]):
         self.names = sorted(samples)
-        counts = sum((np.bincount(np.frombuffer(s, "u1"), minlength=256) for s in samples.values()), np.zeros(256, int))
-        self.symbol = np.full(256, ALPHABET, np.uint8)
-        order = np.argsort(-counts, kind="stable")[:ALPHABET]
-        self.symbol[order] = np.arange(len(order))
-        self.width = ALPHABET + 1
-        self.tables = [steps(self.symbol[np.frombuffer(samples[n], "u1")].tolist(), self.width) for n in self.names]
+        self.symbols, self.widths, self.tables = [], [], []
+        for name in self.names:
+            data = np.frombuffer(samples[name], "u1")
+            own = np.unique(data)
+            symbol = np.full(256, len(own), np.uint8 if len(own) < 256 else np.uint16)
+            symbol[own] = np.arange(len(own))
+            self.symbols.append(symbol)
+            self.widths.append(len(own) + 1)
+            self.tables.append(steps(symbol[data].tolist(), len(own) + 1))
+        self.bits = np.array([np.log2(len(samples[n]) + 2) for n in self.names])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """An array of texts by languages."""
@@ -123,23 +133,24 @@ class Parser:
                 held[f + k - 1] = size - (k - 1) * LANE
         # longest lanes first, so that those still running are a prefix
         order = np.argsort(-held, kind="stable")
-        cols = np.ascontiguousarray(self.symbol[grid.reshape(total, LANE)[order]].T)
+        cols = np.ascontiguousarray(grid.reshape(total, LANE)[order].T)
         running = np.searchsorted(-held[order], -np.arange(LANE), side="left")
-        for k, next_state in enumerate(self.tables):
+        for k, (symbol, width, next_state) in enumerate(zip(self.symbols, self.widths, self.tables, strict=True)):
             state, count = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for i in range(LANE):
                 m = int(running[i])
                 if not m:
                     break
-                v = next_state[state[:m] * np.int32(self.width) + cols[i, :m]]
+                v = next_state[state[:m] * np.int32(width) + symbol[cols[i, :m]]]
                 count[:m] += v >> ENDS
                 state[:m] = v & ((1 << ENDS) - 1)
             np.add.at(found[:, k], owner[order], count + (state > 0))
         return found
 
 
-def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and bytes for each phrase of it, of each text."""
+    names, scores, lengths = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     asked = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
     at = 0
     while at < len(asked) and parser.names:
@@ -147,14 +158,16 @@ def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[fl
         while at + len(block) < len(asked) and (not block or held < BLOCK_BYTES):
             block.append(plain(texts[asked[at + len(block)]]))
             held += len(block[-1])
-        found = parser.phrases(block)
-        for j, row in enumerate(found):
-            best = int(row.argmin())
-            rest = np.delete(row, best)
-            names[asked[at + j]] = parser.names[best]
-            scores[asked[at + j]] = float(1 - row[best] / rest.min()) if len(rest) else 1.0
+        counts = parser.phrases(block)
+        found = counts * parser.bits
+        best = found.argmin(axis=1)
+        rest = np.sort(found, axis=1)[:, 1] if len(parser.names) > 1 else np.full(len(block), np.inf)
+        for j, (i, k) in enumerate(zip(asked[at : at + len(block)], best.tolist(), strict=True)):
+            names[i] = parser.names[k]
+            scores[i] = float(1 - found[j, k] / rest[j])
+            lengths[i] = len(block[j]) / max(1, int(counts[j, k]))
         at += len(block)
-    return names, scores
+    return names, scores, lengths
 
 
 def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> Parser:
@@ -168,6 +181,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN
     drawn: dict[str, list] = {lang: [] for lang in counts}
     for r in usable.filter(wanted).select("lang", draw.alias("draw"), F.substring("text", 1, train_bytes).alias("text")).collect():
         drawn[r.lang].append((r.draw, r.text))
+    train_bytes = min(train_bytes, MODEL_BYTES // max(1, len(counts)))
     samples = {}
     for lang, rows in drawn.items():
         parts = [plain(text) for _, text in sorted(rows)[:train_docs]]
@@ -179,25 +193,35 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN
 
 
 def identify(docs: DataFrame, parser: Parser, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns of docs with lang_pred and score."""
+    """columns of docs with lang_pred, score and phrase_bytes."""
+    judged = judge(docs, parser, columns)
+    return judged.select("kept.*", "lang_pred", "score", "phrase_bytes")
+
+
+def judge(docs: DataFrame, parser: Parser, columns: tuple[str, ...]) -> DataFrame:
+    """kept (a struct of columns of docs), lang_pred, score and phrase_bytes."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in columns)).alias("kept"), "text")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        names, scores = predict(shared.value, texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def run(batches):
+        for b in batches:
+            names, scores, lengths = predict(shared.value, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], ["kept", "lang_pred", "score", "phrase_bytes"])
 
-    judged = docs.select(*columns, judge(F.col("text")).alias("_judged"))
-    return judged.select(*columns, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
+    schema = StructType([rows.schema["kept"]]).add("lang_pred", "string").add("score", "double").add("phrase_bytes", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that have no letters to judge by; where there is nothing to learn from, only that counts."""
-    names, parser = docs.columns, fit(docs)
+    """docs with the language found in `lang`, without those that have no letters or that no language explains (phrases under MIN_PHRASE bytes). Where
+    there is nothing to learn from, only letters count and `lang` stays."""
+    parser = fit(docs)
     if not parser.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, parser, tuple(names)).filter(F.col("lang_pred") != UNKNOWN).select(*names)
+    explained = (F.col("phrase_bytes") >= MIN_PHRASE) | (F.octet_length("kept.text") < MIN_BYTES)
+    known = judge(docs, parser, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & explained)
+    return known.select(*(F.col("lang_pred").alias("lang") if n == "lang" else F.col(f"kept.`{n}`").alias(n) for n in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

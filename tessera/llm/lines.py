@@ -52,22 +52,26 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with repeated boilerplate lines taken out of text, and n_lines and n_removed."""
+    """docs with repeated boilerplate lines taken out of text, and n_lines and n_removed (columns of these names are replaced)."""
     names = [n for n in docs.columns if n not in ("n_lines", "n_removed")]
     bad = boilerplate(docs, min_sites)
     place = F.struct("doc_id", "text_hash", "pos")
-    drop = exploded(docs).join(bad, "key").filter(~place.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.select(*names, F.xxhash64("text").alias("_text_hash"))
-    joined = keyed.join(drop, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = joined.select(
-        *(text.alias("text") if n == "text" else F.col(n) for n in names),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+    drop = exploded(docs).join(bad, "key").filter(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    keyed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_hash") == F.col("x.text_hash"))
+    joined = keyed.join(drop.alias("x"), same, "left").select("row", "gone")
+    old = F.col("row.text")
+    lines = F.split(old, "\n", -1)
+    left = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")), lambda i: F.get(lines, i))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(left, "\n"))
+    new = {"text": text.alias("text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return joined.select(
+        *(new.get(n, F.col(f"row.`{n}`").alias(n)) for n in names),
+        F.when(old.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 A dated list (entry_date, kind, key, action) says from which day an entry holds: kind is `domain` (the host and all below
 it) or `prefix` (host plus leading path segments), action is `block`, `allow` or `remove` (the entry ends). The entries
 of a key become validity intervals [valid_from, valid_to). Each capture yields the keys that could hold it - its host, the parent domains,
-and its path prefixes - and an as-of join finds, for each key, the interval active when it was fetched. The longest active key decides.
+and its path prefixes - and an as-of join finds, for each key, the one interval that was the last to begin by the day of the fetch, if it still held. The
+longest active key decides. No row is written for the other intervals of a key.
+
+Lists up to BROADCAST_ROWS intervals (counted first) are broadcast as one timeline for each key. Longer ones are joined by a sorted union: list entries
+and captures of a key in the order of days, each capture takes the last entry before it. Keys that over SALT_ROWS captures ask for are
+dealt over several tasks, each with that key's entries, so a host with a third of all captures is spread.
 
 Captures without a host match nothing and pass; null url or fetch time passes; repeated captures are judged each on its own;
-of several entries of one key and day the last by action holds. Lists up to BROADCAST_ROWS intervals are broadcast (counted first);
-longer ones are joined with salted keys, so that a host with a third of all captures is dealt over many tasks.
+of several entries of one key and day the last by action holds. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 BROADCAST_ROWS = 100_000
-SALTS = 64
+SALT_ROWS = 200_000
+SPAN = ["valid_from", "valid_to", "action"]
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +58,29 @@ def candidate_keys(host: Column, path: Column, depths: list[int]) -> Column:
     return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(domains, prefixes))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def asof_broadcast(keys: DataFrame, active: DataFrame) -> DataFrame:
+    """keys with `entry`, the last interval of its key to begin by `fetched`."""
+    timelines = active.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct(*SPAN))).alias("spans"))
+    begun = F.filter("spans", lambda s: s["valid_from"] <= F.col("fetched"))
+    return keys.join(F.broadcast(timelines), ["kind", "key"], "left").withColumn("entry", F.try_element_at(begun, F.lit(-1))).drop("spans")
+
+
+def asof_sorted(keys: DataFrame, active: DataFrame, salt_rows: int) -> DataFrame:
+    """The same by a sorted union of entries and captures."""
+    hot = keys.filter("key IS NOT NULL").groupBy("kind", "key").count().filter(F.col("count") > salt_rows)
+    hot = materialise(hot.select("kind", "key", F.ceil(F.col("count") / salt_rows).cast("int").alias("parts")), "url-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    asked = keys.filter("key IS NOT NULL").join(hot, ["kind", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row"), parts).cast("int")).drop("parts")
+    listed = active.join(hot, ["kind", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    capture = F.struct(*(c for c in keys.columns if c not in ("kind", "key")))
+    events = asked.select("kind", "key", "salt", F.col("fetched").alias("day"), F.lit(1).alias("turn"), F.lit(None).cast(active.select(F.struct(*SPAN).alias("e")).schema["e"].dataType).alias("entry"), capture.alias("capture"))
+    events = events.unionByName(listed.select("kind", "key", "salt", F.col("valid_from").alias("day"), F.lit(0).alias("turn"), F.struct(*SPAN).alias("entry")), allowMissingColumns=True)
+    window = Window.partitionBy("kind", "key", "salt").orderBy("day", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.withColumn("entry", F.last("entry", True).over(window)).filter("turn = 1").select("kind", "key", "capture.*", "entry")
+    return found.unionByName(keys.filter("key IS NULL"), allowMissingColumns=True)
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """captures: capture_id, url, fetched (date). Returns capture_id, url, host, fetched, blocked, rule, rule_kind, n_active."""
     active = materialise(validity(entries), "url-list")
     deep = F.when(F.col("kind") == "prefix", F.size(segments(F.col("key"))) - 1)
@@ -61,13 +88,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = B
     asked = captures.select("capture_id", "url", "fetched", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     asked = asked.withColumn("row", F.monotonically_increasing_id())
     keys = asked.select("*", F.explode_outer(candidate_keys(F.col("host"), F.col("path"), sorted(d for d in listed.depths if d > 0))).alias("k")).select("row", "capture_id", "url", "host", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
-    if listed.n <= broadcast_rows:
-        joined = keys.join(F.broadcast(active), ["kind", "key"], "left")
-    else:
-        salted = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = keys.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(salted, ["kind", "key", "salt"], "left")
-    held = (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    hit = F.when(held, F.struct(F.length("key").alias("n"), "key", "kind", "action"))
+    joined = asof_broadcast(keys, active) if listed.n <= broadcast_rows else asof_sorted(keys, active, salt_rows)
+    held = F.col("entry").isNotNull() & (F.col("entry.valid_to").isNull() | (F.col("fetched") < F.col("entry.valid_to")))
+    hit = F.when(held, F.struct(F.length("key").alias("n"), "key", "kind", F.col("entry.action").alias("action")))
     best = joined.groupBy("row", "capture_id", "url", "host", "fetched").agg(F.max(hit).alias("best"), F.count(hit).alias("n_active"))
     return best.select("capture_id", "url", "host", "fetched", (F.coalesce(F.col("best.action"), F.lit("allow")) == "block").alias("blocked"), F.col("best.key").alias("rule"), F.col("best.kind").alias("rule_kind"), "n_active")
 

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import heapq
 import math
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -72,7 +74,7 @@ def test_language_id_accuracy_and_edges(spark, sf):
     parser = language.fit(d)
     got = language.identify(d, parser, ("doc_id", "lang")).withColumn("held", language.held_out(F.col("doc_id"))).filter("held")
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
-    odd = docs(spark, [(1, None, None, None), (2, "", "en", "s"), (3, "123 !!", "en", "s"), (4, "the and of", None, "s"), (4, "the and of", "de", "t"), (5, "the " * 200_000, "en", "s")])
+    odd = docs(spark, [(1, None, None, None), (2, "", "en", "s"), (3, "123 !!", "en", "s"), (4, "the and of that with", None, "s"), (4, "the and of that with", "de", "t"), (5, "the " * 200_000, "en", "s")])
     found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, parser).collect()}
     assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] == found[5][0] == "en" and 0 <= found[4][1] <= 1
     assert {r.doc_id for r in language.keep_known(odd).collect()} == {4, 5}
@@ -80,6 +82,41 @@ def test_language_id_accuracy_and_edges(spark, sf):
     assert language.keep_known(odd).columns == odd.columns
 
 
+def test_languages_of_many_scripts_and_unequal_samples(spark):
+    rng = np.random.default_rng(18)
+
+    def tongue(letters, n_words):
+        return ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n_words)]
+
+    scripts = {"ru": "абвгдежзиклмнопрстуф", "el": "αβγδεζηθικλμνξοπρστυ", "th": "กขคงจฉชซญดตถทธนบปผพ", "zh": "的一是不了人我在有他这中大来上国", "xx": "abcdefgh", "yy": "abcdefgh"}
+    words = {k: tongue(v, 300) for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows, i = [], 0
+    for k in scripts:
+        for _ in range(1 if k == "xx" else 40):  # xx has one short labelled text, yy, of the same letters, many
+            i += 1
+            while language_held(i):
+                i += 1
+            rows.append((i, text(k, 120 if k == "xx" else 200), k, "s"))
+    parser = language.fit(docs(spark, rows))
+    asked = [text(k, 60) for k in scripts for _ in range(20)]
+    names, scores, _ = language.predict(parser, asked)
+    want = [k for k in scripts for _ in range(20)]
+    assert sum(a == b for a, b in zip(names, want, strict=True)) >= 0.97 * len(want) and all(0 <= s <= 1 for s in scores)
+    # a language nobody labelled: every byte is a phrase of its own
+    odd = docs(spark, [(1, "ሀሁሂሃሄህሆለሉሊላሌልሎ " * 5, "en", "s"), (2, text("ru", 50), None, "s")])
+    assert [(r.doc_id, r.lang) for r in language_kept(odd, parser)] == [(2, "ru")]
+
+
+def language_held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def language_kept(d, parser):
+    known = language.judge(d, parser, tuple(d.columns)).filter((F.col("phrase_bytes") >= language.MIN_PHRASE) & (F.col("lang_pred") != "und"))
+    return known.select("kept.doc_id", F.col("lang_pred").alias("lang")).collect()
+
+
 PAGE = """<!DOCTYPE html><head><title>t</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href=x>Menu</a></nav>
 <div class="cookie-banner">We use cookies</div><article><h1>Head &amp; more</h1><p>one <b>two</b>&nbsp;&eacute;
  three<p>four<br>five<div class="comments"><p>nice</p></div><aside>side</aside><form>f<input></form></article><footer>foot</footer>"""
@@ -94,6 +131,47 @@ def test_main_text_of_a_page(spark):
     assert html.extract(p).count() == len(rows) and html.extract(p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout with-sidebar"><main><article>A<p>b</article></main></div>', "A\nb"),
+        ("<form id=aspnet><div class='menu'>m</div><main>x<article>A</article></main></form>", "A"),
+        ('<div id="page-header-fixed"><article>A</article></div>', "A"),
+        ('<article>A</article><div id="comments"><article class="comment-body">c</article></div>', "A"),
+        ('<main>A<div id="comments"><article>c</article></div></main>', "A"),
+        ("<aside><article>teaser</article></aside><article class='post with-sidebar'>A</article>", "A"),
+        ('<html><head><title>t<meta x=">">A', "tA"),
+        ("<head><meta charset=x><p>one<p>two", "one\ntwo"),
+        ("<p>1 < 2 and 3 > 2 <b", "1 < 2 and 3 > 2 <b"),
+        ('<p title="a>b">A<p class=ad>no<p>B', "A\nB"),
+        ("<svg><p>A", "A"),
+        ("<script>x<p>A", ""),
+        ("<article><p hidden>h</p><p>A</p><header><h1>T</h1></header></article>", "A\nT"),
+        ('<p title="x>A</p><p>B</p>', "A\nB"),
+    ],
+)
+def test_containers_and_broken_markup(page, text):
+    (got,) = html.main_texts([tuple(map(list, zip(*html.blocks_of(page), strict=True))) or ([], [])])
+    assert got == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", "<a x=", "<", "<!", "<!--", "<svg>", "<title>", "</x>", "<div>", "<p class=ad>", "&amp;", '<div class="', "a "])
+def test_hostile_pages_take_linear_time(part):
+    page = "<article>text" + part * (1_000_000 // len(part))
+    begun = time.process_time()
+    html.blocks_of(page)
+    assert time.process_time() - begun < 3
+
+
+def test_pages_that_share_an_id_and_a_host_of_many(spark):
+    menu = "<div>home news sport weather contact about imprint help</div>"
+    story = lambda i: f"story number {i} tells of thing {i * 7} in many words"
+    pages = [(None if i % 2 else 7, "https://c.example/", f"{menu}<p>{story(i)}</p>", 1, "h", "r") for i in range(200)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string, shard int, host string, row string")
+    got = html.extract(d, shard_pages=50).collect()
+    assert sorted(r.text for r in got) == sorted(map(story, range(200)))
+
+
 def test_repeated_runs_of_a_host_go_where_structure_is_open(spark):
     menu = "<div>home news sport weather contact about imprint help</div>"
     pages = [(i, "https://c.example/", f"{menu}<p>story number {i} tells of thing {i * 7} in many words</p>") for i in range(12)]
@@ -129,7 +207,7 @@ def test_url_filter_by_day(spark, broadcast_rows):
     asked = [(1, "http://WWW.Bad.example:80/x", "2024-01-09"), (2, "http://www.bad.example/x", "2024-01-10"), (3, "https://bad.example/ok/y?z", "2024-01-31"), (4, "https://bad.example./x", "2024-02-01"), (5, "https://other.net/", "2024-01-15"), (6, None, "2024-01-15"), (7, "nonsense", "2024-01-15"), (8, "http://bad.example/okay", None), (2, "http://www.bad.example/x", "2024-01-10")]
     caps = spark.createDataFrame([(i, u, day(d) if d else None, "k") for i, u, d in asked], "capture_id long, url string, fetched date, key string")
     listed = spark.createDataFrame(ENTRIES, "entry_date date, kind string, key string, action string")
-    got = urls.filter_urls(caps, listed, broadcast_rows, salts=4)
+    got = urls.filter_urls(caps, listed, broadcast_rows, salt_rows=2)
     found = {r.capture_id: (r.blocked, r.rule, r.n_active) for r in got.collect()}
     assert found == {1: (True, "example", 1), 2: (True, "bad.example", 2), 3: (False, "bad.example/ok", 3), 4: (True, "example", 1), 5: (False, None, 0), 6: (False, None, 0), 7: (False, None, 0), 8: (False, None, 0)}
     assert got.count() == len(asked)
@@ -142,11 +220,48 @@ def test_url_prefixes_of_any_depth(spark, broadcast_rows):
     entries = spark.createDataFrame([(day("2024-01-01"), "prefix", k, a) for k, a in listed], "entry_date date, kind string, key string, action string")
     asked = [(1, "a/b/c/d/e"), (2, "a/b/c/d/e/f"), (3, "a//b/c/d/e/f/g?q"), (4, "a/b/c/d/e/f/g/h/i/j"), (5, "a"), (6, "")]
     caps = spark.createDataFrame([(i, f"https://deep.example/{p}", day("2024-02-01")) for i, p in asked], "capture_id long, url string, fetched date")
-    found = {r.capture_id: (r.blocked, r.rule, r.n_active) for r in urls.filter_urls(caps, entries, broadcast_rows, salts=4).collect()}
+    found = {r.capture_id: (r.blocked, r.rule, r.n_active) for r in urls.filter_urls(caps, entries, broadcast_rows, salt_rows=2).collect()}
     a, b, c = (k for k, _ in listed)
     assert found == {1: (False, b, 1), 2: (True, a, 2), 3: (True, a, 2), 4: (False, c, 3), 5: (False, None, 0), 6: (False, None, 0)}
 
 
+def test_url_filter_by_brute_force(spark):
+    rng = np.random.default_rng(17)
+    keys = ["a.example", "example", "b.example", "a.example/x", "a.example/x/y"]
+    entries = [(day("2024-01-01") + datetime.timedelta(int(rng.integers(0, 60))), "prefix" if "/" in k else "domain", k, str(rng.choice(["block", "allow", "remove"]))) for k in keys for _ in range(6)]
+    asked = [(i, f"http://{rng.choice(['a.example', 'b.example', 'c.example'])}/{rng.choice(['', 'x', 'x/y', 'x/yz'])}", day("2024-01-01") + datetime.timedelta(int(rng.integers(-3, 70)))) for i in range(300)]
+    held = {}
+    for d, kind, key, action in entries:
+        held[kind, key, d] = max(action, held.get((kind, key, d), ""))
+    want = {}
+    for i, url, d in asked:
+        at = url[7:]
+        best = None
+        for kind, key in {(k, n) for k, n, _ in held}:
+            past = [(x, a) for (k, n, x), a in held.items() if (k, n) == (kind, key) and x <= d]
+            match = at.split("/")[0] == key or at.split("/")[0].endswith("." + key) if kind == "domain" else (at.rstrip("/") + "/").startswith(key + "/")
+            if match and past and max(past)[1] != "remove":
+                best = max(best or (0, "", ""), (len(key), key, max(past)[1]))
+        want[i] = (best is not None and best[2] == "block", best and best[1])
+    listed = spark.createDataFrame(entries, "entry_date date, kind string, key string, action string")
+    caps = spark.createDataFrame(asked, "capture_id long, url string, fetched date")
+    for broadcast_rows in (100_000, 0):
+        assert {r.capture_id: (r.blocked, r.rule) for r in urls.filter_urls(caps, listed, broadcast_rows, salt_rows=20).collect()} == want
+
+
+def test_columns_that_clash(spark):
+    """Other columns, whatever their names, are kept or ignored by operators that read documents."""
+    names = "doc_id,text,lang,source,n_chars,_id,_drop,_hash,_text_hash,_judged,_size,_copies,_c,lang_pred,score,key,gone,row,kept,cell,before,target,taken,size,words,shuffled,source_key,n_lines,n_removed,part,a.b".split(",")
+    rows = [(i, f"{'the line that all of the sites have' if i < 9 else ''}\nthe words of document {i} and some more of them", "en", f"s{i}", 1, *range(len(names) - 5)) for i in range(10)]
+    d = spark.createDataFrame(rows, names)
+    assert language.keep_known(d).columns == names and language.keep_known(d).count() == 10
+    got = lines.dedup_lines(d)
+    assert got.columns == [n for n in names if n not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"] and got.agg(F.sum("n_removed")).first()[0] == 8
+    assert mixing.mix(d).columns == names and mixing.allocate(d).count() == 10
+    first = mixing.mix(d).filter("doc_id = 3").first()
+    assert list(first)[5:] == list(rows[3])[5:]
+
+
 def simulated(rows, weights=(5, 2, 1), share=1.5):
     """(doc_id, size, source_size, target, taken) by water filling and by serving a heap of queues, packet after packet."""
     sizes, queues = {}, {}
