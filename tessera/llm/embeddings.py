@@ -1,15 +1,19 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
-Only vectors of one label and length are compared. Equal vectors are first made one row with a count. Spherical k-means, fitted on a bounded sample
-(about SAMPLE vectors by hash), assigns every vector to the cell of its nearest centroid. So that no link is lost, a vector also
-visits each cell in which a vector within the threshold's angle could lie: those whose bisecting plane with its own cell is nearer than the
-sine of that angle. Each vector's links are counted in its own cell, among owners and visitors, so once each. If the sample says that
-cells would not save products (vectors would visit most of them), a label has one cell. Cells are cut into parts of PART rows,
-and each pair of parts is a block of its own: no cell is held whole, and no pair is written, only counts and a
+Only vectors of one label and length are compared. Equal vectors are first made one row with a count. Spherical k-means, fitted for each label on
+a bounded sample (about SAMPLE vectors by hash), assigns every vector to the cell of its nearest centroid; a cell that is still large is split in the same way,
+level by level, so the number of cells grows with the data while each fit and each set of centroids stays small (FAN at most). So that no link is lost, a
+vector also visits each cell in which a vector within the threshold's angle could lie: those whose bisecting plane with its own cell is nearer than the
+sine of that angle. Each vector's links are counted in its own cell, among owners and visitors, so once each. Of several numbers of
+cells a fit takes the one that leaves the sample the fewest products, two at least for a whole label; a cell whose vectors would visit nearly all
+new ones, as in a large group of near copies, stays as it is. Cells of over PART rows are cut into parts, and each
+pair of parts is a block of its own: no cell is held whole, and no pair is written, only counts and a
 spanning forest. Cosines are in double precision.
 
+Neither vectors nor centroids pass the driver: samples and rows meet their centroids by cell, large cells dealt over salts of SALT_ROWS rows.
+
 A null label, a null vector, null or non-finite components or norm zero: no links, a group of its own. Vectors of other lengths don't
-compare. Repeated rows count as other vectors. Other columns are ignored.
+compare. Repeated rows and null vec_ids count as other vectors (a null vec_id is the largest). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, drop_tables, materialise, table
 from .graph import components, forest
 
 THRESHOLD = 0.98
-SAMPLE = 20_000
-#: Vectors of a label for each cell, and cells of a label at most.
+SAMPLE = 4096
+#: Vectors of a cell that is small enough, new cells of a fit at most, and levels of splits.
 PER_CELL = 500
-MOST_CELLS = 512
+FAN = 64
+LEVELS = 6
+#: A cell is split if that leaves under this share of its products.
+WORTH = 0.7
+SALT_ROWS = 20_000
+LAST = (1 << 63) - 1
+CELL = ["label", "dim", "cell"]
 ITERATIONS = 8
-PART = 2048
+PART = 8192
 BLOCK = 512
 
 
@@ -58,28 +68,40 @@ def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray
     return own, margin <= np.sqrt(max(0.0, 1 - threshold * threshold)) * apart + 1e-9
 
 
-def fit(distinct: DataFrame, threshold: float, per_cell: int = PER_CELL, sample: int = SAMPLE) -> dict[tuple, np.ndarray]:
-    """Centroids by (label, dim); labels for which cells don't save products have none."""
-    counts = {(r.label, r.dim): r.n for r in distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    share = min(1.0, sample / max(1, sum(counts.values())))
-    rows = distinct.filter(F.pmod(F.xxhash64("first"), F.lit(1 << 40)) < int(share * (1 << 40))).select("label", "dim", "embedding").collect()
-    by: dict[tuple, list] = {}
-    for r in rows:
-        by.setdefault((r.label, r.dim), []).append(r.embedding)
-    found = {}
-    for key, vectors in by.items():
-        k = min(MOST_CELLS, counts.get(key, 0) // per_cell, len(vectors) // 8)
-        if k < 2:
-            continue
-        x = unit(np.array(vectors, "f8"))
+def best_centroids(x: np.ndarray, k: int, least: int, threshold: float) -> np.ndarray | None:
+    """Centroids, of k or fewer cells, that leave the sample x the fewest products; with least = 1 none if splitting isn't worth it."""
+    found, lowest = None, WORTH * len(x) ** 2
+    while k >= 2:
         c = spherical_kmeans(x, k)
         own, goes = cells_of(x, c, threshold)
-        # owners times members, against all times all
-        if (np.bincount(own, minlength=k) * goes.sum(axis=0)).sum() < len(x) ** 2:
-            found[key] = c
+        # owners times members, against all times all; a row that goes to a cell costs about as much as 100 products
+        cost = (np.bincount(own, minlength=k) * goes.sum(axis=0)).sum() + 100 * (goes.sum() - len(x))
+        if cost < lowest or (found is None and least > 1 and k <= 3):
+            found, lowest = c, cost
+        k //= 2
     return found
 
 
+def fit(rows: DataFrame, sizes: DataFrame, threshold: float, per_cell: int, level: int) -> DataFrame:
+    """sizes: cells to split, with their owners. Returns label, dim, cell, k and centroids (k * dim numbers) of each that is split."""
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("owners"))
+    drawn = F.pmod(F.xxhash64("first", F.lit(level)), F.lit(1 << 40)) < share * (1 << 40)
+    sample = rows.filter("owner").join(sizes, CELL).filter(drawn).select(*CELL, "owners", "first", "embedding")
+    least = 2 if level == 0 else 1
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("first")
+        dim, n = t.column("dim")[0].as_py(), t.column("owners")[0].as_py()
+        x = np.array(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), "f8").reshape(-1, dim)
+        k = min(FAN, max(2, -(-n // per_cell)), len(x))
+        c = best_centroids(unit(x), k, least, threshold)
+        one = [] if c is None else [c]
+        cells = {name: t.column(name).slice(0, len(one)) for name in CELL}
+        return pa.table({**cells, "k": pa.array([len(c) for c in one], pa.int32()), "centroids": pa.array([c.ravel() for c in one], pa.list_(pa.float64()))})
+
+    return sample.groupBy(*CELL).applyInArrow(run, "label long, dim int, cell long, k int, centroids array<double>")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
@@ -87,45 +109,66 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(fine)
 
 
-def placed(distinct: DataFrame, centroids: dict, threshold: float) -> DataFrame:
+def split(rows: DataFrame, fitted: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Each row once for each new cell that it goes to; rows of cells that aren't split stay. A cell and its centroids meet in salts of the cell."""
+    salts = sizes.join(fitted.select(*CELL), CELL).select(*CELL, F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
+    marked = rows.join(salts, CELL, "left")
+    stay = marked.filter("salts IS NULL").select(*rows.columns)
+    go = marked.filter("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("first"), F.col("salts")).cast("int")).drop("salts")
+    centroids = fitted.join(salts, CELL).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    names, schema = rows.columns, rows.schema
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        out = [left.column(n) for n in names]
+        if not left.num_rows or not right.num_rows:
+            return pa.table(out, names=names).slice(0, 0)
+        dim, cell = left.column("dim")[0].as_py(), left.column("cell")[0].as_py()
+        c = np.array(right.column("centroids")[0].values.to_numpy(zero_copy_only=False), "f8").reshape(-1, dim)
+        x = np.array(left.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), "f8").reshape(-1, dim)
+        own, goes = cells_of(unit(x), c, threshold)
+        r, k = np.nonzero(goes)
+        taken = left.select(names).take(pa.array(r))
+        owner = taken.column("owner").to_numpy() & (own[r] == k)
+        at = names.index
+        taken = taken.set_column(at("cell"), "cell", pa.array(cell * (FAN + 1) + k + 1, pa.int64()))
+        return taken.set_column(at("owner"), "owner", pa.array(owner, pa.bool_()))
+
+    key = [*CELL, "salt"]
+    parted = go.groupBy(*key).cogroup(centroids.groupBy(*key)).applyInArrow(run, schema)
+    return stay.unionByName(parted)
+
+
+def placed(distinct: DataFrame, threshold: float, per_cell: int) -> DataFrame:
     """A row for each cell that a vector goes to: label, dim, cell, owner, first, n, embedding."""
-    shared = distinct.sparkSession.sparkContext.broadcast(centroids)
-
-    def run(batches):
-        for b in batches:
-            label, dim = b.column("label").to_numpy(zero_copy_only=False), b.column("dim").to_numpy(zero_copy_only=False)
-            cell, owner, row = [], [], []
-            for key in sorted(set(zip(label.tolist(), dim.tolist(), strict=True))):
-                at = np.nonzero((label == key[0]) & (dim == key[1]))[0]
-                c = shared.value.get(key)
-                if c is None:
-                    cell.append(np.zeros(len(at), "i4"))
-                    owner.append(np.ones(len(at), bool))
-                    row.append(at)
-                    continue
-                x = np.array(b.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), "f8").reshape(-1, key[1])
-                own, goes = cells_of(unit(x), c, threshold)
-                r, k = np.nonzero(goes)
-                cell.append(k.astype("i4"))
-                owner.append(own[r] == k)
-                row.append(at[r])
-            taken = b.take(pa.array(np.concatenate(row))) if row else b
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cell or [np.zeros(0, "i4")])), pa.array(np.concatenate(owner or [np.zeros(0, bool)]))], [*b.schema.names, "cell", "owner"])
-
-    kinds = dict(distinct.dtypes)
-    return distinct.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in distinct.columns) + ", cell int, owner boolean")
+    rows = distinct.select("label", "dim", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("owner"), "first", "n", "embedding")
+    tried = None
+    for level in range(LEVELS):
+        sizes = rows.groupBy(*CELL).agg(F.count(F.when(F.col("owner"), 1)).alias("owners"), F.count("*").alias("members"))
+        sizes = sizes.filter("owners > 1" if level == 0 else F.col("owners") > 2 * per_cell)
+        sizes = materialise(sizes if tried is None else sizes.join(tried, CELL, "left_anti"), "embed-sizes")
+        fitted = materialise(fit(rows, sizes, threshold, per_cell, level), "embed-centroids")
+        if not fitted.limit(1).count():
+            break
+        unsplit = sizes.join(fitted, CELL, "left_anti").select(*CELL)
+        tried = unsplit if tried is None else tried.unionByName(unsplit)
+        before, rows = rows, materialise(split(rows, fitted, sizes, threshold), "embed-cells")
+        if level:
+            drop_tables(before)
+    return rows
 
 
 def compare(rows: DataFrame, threshold: float, part: int = PART) -> DataFrame:
     """Counts (a, null, n) of what each owner links with, itself included, and links (a, b, null) that span its group."""
-    sizes = rows.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sizes = rows.groupBy(*CELL).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")
     asks = F.when(F.col("owner"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(True).alias("asks"), (j == F.col("mine")).alias("answers"))))
     answers = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
     # an owner's own block asks and answers in one row
     answers = F.when(F.col("owner"), F.filter(answers, lambda s: s["i"] != F.col("mine"))).otherwise(answers)
     none = F.array().cast("array<struct<i:int,j:int,asks:boolean,answers:boolean>>")
-    blocks = rows.join(F.broadcast(sizes.filter("parts > 1")), ["label", "dim", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
+    blocks = rows.join(sizes.filter("parts > 1"), CELL, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
     blocks = blocks.select("label", "dim", "cell", "first", "n", "embedding", F.explode(F.concat(F.coalesce(asks, none), answers)).alias("s")).select("label", "dim", "cell", "s.*", "first", "n", "embedding")
     keys = ["label", "dim", "cell", "i", "j"]
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
@@ -181,17 +224,22 @@ def compare(rows: DataFrame, threshold: float, part: int = PART) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = PER_CELL, part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+    bounded_batches(vectors.sparkSession)
     fine = usable(vectors).select("vec_id", "label", "embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("code"))
     key = ["label", "dim", "code", "embedding"]
-    distinct = materialise(fine.groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("n")), "embed-distinct")
+    whole = fine.groupBy(*key).agg(F.min(F.coalesce("vec_id", F.lit(LAST))).alias("least"), F.count("*").alias("n"))
+    distinct = materialise(whole.withColumn("first", F.monotonically_increasing_id()), "embed-distinct")
     slim = distinct.select("label", "dim", "first", "n", "embedding")
-    found = materialise(compare(placed(slim, fit(slim, threshold, per_cell), threshold), threshold, part), "embed-found")
+    found = materialise(compare(placed(slim, threshold, per_cell), threshold, part), "embed-found")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("first")).agg((F.sum("n") - 1).alias("n_links"))
-    up = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("component_id"))
-    known = materialise(distinct.join(counts, "first").join(up, "first", "left").select(*key, "first", "n_links", F.coalesce("component_id", "first").alias("component_id")), "embed-known")
+    up = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("first"), F.col("root"))
+    rooted = materialise(distinct.join(counts, "first").join(up, "first", "left").select(*key, "n_links", "least", F.coalesce("root", "first").alias("root")), "embed-rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = rooted.drop("least").join(least, "root").drop("root")
     joined = vectors.withColumn("dim", F.size("embedding")).withColumn("code", F.xxhash64("embedding")).join(known, key, "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(component != LAST, component)
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

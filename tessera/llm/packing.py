@@ -4,8 +4,8 @@ Pass 1 tokenises each document once, ends it with END_ID and writes the ids with
 partition. The per-partition totals (one row a partition) become partition offsets; pass 2 adds them, so every document
 knows its global offset, and cuts it at the window borders. A document over a border gives one record on either side.
 
-The tokeniser splits at white space before it merges, so the ids of a text are those of its words in a row. Words are
-kept in a table, once a worker sees them again, of at most CACHE_WORDS words; others are tokenised anew.
+The tokeniser splits at white space before it merges, so the ids of a text are those of its words in a row. Words that come
+often are kept in a table of at most CACHE_WORDS words, the more often the fuller the table is; others are tokenised anew.
 
 Null text counts as empty: one token. Repeated rows are packed each. No rows give no pieces. Other columns are ignored.
 """
@@ -24,8 +24,10 @@ from .common import bounded_batches, materialise, table
 
 END_ID = 1
 LENGTH = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 SEEN_BITS = 22
+#: Partition offsets that are broadcast; more are joined by a shuffle.
+OFFSET_ROWS = 500_000
 MARK = "\x1f"
 #: Characters whose words are looked up together.
 CHUNK_CHARS = 500_000
@@ -41,7 +43,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """ids of texts as little-endian bytes, word by word. Words seen a second time are kept; a bit field remembers the first time."""
+    """ids of texts as little-endian bytes, word by word. Words seen often enough are kept; a table of counts by hash remembers how often."""
 
     def __init__(self, path: str):
         if path not in _tokenizers:
@@ -59,14 +61,15 @@ class WordIds:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         known, seen, mask = self.known, self.seen, (1 << SEEN_BITS) - 1
         new = list(set().union(*words).difference(known))
-        room = len(known) < CACHE_WORDS
+        full = len(known) / CACHE_WORDS
+        need = 1 if full < 0.5 else 3 if full < 0.75 else 7 if full < 1 else 256  # times seen before
         known.update(zip(new, self.encoded(new), strict=True))
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         for w in new:
             at = hash(w) & mask
-            if not (room and seen[at]):
+            if seen[at] < need:
                 del known[w]
-            seen[at] = 1
+            seen[at] = min(255, seen[at] + 1)
         return out
 
     def encoded(self, words: list[str]) -> list[bytes]:
@@ -123,10 +126,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array of int)."""
     path = path or tokenizer_path()
     ids = materialise(tokenised(docs.withColumn("doc_id", F.col("doc_id").cast("long")), path, end_id), "pack-ids")
-    totals = ids.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    totals = materialise(ids.groupBy("part").agg(F.sum("n_tokens").alias("total")), "pack-totals")
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(running), F.lit(0)).alias("part_offset"))
-    placed = ids.join(F.broadcast(offsets), "part").select("doc_id", (F.col("part_offset") + F.col("before")).alias("at"), "n_tokens", "ids")
+    if totals.count() <= OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    placed = ids.join(offsets, "part").select("doc_id", (F.col("part_offset") + F.col("before")).alias("at"), "n_tokens", "ids")
 
     def cut(batches):
         width = WordIds(path).dtype

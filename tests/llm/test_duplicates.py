@@ -167,7 +167,7 @@ def test_simhash_query_edges(spark):
     assert simhash.near_duplicates(d.drop("component_id").limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("per_cell", "part"), [(500, 2048), (20, 16)])
+@pytest.mark.parametrize(("per_cell", "part"), [(500, 2048), (20, 16), (5, 2048)])
 def test_embedding_links_against_brute_force(spark, per_cell, part):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(30, 8))
@@ -189,6 +189,26 @@ def test_embedding_links_against_brute_force(spark, per_cell, part):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_cells_at_every_size(spark, sf):
+    """Each label is split, a large group of near copies stays together, and a vector goes to few of many cells."""
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(400, 16))
+    far = [(i, v.tolist(), 0) for i, v in enumerate(np.repeat(base, 5, 0) + rng.normal(size=(2000, 16)) * 0.02)]
+    ball = [(5000 + i, (base[0] + v).tolist(), 1) for i, v in enumerate(rng.normal(size=(1500, 16)) * 0.02)]
+    d = spark.createDataFrame(far + ball, "first long, embedding array<double>, label long").selectExpr("label", "16 AS dim", "first", "1L AS n", "embedding").repartition(4)
+    cells = {r.label: r for r in embeddings.placed(d, 0.98, 40).groupBy("label").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("rows"), F.sum(F.col("owner").cast("int")).alias("owners")).collect()}
+    assert cells[0].cells > 30 and cells[0].owners == 2000 and cells[0].rows < 16000
+    assert 2 <= cells[1].cells < 16 and cells[1].owners == 1500 and cells[1].rows < 16000
+    small = spark.read.parquet(f"{sf}/embeddings.parquet").filter("label IS NOT NULL").selectExpr("cast(label AS long) AS label", "size(embedding) AS dim", "vec_id AS first", "1L AS n", "embedding")
+    assert embeddings.placed(small, 0.98, 500).groupBy("label").agg(F.count_distinct("cell").alias("cells")).filter("cells < 2").count() <= small.groupBy("label").count().filter("count < 2").count()
+
+
+def test_embeddings_that_share_an_id(spark):
+    d = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (4, [-1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((str(tuple(r)) for r in embeddings.near_duplicates(d).collect()))
+    assert got == sorted(map(str, [(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 1, None, True), (None, 1, None, True), (4, 0, 4, True)]))
+
+
 def removed(rows):
     """(doc_id, n_bytes, n_removed, n_spans, sha256) of each row, sorted; a null doc_id is the largest."""
     order = lambda d: float("inf") if d is None else d

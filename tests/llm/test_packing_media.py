@@ -41,6 +41,19 @@ def test_pieces_cover_all_tokens(spark):
     assert got == want
 
 
+def test_long_texts_and_offsets_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OFFSET_ROWS", 0)
+    long = " ".join(f"word{i % 977} other{i % 31}" for i in range(40_000))
+    rows = packing.pack(docs(spark, ["a b", long, "c", long])).orderBy("sequence_id", "offset").collect()
+    at, tokens = 0, {}
+    for r in rows:
+        assert r.sequence_id * 2048 + r.offset == at and r.length == len(r.ids)
+        tokens.setdefault(r.doc_id, []).extend(r.ids)
+        at += r.length
+    assert tokens[1] == tokens[3]
+    assert sum(r.length == 2048 for r in rows) > 40 and {r.doc_id: len(tokens[r.doc_id]) for r in rows} == {r.doc_id: r.doc_tokens for r in rows}
+
+
 def test_packing_of_nothing_and_of_repeats(spark):
     assert packing.pack(docs(spark, []), length=8).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
