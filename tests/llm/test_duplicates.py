@@ -298,15 +298,65 @@ def test_blind_trie_and_strings():
 
 
 def test_pipeline_stages(spark, sf):
+    """Each stage against brute force on what its predecessor kept."""
     import corpus_pipeline as P
+    from test_texts import simulated
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
     from tessera.llm.common import materialise, table
 
     d = table(spark, sf, "documents")
-    names, sizes = d.columns, []
+    names, kept = d.columns, {None: d.collect()}
     for name, stage in P.STAGES:
         d = materialise(stage(spark, d, sf), name)
-        sizes.append(d.count())
+        kept[name] = d.collect()
         if name != P.STAGES[-1][0]:
             assert d.columns == names
-    assert sizes[2] < sizes[1] and d.agg(F.sum("length")).first()[0] == d.groupBy("doc_id", "doc_tokens", "start").count().agg(F.count("*")).first()[0] or sizes[4] > 0
+    start, known, lined, single, mixed, packed = kept.values()
+    assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "source_mixing", "packing"]
+
+    letters = {r.doc_id: r for r in start if re.search(r"[^\W\d_]", r.text or "")}
+    assert {r.doc_id for r in known} == set(letters) and all(r.text == letters[r.doc_id].text for r in known)
+    told = [(r.lang, letters[r.doc_id].lang) for r in known if letters[r.doc_id].lang]
+    assert sum(a == b for a, b in told) >= 0.97 * len(told)
+
+    sites, first = {}, {}
+    for r in known:
+        for pos, line in enumerate(r.text.split("\n")):
+            line = line.strip(" \t\r")
+            if len(line) >= 12:
+                sites.setdefault(line, set()).add(r.source)
+                first[line] = min(first.get(line, (r.doc_id, pos)), (r.doc_id, pos))
+    bad = {x for x, s in sites.items() if len(s) >= 8}
+    want = {r.doc_id: "\n".join(x for pos, x in enumerate(r.text.split("\n")) if (t := x.strip(" \t\r")) not in bad or first[t] == (r.doc_id, pos)) for r in known}
+    assert {r.doc_id: r.text for r in lined} == want
+
+    groups = brute_similar(sorted((r.doc_id, r.text.lower()) for r in lined))
+    assert {r.doc_id for r in single} == {i for i, g in groups.items() if i == g} and len(single) < len(lined)
+
+    words = {}
+    for r in mixed:
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {w[0]: w[4] for w in simulated([(r.doc_id, r.text, None, r.source) for r in single]) if w[4]}
+
+    tokens = Tokenizer.from_file(packing.tokenizer_path())
+    want = sorted((r.doc_id, len(tokens.encode(r.text, add_special_tokens=False).ids) + 1) for r in mixed)
+    assert sorted((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == want and sum(r.length for r in packed) == sum(n for _, n in want)
     assert P.run(spark, sf).columns == d.columns
+
+
+def test_pipeline_stages_keep_extra_columns_and_bear_edges(spark):
+    import corpus_pipeline as P
+
+    text = "the words of a text that is long enough to be told from others by all of the stages"
+    rows = [(1, text, "en", "a", 1), (None, text + " and one more", None, None, 2), (None, text.upper(), "en", None, 3), (2, None, "en", "b", 4), (2, "", None, "b", 5), (3, "!!", "en", "b", 6), (4, text, "en", "b", 7), (5, "short", "en", "", 8), (5, "short", "en", "", 9)]
+    d = spark.createDataFrame([(*r, *"xyzuv") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, `_id` string, row string, part string, `a.b` string")
+    for docs in (d, d.limit(0)):
+        names = docs.columns
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, "")
+            out.count()
+            if name != "packing":
+                assert out.columns == names
+                docs = out
