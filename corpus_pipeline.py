@@ -8,17 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import language, lines, mixing, packing, simhash
-from tessera.llm.common import materialise, table
+from tessera.llm.common import drop_tables, step, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null text, no letters) go."""
+    """`lang` becomes the language found; documents that have no letters, or that no language explains, go."""
     return language.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found on many sites go, but where they come first."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return lines.dedup_lines(docs).select(*(f"`{n}`" for n in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, step(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        if before is not given:
+            drop_tables(before)
     return STAGES[-1][1](spark, docs, sf_dir)
