@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries compared at once in a task.
-BLOCK = 256
-#: Queries that are sent to every task; more are dealt in parts of this size.
+BLOCK = 64
+#: Queries and vectors of a block.
 QUERIES = 20_000
+VECTORS = 50_000
+#: With few vectors, parts of so many are enough work for a task.
+FEW = 2_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -21,34 +24,31 @@ def unit(x: np.ndarray) -> np.ndarray:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, vec_id, score, rank of each query's k nearest other vectors; ties (scores rounded to digits) by vec_id.
 
-    Queries, by parts of bounded size, go to every block of vectors; a block gives k rows for each query, so what meets at a query
-    is k times the number of blocks, not the number of vectors."""
-    spark = vectors.sparkSession
+    Queries and vectors are dealt by hash into parts of bounded size, and each pair of parts is a block that meets in a shuffle; nothing passes the
+    driver. A block gives k rows for each query, so what meets at a query is k times the number of parts, not the number of vectors."""
     asked = queries.filter("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding")
-    n = max(1, -(-asked.count() // QUERIES))
-    found = None
-    for part in range(n):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), unit(np.array([r.embedding for r in rows], "f8"))))
-        block = vectors.filter("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(_best_of_block(shared, k, digits), "query_id long, vec_id long, score double")
-        found = block if found is None else found.unionByName(block)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    against = vectors.filter("embedding IS NOT NULL").select("vec_id", "embedding")
+    n_vectors = against.count()
+    n_left = max(1, -(-asked.count() // QUERIES))
+    n_right = max(1, -(-n_vectors // VECTORS), min(64, -(-n_vectors // FEW)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_left)).cast("int").alias("a"), every(n_right).alias("b"))
+    right = against.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_right)).cast("int").alias("b"), every(n_left).alias("a"))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_best_of_block(k, digits), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _best_of_block(shared, k: int, digits: int):
-    def run(batches):
-        ids, asked = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vec = b.column(0).to_numpy(zero_copy_only=False)
-            x = unit(np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), "f8").reshape(b.num_rows, -1))
-            q, v, s = [], [], []
+def _best_of_block(k: int, digits: int):
+    def matrix(t: pa.Table) -> np.ndarray:
+        flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return unit(np.array(flat, "f8").reshape(t.num_rows, -1))
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        q, v, s = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]
+        if queries.num_rows and vectors.num_rows:
+            ids, vec = queries.column("query_id").to_numpy(), vectors.column("vec_id").to_numpy()
+            asked, x = matrix(queries), matrix(vectors)
             for at in range(0, len(ids), BLOCK):
                 score = np.round(asked[at : at + BLOCK] @ x.T, digits)
                 score[ids[at : at + BLOCK][:, None] == vec[None, :]] = -2
@@ -58,7 +58,7 @@ def _best_of_block(shared, k: int, digits: int):
                     q.append(np.full(len(best), ids[at + i]))
                     v.append(vec[best])
                     s.append(row[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s))], ["query_id", "vec_id", "score"])
+        return pa.table({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
 
     return run
 

@@ -60,10 +60,10 @@ FROM {SCENARIO_SQL}, (SELECT month(l_shipdate) AS month, avg(CASE WHEN month(l_s
 def scenario_projection(t):
     """Each scenario by month of the year: at most twelve months by a fixed handful of scenarios."""
     unit = attempts(t).groupBy(F.month("l_shipdate").alias("month")).agg(F.avg(F.when(F.month("l_shipdate") != 2, F.col("price").cast("double"))).alias("unit"))
-    s = F.broadcast(t.spark.createDataFrame(SCENARIOS, "id string, people int, questions int"))
+    each = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("id", "people", "questions"), s, strict=True))) for s in SCENARIOS))
     asked = F.col("people") * F.col("questions") * 30
     verdict = F.when(F.col("unit").isNull(), "UNDETERMINED").when(asked * F.col("unit") <= 30_000_000, "PASS").otherwise("FAIL")
-    return unit.join(s, F.lit(True)).select("id", "month", F.round(asked * F.col("unit"), 6).alias("cost"), verdict.alias("verdict"), asked.alias("questions"))
+    return unit.select("*", F.inline(each)).select("id", "month", F.round(asked * F.col("unit"), 6).alias("cost"), verdict.alias("verdict"), asked.alias("questions"))
 
 
 @query(f"SELECT l_suppkey, min(seq) AS first_breach FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS seq, sum(price) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS spent FROM {ATTEMPTS}) WHERE spent > 1000000 GROUP BY 1")

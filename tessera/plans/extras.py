@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .operations import DAY, business_date
 from .registry import query
 
 
@@ -45,8 +46,9 @@ SELECT event_id, CASE WHEN before IS NULL THEN after WHEN after IS NULL THEN bef
 def nearest_sampled(t):
     """Each event takes on its user's nearest sampled event, the earlier of two at one distance."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     sampled = F.when(F.col("event_type") == "signup", F.col("ts"))
-    e = t("events").withColumn("before", F.max(sampled).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min(sampled).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    e = t("events").withColumn("before", F.max(sampled).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min(sampled).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     nearest = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("after") - F.col("ts") < F.col("ts") - F.col("before"), F.col("after")).otherwise(F.col("before"))
     return e.select("event_id", nearest.alias("nearest"))
 
@@ -95,7 +97,8 @@ def run_metrics(t):
         F.round(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)), 6).alias("error_rate"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.stddev_pop("value"), 4).alias("spread"),
     )
     kinds = e.groupBy("event_type").count().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "count"))))).alias("kinds"))
-    return one.join(kinds, F.lit(True))
+    key = F.lit(1).alias("k")  # one row on either side
+    return one.select("*", key).join(kinds.select("*", key), "k").drop("k")
 
 
 @query("""SELECT user_id, CASE WHEN bool_or(event_type = 'click') THEN 'REQUESTED' WHEN bool_and(event_type = 'error') THEN 'FAILED' ELSE 'PENDING' END AS status, count(DISTINCT event_type || ':' || CAST(ts AS DATE)) AS notices FROM events GROUP BY 1""")
@@ -105,12 +108,13 @@ def delivery_status(t):
     return t("events").groupBy("user_id").agg(status.alias("status"), F.countDistinct(F.concat_ws(":", kind, F.to_date("ts").cast("string"))).alias("notices"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (hour(ts) * 60 + minute(ts) - 240 + 1440) % 1440, event_id) AS rn FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05') WHERE rn = 1")
+@query(f"""SELECT user_id, business_date, event_id, n FROM (SELECT user_id, {DAY} AS business_date, event_id, count(*) OVER (PARTITION BY user_id, {DAY}) AS n,
+row_number() OVER (PARTITION BY user_id, {DAY} ORDER BY (hour(ts) * 60 + minute(ts) - 240 + 1440) % 1440, event_id) AS rn FROM events) WHERE rn = 1""")
 def business_day_order(t):
-    """The first event of a business day that starts at four."""
-    e = t("events").filter(F.to_date("ts") == F.lit("2024-01-05").cast("date"))
+    """The first event, by minutes into it, of each business day of a user; the day starts at four."""
     into = F.pmod(F.hour("ts") * 60 + F.minute("ts") - 60 * fixed.DAY_START_HOUR, F.lit(1440))
-    return e.groupBy("user_id").agg(F.min(F.struct(into.alias("m"), "event_id")).alias("x")).select("user_id", "x.event_id")
+    days = t("events").groupBy("user_id", business_date(F.col("ts")).alias("business_date"))
+    return days.agg(F.min(F.struct(into.alias("m"), "event_id")).alias("x"), F.count("*").alias("n")).select("user_id", "business_date", "x.event_id", "n")
 
 
 @query("SELECT p_brand, min(p_size) AS low, max(p_size) AS high, least(max(p_size), 30) >= greatest(min(p_size), 20) AS overlaps, greatest(min(p_size), 20) AS from_size, least(max(p_size), 30) AS to_size FROM part GROUP BY 1")

@@ -18,10 +18,16 @@ def normalised_dedup(t):
     return first_of(t("documents").withColumn("k", F.sha2(squash(F.lower("text")), 256)), ["source", "k"], "doc_id")
 
 
-@query("""SELECT a.id AS left_id, b.id AS right_id, a.name AS left_name, b.name AS right_name FROM (SELECT p_partkey AS id, split_part(p_name, ' ', 1) || (p_partkey % 97) AS name FROM part) a
-JOIN (SELECT p_partkey AS id, split_part(p_name, ' ', 1) || (p_partkey % 97) AS name FROM part) b ON a.id < b.id AND levenshtein(a.name, b.name) = 1 WHERE length(a.name) >= 3 AND length(b.name) >= 3 AND a.id % 20 = 1 AND b.id % 20 = 1""".replace("AND a.id % 20 = 1 AND b.id % 20 = 1", ""))
+@query("""WITH n AS (SELECT split_part(p_name, ' ', 1) || (p_partkey % 97) AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1)
+SELECT a.id AS left_id, b.id AS right_id, a.name AS left_name, b.name AS right_name, a.n AS left_n, b.n AS right_n FROM n a JOIN n b ON a.id < b.id AND levenshtein(a.name, b.name) = 1 WHERE length(a.name) >= 3 AND length(b.name) >= 3""")
 def edit1_pairs(t):
-    return edit_one_pairs(t("part").select(F.col("p_partkey").alias("id"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_partkey") % 97).cast("string")).alias("name")))
+    """Names one edit apart, each by its first part, with the number of parts of the name: equal names are one class before names are linked."""
+    name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_partkey") % 97).cast("string"))
+    names = t("part").groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    pairs = edit_one_pairs(names)
+    for side in ("left", "right"):
+        pairs = pairs.join(names.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n")), f"{side}_id")
+    return pairs
 
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS w FROM part UNION SELECT DISTINCT lower(n_name) FROM nation UNION SELECT DISTINCT lower(r_name) FROM region)
@@ -104,10 +110,10 @@ def notice_hold(t):
     return t("lineitem").groupBy("l_partkey").agg(F.bool_and(F.col("l_returnflag") == "N").alias("held"), F.countDistinct("l_suppkey").alias("sources"))
 
 
-@query("SELECT l_suppkey, list_sort(list(DISTINCT l_shipdate))[1:3] AS first_three, count(DISTINCT l_shipdate) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, list_sort(list(DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR)))[1:3] AS first_three, count(DISTINCT CAST(l_shipdate AS DATE)) AS n FROM lineitem GROUP BY 1")
 def ordered_array_agg(t):
     """Values in order, capped in length; Spark's array_agg has no order, so the set is sorted."""
-    g = t("lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_shipdate")).alias("d"))
+    g = t("lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.to_date("l_shipdate").cast("string"))).alias("d"))
     return g.select("l_suppkey", F.slice("d", 1, 3).alias("first_three"), F.size("d").cast("long").alias("n"))
 
 

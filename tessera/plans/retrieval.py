@@ -3,13 +3,16 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import anchors, tokens
 from ..operators.search import fuse, gate, lexical, postings
 from ..operators.vectors import nearest
 from .quality import COSINE
 from .registry import query
 
 
+SALTS = 16
+
+
 def near(t, k=20):
     e = t("embeddings")
     return nearest(e.filter("vec_id % 100 = 0"), e, k)
@@ -70,12 +73,15 @@ def retrieval_gate(t):
 
 
 @query(f"""WITH {NEAR}, top AS (SELECT query_id, vec_id, label, round(score, 6) AS score FROM near JOIN embeddings USING (vec_id) WHERE rank <= 3)
-SELECT query_id, vec_id, score, false AS sibling FROM top UNION ALL SELECT DISTINCT t.query_id, e.vec_id, 0.0, true FROM top t JOIN embeddings e USING (label) WHERE e.vec_id % 7 = 0 AND NOT EXISTS (SELECT 1 FROM top x WHERE x.query_id = t.query_id AND x.vec_id = e.vec_id)""")
+SELECT query_id, vec_id, score, false AS sibling FROM top UNION ALL SELECT DISTINCT t.query_id, e.vec_id, 0.0, true FROM top t JOIN embeddings e USING (label) WHERE NOT EXISTS (SELECT 1 FROM top x WHERE x.query_id = t.query_id AND x.vec_id = e.vec_id)""")
 def sibling_completion(t):
     """The top three, and their cards' other key blocks with score zero."""
     e = t("embeddings").select("vec_id", "label")
     top = near(t, 3).join(e, "vec_id").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
-    more = top.select("query_id", "label").distinct().join(e.filter("vec_id % 7 = 0"), "label").join(top.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    # a card may have a third of all blocks: its rows are dealt over salts, and each card asked for meets every salt
+    blocks = e.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    asked = top.select("query_id", "label").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    more = asked.join(blocks, ["label", "salt"]).join(top.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
     return top.select("query_id", "vec_id", "score", F.lit(False).alias("sibling")).unionByName(more.select("query_id", "vec_id", F.lit(0.0).alias("score"), F.lit(True).alias("sibling")))
 
 
@@ -121,17 +127,39 @@ def hash_sample(t):
 def stratified_round_robin(t):
     """The first two of each source, one of each in turn."""
     rn = F.row_number().over(Window.partitionBy("source").orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id"))
-    return t("documents").withColumn("rn", rn).orderBy("rn", "source").limit(40).select("doc_id", "source", "rn")
+    # no source can give more than all 40, and this limit cuts each group before the shuffle
+    return t("documents").withColumn("rn", rn).filter("rn <= 40").orderBy("rn", "source").limit(40).select("doc_id", "source", "rn")
 
 
-@query(f"""WITH {LEX}, pool AS (SELECT query_id, doc_id, 'channel' AS origin FROM lex WHERE rank <= 3), rest AS (SELECT q.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY q.item_id ORDER BY sha256(CAST(q.item_id AS VARCHAR) || ':' || CAST(d.doc_id AS VARCHAR))) AS rn
- FROM benchmark q JOIN documents d ON d.doc_id % 50 = q.item_id % 50 WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = q.item_id AND p.doc_id = d.doc_id))
+@query(f"""WITH {LEX}, pool AS (SELECT query_id, doc_id, 'channel' AS origin FROM lex WHERE rank <= 3), placed AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos FROM documents),
+seeds AS (SELECT item_id AS query_id, (SELECT count(*) FROM documents WHERE sha256(CAST(doc_id AS VARCHAR)) < sha256('q:' || CAST(item_id AS VARCHAR))) AS seed FROM benchmark),
+tried AS (SELECT query_id, i, (seed + i) % (SELECT count(*) FROM documents) AS pos FROM seeds, range(5) r(i)),
+rest AS (SELECT a.query_id, p.doc_id, row_number() OVER (PARTITION BY a.query_id ORDER BY i) AS rn FROM tried a JOIN placed p USING (pos) WHERE NOT EXISTS (SELECT 1 FROM pool x WHERE x.query_id = a.query_id AND x.doc_id = p.doc_id))
 SELECT * FROM pool UNION ALL SELECT query_id, doc_id, 'unpooled' FROM rest WHERE rn <= 2""")
 def judgment_pool(t):
-    """What the channel found, and a hash sample of what it didn't, from each question's stratum."""
+    """What the channel found, and two documents that it didn't: the next ones after the question's seed in the order of hashes of all documents.
+
+    Places in that order come from counts per bucket of hashes and from a running count within a bucket, so no task orders all documents. Of five
+    documents in a row three at most are in the pool."""
     pool = lex(t, 3).select("query_id", "doc_id", F.lit("channel").alias("origin"))
-    d = t("documents").select("doc_id", (F.col("doc_id") % 50).alias("stratum"))
-    rest = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 50).alias("stratum")).join(d, "stratum").join(pool, ["query_id", "doc_id"], "left_anti")
-    order = F.sha2(F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id").cast("string")), 256)
-    picked = rest.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(order))).filter("rn <= 2")
+    docs = t("documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("h"), F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(1).alias("n"))
+    seeds = t("benchmark").select(F.sha2(F.concat(F.lit("q:"), F.col("item_id").cast("string")), 256).alias("h"), F.col("item_id").alias("query_id"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("n"))
+    both = docs.unionByName(seeds).withColumn("bucket", F.substring("h", 1, 3))
+    sums = both.groupBy("bucket").agg(F.sum("n").alias("held"))
+    before = F.sum("held").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
+    sums = sums.select("bucket", before.alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("inside", inside).join(sums, "bucket").withColumn("at", F.col("before") + F.col("inside"))
+    asked = placed.filter("n = 0").select("query_id", "at", "total", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("query_id", "i", ((F.col("at") + F.col("i")) % F.col("total")).alias("pos"))
+    rest = asked.join(placed.filter("n = 1").select((F.col("at") - 1).alias("pos"), "doc_id"), "pos").join(pool, ["query_id", "doc_id"], "left_anti")
+    picked = rest.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("i"))).filter("rn <= 2")
     return pool.unionByName(picked.select("query_id", "doc_id", F.lit("unpooled").alias("origin")))
+
+
+@query(f"""WITH {LEX}, q AS (SELECT item_id AS query_id, {TOKENS.format('text').replace('lower(text)', 'text')} AS anchors FROM benchmark)
+SELECT query_id, doc_id, len(list_filter(anchors, lambda a: contains(d.text, a))) > 0 AS grounded FROM lex JOIN q USING (query_id) JOIN documents d USING (doc_id)""")
+def grounding_check(t):
+    """Which of a question's candidates hold one of its anchors, anywhere in the whole text."""
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), anchors(F.col("text")).alias("anchors"))
+    found = lex(t).select("query_id", "doc_id").join(asked, "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    return found.select("query_id", "doc_id", F.exists("anchors", lambda a: F.contains(F.col("text"), a)).alias("grounded"))

@@ -13,26 +13,28 @@ def file_readers(t):
 
 
 @query(r"""SELECT page_id, CAST(ord AS INTEGER) AS ord, kind, text FROM (SELECT page_id, generate_subscripts(m, 1) AS ord, CASE WHEN starts_with(unnest(m), '<h') THEN 'HEADING' ELSE 'PARA' END AS kind, regexp_replace(unnest(m), '<[^>]*>', '', 'g') AS text
-FROM (SELECT page_id, regexp_extract_all(html, '<(?:h[1-6]|p)>[^<]*') AS m FROM pages))""")
+FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?: [^>]*)?>', '', 'g'), '<br ?/?>', ' ', 'g'), '<(?:h[1-6]|p)(?: [^>]*)?>[^<]*') AS m FROM pages))""")
 def html_blocks(t):
-    """Headings and paragraphs in page order, up to the first tag inside."""
-    found = F.regexp_extract_all("html", F.lit("<(?:h[1-6]|p)>[^<]*"), F.lit(0))
+    """Headings and paragraphs in page order; inline tags are taken out first, a paragraph ends at the next other tag."""
+    plain = F.regexp_replace(F.regexp_replace("html", "</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?: [^>]*)?>", ""), "<br ?/?>", " ")
+    found = F.regexp_extract_all(plain, F.lit("<(?:h[1-6]|p)(?: [^>]*)?>[^<]*"), F.lit(0))
     b = t("pages").select("page_id", F.posexplode(found).alias("pos", "raw"))
     return b.select("page_id", (F.col("pos") + 1).alias("ord"), F.when(F.startswith("raw", F.lit("<h")), "HEADING").otherwise("PARA").alias("kind"), F.regexp_replace("raw", "<[^>]*>", "").alias("text"))
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS file, role AS who, TIMESTAMP '2026-08-18 00:00:00' + CAST(turn % 1440 AS INTEGER) * INTERVAL 1 MINUTE AS sent, text FROM conversations WHERE trim(text) <> '' AND NOT contains(text, chr(10))""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS file, role AS who, TIMESTAMP '2026-08-18 00:00:00' + CAST(turn % 1440 AS INTEGER) * INTERVAL 1 MINUTE AS sent, text FROM conversations WHERE trim(text) <> ''""")
 def chat_export_parse(t):
-    """Conversations as a desktop export, parsed back."""
-    c = t("conversations").filter("trim(text) <> '' AND NOT contains(text, '\n')")
+    """Conversations as a desktop export, one row a line, parsed back; texts of several lines go on without a head."""
+    c = t("conversations").filter("trim(text) <> ''").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     minute = F.col("turn") % 1440
     hour = F.floor(minute / 60)
     half = F.when(hour >= 12, "오후").otherwise("오전")
     shown = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
     head = F.concat(F.lit("["), "role", F.lit("] ["), half, F.lit(" "), shown.cast("string"), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"), F.lit("] "), "text")
+    line = F.when(F.col("i") == 0, head).otherwise(F.col("text"))
     file = F.col("conv_id").cast("string")
     dates = c.select(file.alias("file")).distinct().select("file", F.lit(-1).cast("long").alias("pos"), F.lit("--------------- 2026년 8월 18일 화요일 ---------------").alias("line"))
-    return chat.parse(dates.unionByName(c.select(file.alias("file"), F.col("turn").alias("pos"), head.alias("line")))).drop("pos")
+    return chat.parse(dates.unionByName(c.select(file.alias("file"), (F.col("turn") * 1_000_000 + F.col("i")).alias("pos"), line.alias("line")))).drop("pos")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
