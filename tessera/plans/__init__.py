@@ -1,6 +1,6 @@
 """The registered queries: QUERIES by name, ORACLES with the SQL for the same rows."""
 
-from . import costs, dialogue, extras, graphs, ledger, operations, publishing, quality, retrieval, segments, sourcing, streams, texts  # noqa: F401
+from . import costs, dialogue, evaluation, extras, graphs, ledger, operations, publishing, quality, retrieval, segments, sourcing, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

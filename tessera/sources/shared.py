@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temp folder where that is unset."""
+    """A new path below spark.checkpoint.dir; where that is unset, below a temp folder, in local mode only."""
+    master = spark.sparkContext.master
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_tessera_shared", None)
     if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.sparkContext._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
