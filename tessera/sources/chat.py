@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed formats. Groups: year, month, day, half of the day, hour, minute, who, message.
-ANDROID = r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일\s*(오전|오후)\s*(\d{1,2}):(\d{2}),\s*([^:]+?)\s*:\s*(.*)$"
-IOS = r"^(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.\s*(오전|오후)\s*(\d{1,2}):(\d{2}),\s*([^:]+?)\s*:\s*(.*)$"
+#: Parts of the formats: a date in words or with dots, a clock of two halves, a speaker before a colon.
+DAY_WORDS = r"(\d+)년 *(\d+)월 *(\d+)일"
+DAY_DOTS = r"(\d+)\. *(\d+)\. *(\d+)\."
+MORNING, AFTERNOON = "오전", "오후"
+CLOCK = rf"({MORNING}|{AFTERNOON}) *(\d+):(\d\d)"
+SPEAKER = r"([^:]*[^:\s])\s*:\s*(.*)"
+#: Phones write it all on one line; groups: year, month, day, half, hour, minute, who, message.
+PHONES = [f"^{day} *{CLOCK}, *{SPEAKER}$" for day in (DAY_WORDS, DAY_DOTS)]
 #: On desktops the date stands on a line of its own; groups of a message: who, half, hour, minute, message.
-PC_DATE = r"^-{3,}\s*(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일.*?-{3,}\s*$"
-PC = r"^\[([^\]]{1,40})\]\s*\[(오전|오후)\s*(\d{1,2}):(\d{2})\]\s*(.*)$"
-NOISE = r"^(사진|동영상|이모티콘|삭제된 메시지입니다\.?|.*님이 (들어왔습니다|나갔습니다)\.?)$"
+RULE = f"^---+ *{DAY_WORDS}.*---+ *$"
+DESK = rf"^\[([^\]]+)\] *\[{CLOCK}\]\s*(.*)$"
+#: Lines that only note media or a deleted message, and endings of those that note who came or went; a full stop may follow.
+NOTES = ["사진", "동영상", "이모티콘", "삭제된 메시지입니다"]
+MOVES = ["님이 들어왔습니다", "님이 나갔습니다"]
+
+
+def is_note(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"\.$", "")
+    found = bare.isin(NOTES)
+    for ending in MOVES:
+        found |= F.endswith(bare, F.lit(ending))
+    return found
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -25,16 +40,18 @@ def parse(lines: DataFrame) -> DataFrame:
     def full(pattern: str) -> Column:
         return F.struct(*(group(pattern, i).alias(n) for i, n in enumerate(("y", "mo", "d", "half", "h", "mi", "who", "text"), 1)))
 
-    day = F.when(line.rlike(PC_DATE), F.struct(group(PC_DATE, 1).alias("y"), group(PC_DATE, 2).alias("mo"), group(PC_DATE, 3).alias("d")))
+    day = F.when(line.rlike(RULE), F.struct(*(group(RULE, i).alias(n) for i, n in enumerate(("y", "mo", "d"), 1))))
     order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     dated = lines.withColumn("day", F.last(day, ignorenulls=True).over(order))
-    desk = F.struct(F.col("day.y").alias("y"), F.col("day.mo").alias("mo"), F.col("day.d").alias("d"), group(PC, 2).alias("half"), group(PC, 3).alias("h"), group(PC, 4).alias("mi"), group(PC, 1).alias("who"), group(PC, 5).alias("text"))
-    head = F.when(line.rlike(ANDROID), full(ANDROID)).when(line.rlike(IOS), full(IOS)).when(line.rlike(PC) & F.col("day").isNotNull(), desk)
-    marked = dated.filter(~line.rlike(PC_DATE)).withColumn("head", head).withColumn("message", F.last(F.when(F.col("head").isNotNull(), F.col("pos")), ignorenulls=True).over(order))
-    said = marked.filter("message IS NOT NULL").withColumn("said", F.coalesce(F.col("head.text"), line)).filter(~F.col("said").rlike(NOISE))
+    desk = F.struct(F.col("day.y").alias("y"), F.col("day.mo").alias("mo"), F.col("day.d").alias("d"), group(DESK, 2).alias("half"), group(DESK, 3).alias("h"), group(DESK, 4).alias("mi"), group(DESK, 1).alias("who"), group(DESK, 5).alias("text"))
+    head = F.when(line.rlike(DESK) & F.col("day").isNotNull(), desk)
+    for pattern in PHONES:
+        head = head.when(line.rlike(pattern), full(pattern))
+    marked = dated.filter(~line.rlike(RULE)).withColumn("head", head).withColumn("message", F.last(F.when(F.col("head").isNotNull(), F.col("pos")), ignorenulls=True).over(order))
+    said = marked.filter("message IS NOT NULL").withColumn("said", F.coalesce(F.col("head.text"), line)).filter(~is_note(F.col("said")))
     whole = said.groupBy("file", "message").agg(F.max("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda s: s["said"]), "\n").alias("text"))
     h = F.col("head")
-    hour = F.col("head.h").cast("int") % 12 + F.when(h["half"] == "오후", 12).otherwise(0)
+    hour = F.col("head.h").cast("int") % 12 + F.when(h["half"] == AFTERNOON, 12).otherwise(0)
     sent = F.make_timestamp_ntz(h["y"].cast("int"), h["mo"].cast("int"), h["d"].cast("int"), hour, h["mi"].cast("int"), F.lit(0))
     return whole.filter("head IS NOT NULL").select("file", F.col("message").alias("pos"), h["who"].alias("who"), sent.alias("sent"), "text")
 
