@@ -1,9 +1,11 @@
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import checks
 from tessera.functions import text as X
 
 
@@ -64,3 +66,27 @@ def test_units_are_normal_forms():
 
     folded = [unicodedata.normalize("NFKC", a).casefold() for names in UNITS.values() for a in names]
     assert all(folded)
+
+
+@pytest.mark.parametrize(
+    "text, pool, fault",
+    [
+        (None, "a 1", "LINE_EMPTY"), ("  ", "", "LINE_EMPTY"), ("20.0 ml", "20ml", "LINE_BARE_VALUE"), ("1/2", "1/2", "LINE_BARE_VALUE"), ("milk 1,200.50 won", "1200.5 won", None),
+        ("milk 3 ml", "milk 2 ml", "LINE_INVENTED_NUMBER"), ("milk 2 oz", "milk 2 ml", "LINE_INVENTED_UNIT"), ("우유 2래들을 넣기", "우유 2래들", None), ("milk", None, None), ("② milk", "milk", None),
+    ],
+)
+def test_line_fault(spark, text, pool, fault):
+    d = spark.createDataFrame([(text, pool)], "text string, pool string")
+    assert d.select(checks.line_fault(F.col("text"), F.col("pool"))).first()[0] == fault
+
+
+@pytest.mark.parametrize("text, shown", [(None, "o 20"), (" so 20 ", "so 20"), ("so 20 or 21", "o 20"), ("so", "o 20"), ("20" + "x" * 300, "o 20")])
+def test_friendly(spark, text, shown):
+    d = spark.createDataFrame([(text, "o 20", "20.0")], "text string, o string, v string")
+    assert d.select(checks.friendly(F.col("text"), F.col("o"), F.col("v"))).first()[0] == shown
+
+
+@pytest.mark.parametrize("facts, text, share", [(["A  b", "c"], "a, B; d", 0.5), ([" ", None], "a", None), (["a"], None, 0.0), ([], "a", None)])
+def test_fact_coverage(spark, facts, text, share):
+    d = spark.createDataFrame([(facts, text)], "f array<string>, t string")
+    assert d.select(checks.fact_coverage(F.col("f"), F.col("t"))).first()[0] == share
