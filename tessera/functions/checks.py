@@ -73,3 +73,15 @@ def failure_kind(expected: Column, actual: Column, reason: Column, wanted: Colum
         .when(actual == "MISS", "FALSE_MISS").when(citations == 0, "NO_CITATION").when(rank.isNull(), "EXPECTED_CARD_ABSENT")
         .when(F.coalesce(precision == 0, F.lit(False)), "WRONG_CITATION").when(F.coalesce(coverage < 1, F.lit(False)), "MISSING_FACT")
     )
+
+
+def missing_tokens(cells: Column, crossed: Column, facts: Column, denied: Column) -> Column:
+    """Numbers of a row's cells that its facts' text lacks (a number there isn't part of a longer one), as "NUM n", and "NEG column" where a crossed column
+    (null: none) has no denied attribute that contains it, or is part of it."""
+    text = F.regexp_replace(F.coalesce(facts, F.lit("")), r"(?<=[0-9]),(?=[0-9]{3})", "")
+    found = F.flatten(F.transform(cells, lambda c: F.regexp_extract_all(F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", ""), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))))
+    there = lambda n: F.regexp_like(text, F.concat(F.lit(r"(?<![0-9.])"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit("(?![0-9])")))
+    lost = F.transform(F.filter(found, lambda n: ~there(n)), lambda n: F.concat(F.lit("NUM "), n))
+    name, attribute = F.replace(crossed, F.lit(" ")), F.replace(F.coalesce(denied, F.lit("")), F.lit(" "))
+    said = F.contains(attribute, name) | ((attribute != "") & F.contains(name, attribute))
+    return F.concat(lost, F.when(crossed.isNotNull() & ~said, F.array(F.concat(F.lit("NEG "), crossed))).otherwise(F.array().cast("array<string>")))

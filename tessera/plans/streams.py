@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import question_key
-from ..streaming.jobs import appended, completed, events, stream
+from ..streaming.jobs import appended, completed, events, folded, stream
 from .dialogue import KEY
 from .registry import query
 
@@ -64,3 +65,71 @@ def stream_stale(t):
 def stream_pending(t):
     s = stream(t.spark, t.sf_dir, "conversations").filter("role = 'user'").groupBy(question_key(F.col("text")).alias("question_key")).agg(F.count("*").alias("n"), F.max("conv_id").alias("last_conv"))
     return completed(s)
+
+
+NUMBERED = "r AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+def publish(state, row):
+    """One request of a store: a key that was applied is answered again, another revision than the present one is stale."""
+    revision, applied = state
+    name = row.event_id % 23
+    if name in applied:
+        return state, (row.event_id, "ALREADY_APPLIED", revision)
+    if row.event_id % 7 != revision:
+        return state, (row.event_id, "STALE", revision)
+    return (revision + 1, [*applied, name]), (row.event_id, "PUBLISHED", revision + 1)
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS status, 0::BIGINT AS revision, []::BIGINT[] AS applied FROM r UNION ALL
+SELECT user_id, n, event_id, status, CASE WHEN status = 'PUBLISHED' THEN revision + 1 ELSE revision END, CASE WHEN status = 'PUBLISHED' THEN list_append(applied, event_id % 23) ELSE applied END FROM
+ (SELECT s.user_id, r.n, r.event_id, revision, applied, CASE WHEN list_contains(applied, r.event_id % 23) THEN 'ALREADY_APPLIED' WHEN r.event_id % 7 <> revision THEN 'STALE' ELSE 'PUBLISHED' END AS status FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+SELECT user_id, event_id, status, revision FROM s WHERE n > 0""")
+def stream_publish(t):
+    """Requests to publish: compare the revision, raise it, and answer repeated operation keys as before."""
+    e = events(t.spark, t.sf_dir).select("user_id", "event_id", "ts")
+    return appended(folded(e, "user_id", ["ts", "event_id"], "revision long, applied array<long>", (0, []), "event_id long, status string, revision long", publish))
+
+
+LEASE, PAUSE, ATTEMPTS = 8 * 3_600_000_000, 900_000_000, 3
+
+
+def lease(state, row):
+    """One action on an outbox event: view claims it, click is a heartbeat, purchase finishes it, error fails it, signup puts a new one in its place."""
+    status, until, attempts = state
+    now, live = row.now, status == "CLAIMED" and until > row.now
+    if row.event_type == "signup":
+        state, said = ("NEW", 0, 0), "NEW"
+    elif row.event_type == "view":
+        if status in ("DONE", "TERMINAL"):
+            said = "NONE"
+        elif until > now:
+            said = "HELD"
+        elif attempts >= ATTEMPTS:
+            state, said = ("TERMINAL", 0, attempts), "EXHAUSTED"
+        else:
+            state, said = ("CLAIMED", now + LEASE, attempts + 1), "CLAIMED"
+    elif not live:
+        said = "LOST"
+    elif row.event_type == "click":
+        state, said = (status, now + LEASE, attempts), "EXTENDED"
+    elif row.event_type == "purchase":
+        state, said = ("DONE", 0, attempts), "DONE"
+    elif attempts < ATTEMPTS:
+        state, said = ("FAILED", now + min(fixed.RETRY_SECONDS_MOST, 2 ** min(attempts, 6)) * PAUSE, attempts), "RETRY"
+    else:
+        state, said = ("TERMINAL", 0, attempts), "EXHAUSTED"
+    return state, (row.event_id, said, state[2])
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS said, 'NEW' AS status, 0::BIGINT AS until, 0::BIGINT AS attempts FROM r UNION ALL
+SELECT user_id, n, event_id, said, CASE said WHEN 'NEW' THEN 'NEW' WHEN 'EXHAUSTED' THEN 'TERMINAL' WHEN 'CLAIMED' THEN 'CLAIMED' WHEN 'DONE' THEN 'DONE' WHEN 'RETRY' THEN 'FAILED' ELSE status END,
+ CASE WHEN said IN ('NEW', 'EXHAUSTED', 'DONE') THEN 0 WHEN said IN ('CLAIMED', 'EXTENDED') THEN now + {LEASE} WHEN said = 'RETRY' THEN now + CAST(least({fixed.RETRY_SECONDS_MOST}, power(2, least(attempts, 6))) AS BIGINT) * {PAUSE} ELSE until END,
+ CASE said WHEN 'NEW' THEN 0 WHEN 'CLAIMED' THEN attempts + 1 ELSE attempts END FROM
+ (SELECT s.user_id, r.n, r.event_id, r.now, status, until, attempts, CASE WHEN event_type = 'signup' THEN 'NEW' WHEN event_type = 'view' THEN CASE WHEN status IN ('DONE', 'TERMINAL') THEN 'NONE' WHEN until > now THEN 'HELD' WHEN attempts >= {ATTEMPTS} THEN 'EXHAUSTED' ELSE 'CLAIMED' END
+  WHEN status <> 'CLAIMED' OR until <= now THEN 'LOST' WHEN event_type = 'click' THEN 'EXTENDED' WHEN event_type = 'purchase' THEN 'DONE' WHEN attempts < {ATTEMPTS} THEN 'RETRY' ELSE 'EXHAUSTED' END AS said FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+SELECT user_id, event_id, said, attempts FROM s WHERE n > 0""")
+def stream_leases(t):
+    """Leases on outbox events with heartbeats, growing pauses before a retry, and an end after three attempts (hours here, as events are rare)."""
+    e = events(t.spark, t.sf_dir).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("now"))
+    return appended(folded(e, "user_id", ["now", "event_id"], "status string, until long, attempts long", ("NEW", 0, 0), "event_id long, said string, attempts long", lease))
