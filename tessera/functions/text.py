@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,13 +118,37 @@ def readable_ratio(text: Column) -> Column:
 
 
 def word_diff(old: str, new: str) -> list[tuple[str, str]]:
-    """(kind, words) of the word-level difference by longest common subsequence; kind is same, removed or added."""
+    """(kind, words) of the word-level difference by longest common subsequence; kind is same, removed or added. Null text is empty.
+
+    best[i][j] is the length that the rests from i and j have in common. Only every so many-th row is kept, and the rows between are made again on the
+    way forward, so memory grows with the words of one text times the square root of the other's."""
     a, b = (old or "").split(), (new or "").split()
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    codes: dict[str, int] = {}
+    a_codes, b_codes = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64) for words in (a, b))
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        found = row.copy()
+        np.maximum(row[:-1], np.where(b_codes == a_codes[i], row[1:] + 1, 0), out=found[:-1])
+        return np.maximum.accumulate(found[::-1])[::-1]
+
+    step = math.isqrt(n) + 1
+    row = np.zeros(m + 1, dtype=np.int32)
+    kept = {}
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        if (i + 1) % step == 0:
+            kept[i + 1] = row
+        row = above(row, i)
+    kept[n] = np.zeros(m + 1, dtype=np.int32)
+
+    def block(i: int) -> dict[int, np.ndarray]:
+        """Rows i to the next one that is kept."""
+        end = min((i // step + 1) * step, n)
+        rows = {end: kept[end]}
+        for k in range(end - 1, i - 1, -1):
+            rows[k] = above(rows[k + 1], k)
+        return rows
+
     parts: list[list] = []
 
     def put(kind: str, word: str) -> None:
@@ -132,11 +158,14 @@ def word_diff(old: str, new: str) -> list[tuple[str, str]]:
             parts.append([kind, [word]])
 
     i = j = 0
+    rows = block(0) if n else {}
     while i < n or j < m:
+        if i < n and i + 1 not in rows:
+            rows = block(i)
         if i < n and j < m and a[i] == b[j]:
             put("same", a[i])
             i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+        elif i < n and (j == m or rows[i + 1][j] >= rows[i][j + 1]):
             put("removed", a[i])
             i += 1
         else:

@@ -182,3 +182,19 @@ def lexical_expansion(t):
     """Search terms of fixed questions: tokens, and tokens without their ending; the SQL lists what they must be."""
     q = t.spark.createDataFrame([(i, a) for i, (a, _) in enumerate(ASKED)], "id int, text string")
     return q.select("id", F.array_join(F.array_sort(lexical_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query(LINES + """, n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY 1), a AS (SELECT l.*, n, CASE l_suppkey % 3 WHEN 0 THEN 'SCAN' WHEN 1 THEN 'KAKAO' ELSE 'VOICE' END AS kind, CASE WHEN l_tax > 0.05 THEN l_linenumber END AS page FROM l JOIN n USING (l_orderkey))
+SELECT l_orderkey AS source, place AS assertion, concat_ws(',', CASE WHEN page IS NOT NULL AND kind <> 'SCAN' THEN 'page:WRONG_SOURCE' WHEN page > n THEN 'page:ABSENT' END,
+ CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN CASE WHEN l_discount > 0.08 THEN 'unit:NEEDS_IMAGE_CHECK' ELSE 'unit:UNGROUNDED_TEXT' END END, CASE WHEN l_discount = 0 AND place + 1 > n THEN 'requires:REMOVED' END) AS flags FROM a""")
+def assertion_flags(t):
+    """What a fact claims beyond its input, each with a verdict and nothing thrown away: pages that its kind of source or the input doesn't have, units not in the text (to be looked
+    at in the image if there is one), and references to facts that aren't there."""
+    a = lines(t).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    scan, page = F.col("l_suppkey") % 3 == 0, F.col("l_tax") > 0.05
+    unit = F.when(F.col("l_discount") > 0.08, "unit:NEEDS_IMAGE_CHECK").otherwise("unit:UNGROUNDED_TEXT")
+    flags = F.concat_ws(
+        ",", F.when(page & ~scan, "page:WRONG_SOURCE").when(page & (F.col("l_linenumber") > F.col("n")), "page:ABSENT"), F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), unit),
+        F.when((F.col("l_discount") == 0) & (F.col("place") + 1 > F.col("n")), "requires:REMOVED"),
+    )
+    return a.select(F.col("l_orderkey").alias("source"), F.col("place").alias("assertion"), flags.alias("flags"))

@@ -29,23 +29,23 @@ def fact_verdicts(t):
     return b.select("fact", F.element_at(F.array(*map(F.lit, VERDICTS)), F.col("b.rank") + 1).alias("verdict"), (-F.col("b.card")).alias("card"), F.col("b.held").alias("held"))
 
 
-@query("""WITH q AS (SELECT c_nationkey AS campaign, o_custkey AS question, year(o_orderdate) - 1995 AS pair, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') = count(*) THEN NULL ELSE bool_or(o_orderstatus = 'F') END AS before, bool_or(o_totalprice > 200000) AS after
+@query("""WITH q AS (SELECT c_nationkey AS campaign, o_custkey AS question, year(o_orderdate) - 1995 AS pair, CASE WHEN o_custkey % 25 = 0 AND count(*) FILTER (WHERE o_orderstatus = 'P') = count(*) THEN NULL ELSE bool_or(o_orderstatus = 'F') END AS before, bool_or(o_totalprice > 200000) AS after
  FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY 1, 2, 3),
 k AS (SELECT question FROM q GROUP BY 1 HAVING count(*) = 3), f AS (SELECT q.* FROM q JOIN k USING (question)),
 d AS (SELECT campaign, pair, count(*) FILTER (WHERE after) - count(*) FILTER (WHERE before) AS delta FROM f GROUP BY 1, 2),
 p AS (SELECT campaign, count(*) FILTER (WHERE delta > 0) AS rising, median(delta) AS middle FROM d GROUP BY 1),
-s AS (SELECT campaign, count(DISTINCT question) AS questions, count(DISTINCT question) FILTER (WHERE before IS NULL OR after IS NULL) AS unjudged, count(DISTINCT question) FILTER (WHERE question % 5 = 0 AND before AND NOT after) AS regressions FROM f GROUP BY 1)
+s AS (SELECT campaign, count(DISTINCT question) AS questions, count(DISTINCT question) FILTER (WHERE before IS NULL OR after IS NULL) AS unjudged, count(DISTINCT question) FILTER (WHERE question % 20 = 0 AND before AND NOT after) AS regressions FROM f GROUP BY 1)
 SELECT campaign, questions, unjudged, regressions, CASE WHEN unjudged = 0 THEN middle END AS median_delta, concat_ws(',', CASE WHEN unjudged > 0 THEN 'UNJUDGED_RESULTS' END, CASE WHEN regressions > 0 THEN 'MUST_HAVE_REGRESSION' END, CASE WHEN unjudged = 0 AND middle < 5 THEN 'BELOW_EFFECT_THRESHOLD' END,
  CASE WHEN unjudged = 0 AND rising * 3 < 6 THEN 'INSUFFICIENT_POSITIVE_PAIRS' END) AS reasons FROM s JOIN p USING (campaign)""")
 def paired_gate(t):
     """Three paired runs of the questions that all of them asked: why the candidate may not pass. One unjudged answer leaves the effect unknown; a must-have question that was right and
     is wrong blocks whatever the effect."""
     o = t("orders").withColumn("pair", F.year("o_orderdate") - 1995).filter("pair BETWEEN 0 AND 2").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("campaign")), "o_custkey")
-    before = F.when(F.count_if(F.col("o_orderstatus") == "P") < F.count("*"), F.bool_or(F.col("o_orderstatus") == "F"))
+    before = F.when((F.col("o_custkey") % 25 != 0) | (F.count_if(F.col("o_orderstatus") == "P") < F.count("*")), F.bool_or(F.col("o_orderstatus") == "F"))
     q = o.groupBy("campaign", F.col("o_custkey").alias("question"), "pair").agg(before.alias("before"), F.bool_or(F.col("o_totalprice") > 200000).alias("after"))
     q = q.withColumn("n", F.count("*").over(Window.partitionBy("campaign", "question"))).filter("n = 3")
     one = lambda c: F.count_if(c)
-    lost = (F.col("question") % 5 == 0) & F.coalesce(F.col("before") & ~F.col("after"), F.lit(False))
+    lost = (F.col("question") % 20 == 0) & F.coalesce(F.col("before") & ~F.col("after"), F.lit(False))
     d = q.groupBy("campaign", "pair").agg((one(F.col("after")) - one(F.col("before"))).alias("delta")).groupBy("campaign").agg(F.median("delta").alias("middle"), F.count_if(F.col("delta") > 0).alias("rising"))
     per = q.groupBy("campaign", "question").agg(F.bool_or(F.col("before").isNull() | F.col("after").isNull()).alias("unjudged"), F.bool_or(lost).alias("lost"))
     s = per.groupBy("campaign").agg(F.count("*").alias("questions"), F.count_if("unjudged").alias("unjudged"), F.count_if("lost").alias("regressions")).join(d, "campaign")

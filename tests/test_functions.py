@@ -53,6 +53,27 @@ def test_in_order(spark):
     assert not one(spark, "aa", lambda c: X.in_order(c, ["aa", "a"]))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=20), st.lists(st.sampled_from("abcde"), max_size=20))
+def test_word_diff_follows_the_whole_table(a, b):
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i, j in ((i, j) for i in reversed(range(n)) for j in reversed(range(m))):
+        best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    want, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            want.append(("same", a[i]))
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+            want.append(("removed", a[i]))
+            i += 1
+        else:
+            want.append(("added", b[j]))
+            j += 1
+    assert [(kind, w) for kind, words in X.word_diff(" ".join(a), " ".join(b)) for w in words.split()] == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=8), st.lists(st.sampled_from("abcd"), max_size=8))
 def test_word_diff_rebuilds_both_sides(a, b):

@@ -66,6 +66,28 @@ def test_bundles_start_anew(spark):
     assert got == [0, 0, 1, 2, 3, 3, 3, 4]
 
 
+def test_bundles_over_many_cells(spark):
+    """A hot key in cells of few rows, small keys, a null key and null sizes: the same as one pass over each key."""
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 else None if i % 4 else f"k{i % 5}", i // 2, None if i % 17 == 0 else int(rng.integers(0, 9))) for i in range(240)]
+    r = spark.createDataFrame(rows, "k string, i long, n long")
+    limits = {"rows": 4, "chars": 15}
+    got = bundles(r, "k", "i", "n", limits, cell_rows=12).collect()
+    want = []
+    for key in {k for k, _, _ in rows}:
+        bundle, held, chars = 0, 0, 0
+        for i, n in sorted((i, n or 0) for k, i, n in rows if k == key):
+            if held and (held >= 4 or chars + n > 15):
+                bundle, held, chars = bundle + 1, 0, 0
+            held, chars = held + 1, chars + n
+            want.append((key, i, n, bundle))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_bundles_of_no_rows(spark):
+    assert bundles(spark.createDataFrame([], "k string, i long, n long"), "k", "i", "n").collect() == []
+
+
 def test_leader_clusters(spark):
     rows = [("k", 1, ["a", "b"], 1), ("k", 2, ["a", "b", "c"], 2), ("k", 3, ["x"], 3), ("k", 4, [], 4)]
     got = {r.item: r.cluster for r in leader_clusters(spark.createDataFrame(rows, "k string, item long, terms array<string>, seen long"), "k", 0.75).collect()}

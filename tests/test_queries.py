@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, con, sf, name):
     assert verify.differs(spark, con, name, sf) == ""
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling", "stream_dedup", "stream_session"])
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_dedup", "stream_session", "stream_publish", "stream_leases"])
 def test_stream_matches_batch_twin(spark, con, sf, name):
     assert verify.differs(spark, con, name, sf) == ""
 
