@@ -139,3 +139,51 @@ def appended_layout(t):
     old = F.col("l_linestatus") == "F"
     f = lines(t).groupBy(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("fact")).agg(F.bool_and(~old).alias("added"), F.coalesce(F.min(F.when(old, F.col("place"))), F.min("place")).alias("place"))
     return f.select("card", "fact", F.row_number().over(Window.partitionBy("card").orderBy("added", "place")).alias("position"))
+
+
+@query("""WITH q AS (SELECT c_nationkey AS campaign, c_custkey AS question, bool_or(year(o_orderdate) = 1995) AS old, bool_or(year(o_orderdate) = 1996) AS new, count(DISTINCT o_orderstatus) FILTER (WHERE year(o_orderdate) BETWEEN 1995 AND 1996) > 1 AS changed FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
+SELECT campaign, count(*) FILTER (WHERE old AND new) AS shared, count(*) FILTER (WHERE old AND NOT new) AS missing, count(*) FILTER (WHERE new AND NOT old) AS unexpected, count(*) FILTER (WHERE old AND new AND changed) AS changed_inputs,
+ count(*) FILTER (WHERE old <> new) = 0 AND count(*) FILTER (WHERE old AND new AND changed) = 0 AS comparable FROM q WHERE old OR new GROUP BY 1""")
+def campaign_inputs(t):
+    """Whether two runs of a campaign may be compared: the same questions, with the same inputs. Both runs come from one grouping, so there is no join of the two."""
+    year = F.year("o_orderdate")
+    o = t("orders").filter(year.isin(1995, 1996)).join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("campaign")), "o_custkey")
+    q = o.groupBy("campaign", "o_custkey").agg(F.bool_or(year == 1995).alias("old"), F.bool_or(year == 1996).alias("new"), (F.min("o_orderstatus") != F.max("o_orderstatus")).alias("changed"))
+    both, old, new = F.col("old") & F.col("new"), F.col("old") & ~F.col("new"), F.col("new") & ~F.col("old")
+    g = q.groupBy("campaign").agg(F.count_if(both).alias("shared"), F.count_if(old).alias("missing"), F.count_if(new).alias("unexpected"), F.count_if(both & F.col("changed")).alias("changed_inputs"))
+    return g.withColumn("comparable", (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("changed_inputs") == 0))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS snapshot, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS content FROM lineitem GROUP BY 1)
+SELECT snapshot, sha256(content) AS digest, CASE WHEN snapshot % 9 = 0 THEN 'HASH_MISMATCH' ELSE 'OK' END AS state FROM c""")
+def snapshot_verified(t):
+    """Each snapshot's content hashed again and held against the hash that it was frozen with (another one for every ninth here)."""
+    part = lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))
+    c = t("lineitem").groupBy(F.col("l_orderkey").alias("snapshot")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    c = c.select("snapshot", F.array_join(F.transform("x", part), ",").alias("content"))
+    frozen = F.sha2(F.when(F.col("snapshot") % 9 == 0, F.concat("content", F.lit("+"))).otherwise(F.col("content")), 256)
+    c = c.select("snapshot", F.sha2("content", 256).alias("digest"), frozen.alias("frozen"))
+    return c.select("snapshot", "digest", F.when(F.col("digest") == F.col("frozen"), "OK").otherwise("HASH_MISMATCH").alias("state"))
+
+
+@query(LINES + """, b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(place)) AS rank FROM l GROUP BY 1, 2),
+f AS (SELECT l.l_orderkey, l.l_partkey, min(rank) AS rank FROM l JOIN b USING (l_orderkey, l_suppkey) WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT o_orderkey AS question, count(l_partkey) AS needed, count(*) FILTER (WHERE rank <= 2) AS found, CASE WHEN count(l_partkey) > 0 THEN round(count(*) FILTER (WHERE rank <= 2) / count(l_partkey), 4) END AS recall FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1""")
+def evidence_recall(t):
+    """Which of the facts that a question needs (returned) are in the first two blocks (suppliers) found for it; null if it needs none."""
+    f = lines(t).select(F.col("l_orderkey").alias("question"), "place", "l_suppkey", "l_partkey", "l_returnflag")
+    first = F.min("place").over(Window.partitionBy("question", "l_suppkey"))
+    f = f.withColumn("first", first).withColumn("rank", F.dense_rank().over(Window.partitionBy("question").orderBy("first")))
+    need = f.filter("l_returnflag = 'R'").groupBy("question", "l_partkey").agg(F.min("rank").alias("rank")).groupBy("question").agg(F.count("*").alias("needed"), F.count_if(F.col("rank") <= 2).alias("found"))
+    j = t("orders").select(F.col("o_orderkey").alias("question")).join(need, "question", "left").fillna(0, ["needed", "found"])
+    return j.withColumn("recall", F.when(F.col("needed") > 0, F.round(F.col("found") / F.col("needed"), 4)))
+
+
+@query("""WITH u AS (SELECT user_id, date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) AS b FROM events GROUP BY 1), w AS (SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS start FROM u),
+c AS (SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, CAST(start AS DATE) AS day, coalesce(n, 0) AS n FROM w LEFT JOIN c USING (user_id, start)""")
+def filled_windows(t):
+    """A user's fixed windows from the first to the last event, the empty ones between included."""
+    day = F.to_date("ts")
+    c = t("events").groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n"))
+    w = c.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
+    return w.join(c, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(0)).alias("n"))
