@@ -15,11 +15,13 @@ v AS (SELECT fact, card, coalesce(named, false) AS named, coalesce(held, false)
 SELECT fact, CASE rank WHEN 0 THEN 'MISSING' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'UNDETERMINED' ELSE 'COVERED' END AS verdict, card, held FROM (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY rank DESC, named DESC, held DESC, card) AS n FROM v) WHERE n = 1""")
 def fact_verdicts(t):
     """The best verdict that one card gives a fact: covered if subject, value, variant and attribute stand in it and nothing denies them; the other variant, another value
-    or an unnamed attribute make it partial. Cards and facts meet on the subject, and the best is a maximum, so a subject that all cards name is no hot task."""
+    or an unnamed attribute make it partial. Claims that say the same of a subject are one row, with the first card, before they meet the facts, and that combines before the shuffle,
+    so a subject that all cards name is no hot task."""
     f = t("part").select(F.col("p_partkey").alias("fact"), "p_size", F.when(F.col("p_size") % 2 == 0, "HOT").otherwise("ICE").alias("want"), (F.col("p_partkey") % 3 == 0).alias("needs"))
     c = t("lineitem").select(
         F.col("l_partkey").alias("fact"), F.col("l_orderkey").alias("card"), (F.col("l_linestatus") == "F").alias("named"), "l_quantity", F.when(F.col("l_returnflag") == "R", "HOT").when(F.col("l_returnflag") == "A", "ICE").alias("variant"), (F.col("l_tax") == 0.08).alias("denied")
     )
+    c = c.groupBy("fact", "named", "l_quantity", "variant", "denied").agg(F.min("card").alias("card"))
     held = F.col("l_quantity") == F.col("p_size")
     partial = (F.col("variant").isNotNull() & (F.col("variant") != F.col("want"))) | ~held | (F.col("needs") & F.col("variant").isNull()) | ~F.col("named")
     rank = F.when(F.col("card").isNull(), 0).when(partial, 1).when(F.col("denied"), 2).otherwise(3)
