@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, language, lines, media, mixing, packing, simhash, suffixes, urls
+from . import divergence, embeddings, html, language, lines, media, mixing, ownership, packing, simhash, suffixes, urls
 from .common import table
 
 
@@ -21,10 +21,14 @@ QUERIES = {
     "op8_media": media.query,
     "op9_url_filters": urls.query,
     "op10_language_id": language.query,
+    "op11_secret_ownership": ownership.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op9_url_filters": urls.ORACLE,
+    "op11_secret_ownership": ownership.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
