@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, embeddings, html, language, lines, media, mixing, ownership, packing, simhash, suffixes, urls
+from . import collocations, divergence, embeddings, html, language, lines, media, mixing, ownership, packing, simhash, suffixes, urls
 from .common import table
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_url_filters": urls.query,
     "op10_language_id": language.query,
     "op11_secret_ownership": ownership.query,
+    "op12_collocations": collocations.query,
     "op13_source_divergence": divergence.query,
 }
 
@@ -30,5 +31,6 @@ ORACLES = {
     "op6_source_mixing": mixing.ORACLE,
     "op9_url_filters": urls.ORACLE,
     "op11_secret_ownership": ownership.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
