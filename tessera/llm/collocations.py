@@ -4,7 +4,8 @@ Texts are cut at punctuation into pieces and those into words, A-Z lower-cased.
 words, is dealt by language and first word and sorted in reverse lexicographic order; one stack of open prefixes counts all phrases in one
 pass, as a prefix is complete once a suffix comes that doesn't start with it. Counts of phrases are then joined with those of their parts.
 
-Equal suffixes of about CHUNK bytes of text combine before the shuffle. Suffixes of a first word with HOT of all words or more are dealt by their
+A phrase is only as frequent as its rarest word, so suffixes end at words that a filter of the frequent ones doesn't know: it has a fixed size, and once it is
+full it lets rare words pass, which costs rows and never a count. Equal suffixes of about CHUNK bytes of text combine before the shuffle. Suffixes of a first word with HOT of all words or more are dealt by their
 first two words, and those of a pair with HOT_PAIR or more by all words; what such pairs count in several tasks is summed afterwards. There are at
 most 1 / HOT such words; pairs are found by chunk, at most 1 / HOT_PAIR of each, and only decide where rows go, never a count. A task holds a chunk, or ROWS
 sorted suffixes and a stack of MAX_WORDS prefixes.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 COVERED = 80
 HOT, HOT_PAIR = 1 / 20_000, 1 / 5_000
 CHUNK, ROWS = 3 << 20, 50_000
+#: Bits of the filter of frequent words, two for each: 8 MB whatever the corpus.
+FILTER_BITS = 1 << 26
 #: Parts of a language that are ranked before the whole.
 PARTS = 64
 
@@ -115,40 +119,50 @@ def mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def suffixes(hot: dict[str, set[bytes]], hot_pairs: dict[str, set[tuple[bytes, bytes]]]) -> Callable:
-    """key (what decides the task; odd for a hot pair), lang, suffix (words with byte 0 between them), n."""
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a word's hash in the filter of frequent words."""
+    return h & np.uint64(FILTER_BITS - 1), h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)
+
+
+def suffixes(frequent: np.ndarray, hot: dict[str, set[bytes]], hot_pairs: dict[str, set[tuple[bytes, bytes]]]) -> Callable:
+    """key (what decides the task; odd for a hot pair), suffix (the language and two words or more, with byte 0 between them), n. A word that is not in
+    the filter ends a piece: no phrase that is frequent holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, tail in chunks(batches):
             vocabulary, a = coded(words)
             n, size = len(a) - tail, len(vocabulary) + 1
-            if size == 1:
-                continue
-            padded = np.append(a, np.zeros(MAX_WORDS, np.int64))
+            before = lang.encode() + b" "
+            hashes = np.array([0, *(xxhash.xxh64_intdigest(before + x, 42) for x in vocabulary)], np.uint64)
+            known = np.ones(size, bool)
+            for bit in places(hashes):
+                known &= frequent[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
+            known[0] = False
+            padded = np.append(np.where(known[a], a, 0), np.zeros(MAX_WORDS, np.int64))
             w = [padded[i : n + i] for i in range(MAX_WORDS)]
-            begins = w[0] > 0
+            begins = (w[0] > 0) & (w[1] > 0)
+            if not begins.any():
+                continue
             front = (w[0] * size + w[1])[begins]
-            back = np.where((w[1] > 0) & (w[2] > 0), w[2] * size + w[3], 0)[begins]
+            back = np.where(w[2] > 0, w[2] * size + w[3], 0)[begins]
             u, front = np.unique(front, return_inverse=True)
             v, back = np.unique(back, return_inverse=True)
             code, times = np.unique(front * len(v) + back, return_counts=True)
             front, back = u[code // len(v)], v[code % len(v)]
             ids = [front // size, front % size, back // size, back % size]
-            seed = xxhash.xxh32_intdigest(lang.encode())
-            hashes = np.array([0, *(xxhash.xxh64_intdigest(x, seed) for x in vocabulary)], np.uint64)
             of = {x: i for i, x in enumerate(vocabulary, 1)}
             is_hot = np.zeros(size, bool)
             is_hot[[of[x] for x in hot.get(lang, ()) if x in of]] = True
             pairs = [of[x] * size + of[y] for x, y in hot_pairs.get(lang, ()) if x in of and y in of]
             of_pair = np.isin(front, np.array(pairs, np.int64))
-            by_first = mixed(hashes[ids[0]], np.full(1, seed, np.uint64))
+            by_first = hashes[ids[0]]
             by_pair = mixed(by_first, hashes[ids[1]])
             by_all = mixed(mixed(by_pair, hashes[ids[2]]), hashes[ids[3]])
             key = np.where(of_pair, by_all, np.where(is_hot[ids[0]], by_pair, by_first)) & ~np.uint64(1) | of_pair
             names = pa.array([x.translate(RAISED) for x in vocabulary], pa.binary())
             texts = [names.take(pa.array(i - 1, mask=i == 0)) for i in ids]
-            joined = pc.binary_join_element_wise(*texts, pa.scalar(b"\0", pa.binary()), null_handling="skip")
-            yield from sliced([pa.array(key.view(np.int64)), pa.array([lang] * len(key), pa.string()), joined, pa.array(times, pa.int64())], ["key", "lang", "suffix", "n"])
+            joined = pc.binary_join_element_wise(pa.scalar(quote(lang, safe="").encode()), *texts, pa.scalar(b"\0", pa.binary()), null_handling="skip")
+            yield from sliced([pa.array(key.view(np.int64)), joined, pa.array(times, pa.int64())], ["key", "suffix", "n"])
 
     return run
 
@@ -157,29 +171,28 @@ def counted_prefixes(least: int) -> Callable:
     """From sorted suffixes: lang, phrase, n_words, n of phrases of two words and more; all that reach `least`, and all parts of hot pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: dict[int, tuple] = {}  # by depth: what is open, (key, lang, words), and its count so far
+        stack: dict[int, tuple] = {}  # by number of words: what is open, (key, language and words), and its count so far
 
         def told(done: list[tuple[tuple, int]]) -> Iterator[pa.RecordBatch]:
-            done = [(what, n) for what, n in done if n >= least or (what[0] & 1 and len(what[2]) < MAX_WORDS)]
+            done = [(what, n) for what, n in done if n >= least or (what[0] & 1 and len(what[1]) <= MAX_WORDS)]
             if done:
-                phrases = [b"\0".join(what[2]).translate(LOWERED).decode() for what, _ in done]
-                yield from sliced([pa.array([what[1] for what, _ in done], pa.string()), pa.array(phrases), pa.array([len(what[2]) for what, _ in done], pa.int32()), pa.array([n for _, n in done], pa.int64())], ["lang", "phrase", "n_words", "n"])
+                langs = [unquote(what[1][0].decode()) for what, _ in done]
+                phrases = [b"\0".join(what[1][1:]).translate(LOWERED).decode() for what, _ in done]
+                yield from sliced([pa.array(langs, pa.string()), pa.array(phrases), pa.array([len(what[1]) - 1 for what, _ in done], pa.int32()), pa.array([n for _, n in done], pa.int64())], ["lang", "phrase", "n_words", "n"])
 
         for t in gathered(batches):
-            key, n, lang, text = t["key"].to_numpy(), t["n"].to_numpy(), t["lang"].combine_chunks(), t["suffix"].combine_chunks()
+            key, n, text = t["key"].to_numpy(), t["n"].to_numpy(), t["suffix"].combine_chunks()
             words = pc.split_pattern(text, b"\0")
             sizes = pc.list_value_length(words).to_numpy()
             row = np.repeat(np.arange(len(key)), sizes)
             depth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.full((MAX_WORDS, len(key)), -1)
+            at = np.full((MAX_WORDS + 1, len(key)), -1)
             at[depth, row] = words.flatten().dictionary_encode().indices.to_numpy()
-            langs = lang.dictionary_encode().indices.to_numpy()
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (langs[1:] != langs[:-1])
-            new[1:] |= at[0][1:] != at[0][:-1]
-            what = lambda i, d: (int(key[i]), lang[i].as_py(), tuple(text[i].as_py().split(b"\0")[: d + 1]))  # noqa: B023, E731
+            new[1:] = (key[1:] != key[:-1]) | (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1])
+            what = lambda i, d: (int(key[i]), tuple(text[i].as_py().split(b"\0")[: d + 1]))  # noqa: B023, E731
             done: list[tuple[tuple, int]] = []
-            for d in range(1, MAX_WORDS):
+            for d in range(2, MAX_WORDS + 1):
                 new[1:] |= at[d][1:] != at[d][:-1]
                 rows = np.flatnonzero(at[d] >= 0)
                 if not len(rows):
@@ -193,7 +206,7 @@ def counted_prefixes(least: int) -> Callable:
                         sums[0] += count
                     else:
                         done.append((was, count))
-                full = sums[:-1] >= least if d == MAX_WORDS - 1 else (sums[:-1] >= least) | (key[first[:-1]] & 1 > 0)
+                full = sums[:-1] >= least if d == MAX_WORDS else (sums[:-1] >= least) | (key[first[:-1]] & 1 > 0)
                 done += [(what(first[i], d), int(sums[i])) for i in np.flatnonzero(full)]
                 stack[d] = (what(first[-1], d), int(sums[-1]))
             yield from told(done)
@@ -214,6 +227,16 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def filter_of(words: DataFrame) -> np.ndarray:
+    """The filter of frequent words. Spark sets the bits; what reaches the driver has a fixed bound."""
+    h = F.xxhash64(F.concat("lang", F.lit(" "), "first"))
+    bits = words.filter("first IS NOT NULL AND second IS NULL").select(F.explode(F.array(h, F.shiftrightunsigned(h, 32))).alias("h")).select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("bit"))
+    slots = bits.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("set")).toArrow()
+    frequent = np.zeros(FILTER_BITS // 64, np.int64)
+    frequent[slots["slot"].to_numpy()] = slots["set"].to_numpy()
+    return frequent.view(np.uint64)
+
+
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), (lang, phrase, n) of words, (lang, phrase, n_words, n) of phrases; words and phrases that occur `least` times."""
     spark = docs.sparkSession
@@ -230,8 +253,8 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, D
         hot[lang].add(first.encode())
     for lang, first, second in words.filter(f"second IS NOT NULL AND n >= {all_words * HOT_PAIR}").select("lang", "first", "second").toLocalIterator():
         hot_pairs[lang].add((first.encode(), second.encode()))
-    dealt = plain.mapInArrow(suffixes(dict(hot), dict(hot_pairs)), "key long, lang string, suffix binary, n long").repartition("key")
-    found = dealt.sortWithinPartitions("key", "lang", F.desc("suffix")).mapInArrow(counted_prefixes(least), "lang string, phrase string, n_words int, n long")
+    dealt = plain.mapInArrow(suffixes(filter_of(words), dict(hot), dict(hot_pairs)), "key long, suffix binary, n long").repartition("key")
+    found = dealt.sortWithinPartitions("key", F.desc("suffix")).mapInArrow(counted_prefixes(least), "lang string, phrase string, n_words int, n long")
     phrases = materialise(found.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
     return totals, words.filter("first IS NOT NULL AND second IS NULL").select("lang", F.col("first").alias("phrase"), "n"), phrases
 
