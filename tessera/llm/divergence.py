@@ -115,11 +115,13 @@ class Audit:
         x, z = F.col("x"), F.col("x.z")
         seen = materialise(self.kept.groupBy("lang", "vector").agg(F.count("*").alias("m")), "audit-vectors")
         vectors = seen.filter(F.size("vector") > 1).withColumn("part", F.pmod(F.hash("vector"), F.lit(PARTS))).join(self.langs, ["lang", "part"])
-        each = vectors.select("lang", "m", F.transform("vector", full).alias("all")).select("lang", "m", "all", F.explode("all").alias("x"))
-        both = F.transform(
-            F.filter("all", lambda y: y["i"] != x["i"]),
-            lambda y: row(x["i"], y["i"], F.col("m") * (f_of(x["p"], y["p"]) - f_of(x["p"], y["z"]) - f_of(z, y["p"]) + f_of(z, y["z"]))),
-        )
+        each = vectors.select("lang", "m", F.transform("vector", full).alias("all")).select("lang", "m", "all", F.posexplode("all").alias("at", "x"))
+        # each pair once, in both directions; the array is sorted, so what follows x has larger indices
+        rest = F.slice("all", F.col("at") + 2, F.size("all"))
+        less = lambda a, b: F.col("m") * (f_of(a["p"], b["p"]) - f_of(a["p"], b["z"]) - f_of(a["z"], b["p"]) + f_of(a["z"], b["z"]))
+        both = F.transform(rest, lambda y: F.struct(x["i"].alias("s"), y["i"].alias("t"), less(x, y).alias("there"), less(y, x).alias("back")))
+        met = each.select("lang", F.explode(both).alias("r")).groupBy("lang", "r.s", "r.t").agg(F.sum("r.there").alias("there"), F.sum("r.back").alias("back"))
+        met = met.select("lang", F.explode(F.array(row(F.col("s"), F.col("t"), F.col("there")), row(F.col("t"), F.col("s"), F.col("back")))).alias("r")).select("lang", "r.*")
         # one source's counts against the zero p of all others, in either direction
         single = seen.select("lang", "m", F.explode("vector").alias("e")).groupBy("lang", "e").agg(F.sum("m").alias("m"))
         alone = single.withColumn("part", F.pmod(F.hash("e"), F.lit(PARTS))).join(self.langs, ["lang", "part"]).select("lang", "m", full(F.col("e")).alias("x"), "sides")
@@ -134,9 +136,9 @@ class Audit:
         )
         base = self.groups.withColumn("part", F.lit(0)).join(self.langs.select("lang", "part", "sides"), ["lang", "part"])
         none = F.transform(F.filter(F.sequence(F.lit(1), F.size("sides")), lambda t: t != F.col("i")), lambda t: row(F.col("i"), t, F.col("n_kept") * f_of(F.col("zero"), side(t)["zero"])))
-        parts = [each.select("lang", F.explode(both).alias("r")), alone.select("lang", F.explode(one).alias("r")), base.select("lang", F.explode(none).alias("r"))]
+        parts = [alone.select("lang", F.explode(one).alias("r")), base.select("lang", F.explode(none).alias("r"))]
         summed = [x.groupBy("lang", "r.s", "r.t").agg(F.sum("r.value").alias("value")) for x in parts]
-        return summed[0].unionByName(summed[1]).unionByName(summed[2]).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
+        return met.unionByName(summed[0]).unionByName(summed[1]).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
 
     def standing_out(self) -> DataFrame:
         """lang, s, term, value of the terms that a group has and uses more than its language does."""
