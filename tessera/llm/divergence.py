@@ -30,7 +30,7 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 #: Entries of the counters of a task that lead to a flush.
-HELD = 200_000
+HELD = 400_000
 #: Parts in which the terms of a language meet its sources, and of a group its terms before they are ranked.
 PARTS = 32
 
