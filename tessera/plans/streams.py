@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import question_key
-from ..streaming.jobs import appended, completed, events, folded, stream
+from ..streaming.contexts import FAILED_MOST, RETAIN, TTL, TURNS_MOST, forget_context, turn
+from ..streaming.jobs import appended, completed, events, stream
+from ..streaming.ordered import replayed
 from .dialogue import KEY
 from .registry import query
 
@@ -72,13 +74,13 @@ NUMBERED = "r AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS now, row
 
 def publish(state, row):
     """One request of a store: a key that was applied is answered again, another revision than the present one is stale."""
-    revision, applied = state
-    name = row.event_id % 23
+    (revision, applied), (_, event_id) = state, row
+    name = event_id % 23
     if name in applied:
-        return state, (row.event_id, "ALREADY_APPLIED", revision)
-    if row.event_id % 7 != revision:
-        return state, (row.event_id, "STALE", revision)
-    return (revision + 1, [*applied, name]), (row.event_id, "PUBLISHED", revision + 1)
+        return state, (event_id, "ALREADY_APPLIED", revision)
+    if event_id % 7 != revision:
+        return state, (event_id, "STALE", revision)
+    return (revision + 1, [*applied, name]), (event_id, "PUBLISHED", revision + 1)
 
 
 @query(f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS status, 0::BIGINT AS revision, []::BIGINT[] AS applied FROM r UNION ALL
@@ -86,9 +88,8 @@ SELECT user_id, n, event_id, status, CASE WHEN status = 'PUBLISHED' THEN revisio
  (SELECT s.user_id, r.n, r.event_id, revision, applied, CASE WHEN list_contains(applied, r.event_id % 23) THEN 'ALREADY_APPLIED' WHEN r.event_id % 7 <> revision THEN 'STALE' ELSE 'PUBLISHED' END AS status FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
 SELECT user_id, event_id, status, revision FROM s WHERE n > 0""")
 def stream_publish(t):
-    """Requests to publish: compare the revision, raise it, and answer repeated operation keys as before."""
-    e = events(t.spark, t.sf_dir).select("user_id", "event_id", "ts")
-    return appended(folded(e, "user_id", ["ts", "event_id"], "revision long, applied array<long>", (0, []), "event_id long, status string, revision long", publish))
+    """Requests to publish, in the order of their time: compare the revision, raise it, and answer repeated operation keys as before."""
+    return replayed(events(t.spark, t.sf_dir), "user_id", ["event_id"], "revision long, applied array<long>", (0, []), "event_id long, status string, revision long", publish)
 
 
 LEASE, PAUSE, ATTEMPTS = 8 * 3_600_000_000, 900_000_000, 3
@@ -96,11 +97,11 @@ LEASE, PAUSE, ATTEMPTS = 8 * 3_600_000_000, 900_000_000, 3
 
 def lease(state, row):
     """One action on an outbox event: view claims it, click is a heartbeat, purchase finishes it, error fails it, signup puts a new one in its place."""
-    status, until, attempts = state
-    now, live = row.now, status == "CLAIMED" and until > row.now
-    if row.event_type == "signup":
+    (status, until, attempts), (now, event_id, event_type) = state, row
+    live = status == "CLAIMED" and until > now
+    if event_type == "signup":
         state, said = ("NEW", 0, 0), "NEW"
-    elif row.event_type == "view":
+    elif event_type == "view":
         if status in ("DONE", "TERMINAL"):
             said = "NONE"
         elif until > now:
@@ -111,15 +112,15 @@ def lease(state, row):
             state, said = ("CLAIMED", now + LEASE, attempts + 1), "CLAIMED"
     elif not live:
         said = "LOST"
-    elif row.event_type == "click":
+    elif event_type == "click":
         state, said = (status, now + LEASE, attempts), "EXTENDED"
-    elif row.event_type == "purchase":
+    elif event_type == "purchase":
         state, said = ("DONE", 0, attempts), "DONE"
     elif attempts < ATTEMPTS:
         state, said = ("FAILED", now + min(fixed.RETRY_SECONDS_MOST, 2 ** min(attempts, 6)) * PAUSE, attempts), "RETRY"
     else:
         state, said = ("TERMINAL", 0, attempts), "EXHAUSTED"
-    return state, (row.event_id, said, state[2])
+    return state, (event_id, said, state[2])
 
 
 @query(f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS said, 'NEW' AS status, 0::BIGINT AS until, 0::BIGINT AS attempts FROM r UNION ALL
@@ -131,5 +132,24 @@ SELECT user_id, n, event_id, said, CASE said WHEN 'NEW' THEN 'NEW' WHEN 'EXHAUST
 SELECT user_id, event_id, said, attempts FROM s WHERE n > 0""")
 def stream_leases(t):
     """Leases on outbox events with heartbeats, growing pauses before a retry, and an end after three attempts (hours here, as events are rare)."""
-    e = events(t.spark, t.sf_dir).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("now"))
-    return appended(folded(e, "user_id", ["now", "event_id"], "status string, until long, attempts long", ("NEW", 0, 0), "event_id long, said string, attempts long", lease))
+    return replayed(events(t.spark, t.sf_dir), "user_id", ["event_id", "event_type"], "status string, until long, attempts long", ("NEW", 0, 0), "event_id long, said string, attempts long", lease)
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS now, day(ts) // 10 - CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS known, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS said, 0::BIGINT AS turns, 0::BIGINT AS revision, 0::BIGINT AS offered, 0::BIGINT AS knowledge, 0::BIGINT AS expires, []::BIGINT[] AS failed FROM r UNION ALL
+SELECT user_id, n, event_id, said, CASE said WHEN 'ASKED' THEN 1 WHEN 'OFFERED' THEN turns + 1 ELSE turns END, CASE said WHEN 'ASKED' THEN 1 WHEN 'OFFERED' THEN revision + 1 WHEN 'ACCEPTED' THEN revision + 1 ELSE revision END,
+ CASE WHEN said IN ('ASKED', 'OFFERED') THEN now WHEN said = 'ACCEPTED' THEN 0 ELSE offered END, CASE WHEN said IN ('ASKED', 'ACCEPTED') THEN known ELSE knowledge END, CASE WHEN said IN ('ASKED', 'ACCEPTED') THEN now + {TTL} ELSE expires END,
+ CASE WHEN said = 'FAILED' THEN list_append(failed, now)[-{FAILED_MOST}:] ELSE failed END FROM
+ (SELECT *, CASE WHEN event_type = 'signup' THEN 'ASKED' WHEN event_type = 'error' THEN 'FAILED' WHEN turns = 0 THEN 'NOT_FOUND' WHEN expires <= now THEN 'EXPIRED' WHEN event_type = 'purchase' THEN 'FOUND'
+   WHEN event_type = 'view' THEN CASE WHEN offered > 0 THEN 'OPEN_OFFER' WHEN turns >= {TURNS_MOST} THEN 'LIMIT' ELSE 'OFFERED' END
+   WHEN known < knowledge THEN 'STALE_KNOWLEDGE' WHEN revision <> 1 + event_id % 3 THEN 'CHANGED' WHEN offered = 0 THEN 'NO_OFFER' WHEN len(list_filter(failed, lambda x: x > offered)) > 0 THEN 'UNBOUND' ELSE 'ACCEPTED' END AS said FROM
+  (SELECT r.*, CASE WHEN expires + {RETAIN} > now THEN turns ELSE 0 END AS turns, CASE WHEN expires + {RETAIN} > now THEN revision ELSE 0 END AS revision, CASE WHEN expires + {RETAIN} > now THEN offered ELSE 0 END AS offered, CASE WHEN expires + {RETAIN} > now THEN knowledge ELSE 0 END AS knowledge, CASE WHEN expires + {RETAIN} > now THEN expires ELSE 0 END AS expires,
+    list_filter(failed, lambda x: x > now - {RETAIN}) AS failed FROM s JOIN (SELECT * FROM r) r ON r.user_id = s.user_id AND r.n = s.n + 1)))
+SELECT user_id, event_id, said, turns, revision, len(failed) AS failed FROM s WHERE n > 0""")
+def stream_contexts(t):
+    """Clarification contexts: a question opens one, an offer and its selection raise its revision, at most TURNS_MOST offers; it lives TTL after the last selection (a day here, as
+    events are rare) and is swept RETAIN later; the last FAILED_MOST failed turns are kept as long, and one since an offer unbinds typed selections. signup asks, view offers, click
+    selects (the revision and knowledge it was shown come from its id and day), purchase reads, error fails."""
+    e = events(t.spark, t.sf_dir).withColumn("known", (F.dayofmonth("ts") / 10).cast("long") - F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
+    state = "turns long, revision long, offered long, knowledge long, expires long, failed array<long>"
+    return replayed(e, "user_id", ["event_id", "event_type", "known"], state, (0, 0, 0, 0, 0, []), "event_id long, said string, turns long, revision long, failed long", turn, forget_context)

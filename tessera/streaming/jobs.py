@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,20 +41,3 @@ def completed(out: DataFrame) -> DataFrame:
     last = q.lastProgress
     done = max((p["batchId"] for p in q.recentProgress if p["numInputRows"] or p["batchId"] == last["batchId"]), default=0)
     return spark.read.schema(out.schema).parquet(f"{path}/{done:08d}")
-
-
-def folded(rows: DataFrame, key: str, order: list[str], state: str, start: tuple, out: str, step: Callable) -> DataFrame:
-    """Each row goes through step(state, row) -> (state, values), in the order of arrival and, in a micro-batch, of `order`; the state of a key outlives the
-    batch. For chains in which a row's outcome decides the next one's (leases, revisions), which no window or combiner can express. out: the columns
-    after the key. A key's rows of one micro-batch meet in one task, so files a trigger bound what it holds."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now, found = held.get if held.exists else start, []
-        for row in pd.concat(list(parts)).sort_values(order, kind="stable").itertuples(index=False):
-            now, values = step(now, row)
-            found.append((k[0], *values))
-        held.update(now)
-        yield pd.DataFrame(found, columns=[c.strip().split(" ")[0] for c in f"{key} {kind}, {out}".split(",")])
-
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", state, "append", "NoTimeout")
