@@ -67,26 +67,3 @@ def bundles(rows: DataFrame, key: str, order: str, size: str, limits: dict[str,
         return pd.DataFrame({key: [name[0]] * len(g), order: g["o"], size: g["s"], "bundle": [first + n for n in begun]})
 
     return same(entered).groupBy("k", "cell").applyInPandas(label, f"{key} {kinds['k']}, {order} {kinds['o']}, {size} long, bundle long")
-
-
-def leader_clusters(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """rows: key, item, terms, seen. Newest first, an item joins the first cluster with its terms or enough of them, else starts one;
-    a cluster's terms grow by union. Returns key, item, cluster (its first item). Each key's rows meet in one task."""
-
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[object, set]] = []
-        out = []
-        for item, terms in g.sort_values(["seen", "item"], ascending=[False, True])[["item", "terms"]].itertuples(index=False):
-            terms = set(terms)
-            for name, held in found:
-                if terms and held and len(terms & held) / min(len(terms), len(held)) >= least:
-                    held |= terms
-                    out.append((item, name))
-                    break
-            else:
-                found.append((item, terms))
-                out.append((item, item))
-        return pd.DataFrame({key: g[key].iloc[0], "item": [o[0] for o in out], "cluster": [o[1] for o in out]})
-
-    kinds = dict(rows.dtypes)
-    return rows.select(key, "item", "terms", "seen").groupBy(key).applyInPandas(cluster, f"{key} {kinds[key]}, item {kinds['item']}, cluster {kinds['item']}")

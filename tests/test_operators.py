@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import closure, merge_roots
 from tessera.operators.ledger import edit_one_pairs, open_conflicts
-from tessera.operators.packs import bundles, leader_clusters
+from tessera.operators.leaders import leader_clusters
+from tessera.operators.packs import bundles
 from tessera.operators.search import fuse, gate
 from tessera.operators.vectors import nearest
 from tessera.sources import chat, files
@@ -89,8 +90,8 @@ def test_bundles_of_no_rows(spark):
 
 
 def test_leader_clusters(spark):
-    rows = [("k", 1, ["a", "b"], 1), ("k", 2, ["a", "b", "c"], 2), ("k", 3, ["x"], 3), ("k", 4, [], 4)]
-    got = {r.item: r.cluster for r in leader_clusters(spark.createDataFrame(rows, "k string, item long, terms array<string>, seen long"), "k", 0.75).collect()}
+    rows = [("k", -1, ["a", "b"]), ("k", -2, ["a", "b", "c"]), ("k", -3, ["x"]), ("k", -4, [])]
+    got = {-r.place: -r.leader for r in leader_clusters(spark.createDataFrame([(*r, None) for r in rows], "scope string, place long, terms array<string>, key string"), 0.75).collect()}
     assert got == {1: 2, 2: 2, 3: 3, 4: 4}
 
 
