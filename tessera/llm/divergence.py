@@ -118,9 +118,10 @@ class Audit:
         each = vectors.select("lang", "m", F.transform("vector", full).alias("all")).select("lang", "m", "all", F.posexplode("all").alias("at", "x"))
         # each pair once, in both directions; the array is sorted, so what follows x has larger indices
         rest = F.slice("all", F.col("at") + 2, F.size("all"))
-        less = lambda a, b: F.col("m") * (f_of(a["p"], b["p"]) - f_of(a["p"], b["z"]) - f_of(a["z"], b["p"]) + f_of(a["z"], b["z"]))
-        both = F.transform(rest, lambda y: F.struct(x["i"].alias("s"), y["i"].alias("t"), less(x, y).alias("there"), less(y, x).alias("back")))
-        met = each.select("lang", F.explode(both).alias("r")).groupBy("lang", "r.s", "r.t").agg(F.sum("r.there").alias("there"), F.sum("r.back").alias("back"))
+        both = F.transform(rest, lambda y: F.struct(x["i"].alias("s"), y["i"].alias("t"), x["p"].alias("p"), z.alias("z"), y["p"].alias("q"), y["z"].alias("w")))
+        less = lambda p, z, q, w: F.col("m") * (f_of(F.col(p), F.col(q)) - f_of(F.col(p), F.col(w)) - f_of(F.col(z), F.col(q)) + f_of(F.col(z), F.col(w)))
+        met = each.select("lang", "m", F.explode(both).alias("r")).select("lang", "m", "r.*").select("lang", "s", "t", less("p", "z", "q", "w").alias("there"), less("q", "w", "p", "z").alias("back"))
+        met = met.groupBy("lang", "s", "t").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
         met = met.select("lang", F.explode(F.array(row(F.col("s"), F.col("t"), F.col("there")), row(F.col("t"), F.col("s"), F.col("back")))).alias("r")).select("lang", "r.*")
         # one source's counts against the zero p of all others, in either direction
         single = seen.select("lang", "m", F.explode("vector").alias("e")).groupBy("lang", "e").agg(F.sum("m").alias("m"))
