@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from .registry import query
 
 RATES = [("A", "1.50", "0.25"), ("N", "2.00", None), ("R", "0.75", "0.10")]
@@ -76,7 +77,10 @@ def budget_running_breach(t):
 @query(f"SELECT model, min(price) AS low, max(price) AS high, CAST(quantile_cont(CAST(price AS DOUBLE), 0.5) AS DOUBLE) AS median, round(stddev_samp(CAST(price AS DOUBLE)), 4) AS spread FROM (SELECT model, CAST(price AS DOUBLE) AS price FROM {ATTEMPTS}) GROUP BY 1")
 def run_variability(t):
     p = F.col("price").cast("double")
-    return attempts(t).groupBy("model").agg(F.min(p).alias("low"), F.max(p).alias("high"), F.percentile(p, 0.5).alias("median"), F.round(F.stddev_samp(p), 4).alias("spread"))
+    a = attempts(t).select("model", p.alias("price"))
+    g = a.groupBy("model").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.round(F.stddev_samp("price"), 4).alias("spread"))
+    q = quantiles(a, ["model"], "price", {"median": ("between", 0.5)}).withColumnRenamed("model", "of")
+    return g.join(q, F.col("model").eqNullSafe(F.col("of")), "left").select("model", "low", "high", "median", "spread")
 
 
 @query("""SELECT s_nationkey, count(*) AS n, CASE WHEN bool_and(s_acctbal >= 0) THEN 'COMPLETE' WHEN bool_or(s_acctbal >= 0) THEN 'PARTIAL' ELSE 'UNKNOWN' END AS status, round(sum(CASE WHEN s_acctbal >= 0 THEN s_acctbal END), 4) AS known FROM supplier GROUP BY 1""")

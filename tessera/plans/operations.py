@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators.quantiles import quantiles
 from .registry import query
 
 def user():
@@ -29,13 +30,16 @@ def median_response_minutes(t):
     bought = F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(Window.partitionBy("user_id").orderBy(F.desc("micros")).rangeBetween(Window.unboundedPreceding, -1))
     e = t("events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("answered", bought).filter("event_type = 'view' AND answered IS NOT NULL")
     minutes = (F.unix_micros(F.col("answered").cast("timestamp")) - F.col("micros")) / 6e7
-    return e.select(minutes.alias("m")).agg(F.count("*").alias("n"), F.round(F.percentile("m", 0.5), 6).alias("median_minutes"))
+    m = e.select(minutes.alias("m"))
+    one = F.lit(1).alias("k")  # one row on either side
+    return m.agg(F.count("*").alias("n")).select("n", one).join(quantiles(m, [], "m", {"q": ("between", 0.5)}).select("q", one), "k", "left").select("n", F.round("q", 6).alias("median_minutes"))
 
 
 @query("SELECT event_type, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95, count(*) AS n FROM events GROUP BY 1")
 def nearest_rank_latency(t):
-    t("events").createOrReplaceTempView("_latency")
-    return t.spark.sql("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, count(*) AS n FROM _latency GROUP BY 1")
+    e = t("events").select("event_type", "value")
+    q = quantiles(e, ["event_type"], "value", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}).withColumnRenamed("event_type", "of")
+    return e.groupBy("event_type").count().join(q, F.col("event_type").eqNullSafe(F.col("of")), "left").select("event_type", "p50", "p95", F.col("count").alias("n"))
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(urgent, 0) AS n_urgent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1) ON o_custkey = c_custkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators.vectors import nearest
+from ..operators.quantiles import quantiles
 from .registry import query
 
 PREDICTED = "CASE WHEN n_chars >= 1500 THEN 1 ELSE 0 END"
@@ -50,8 +51,10 @@ SELECT user_id, avg(value) FILTER (WHERE day(ts) % 2 = 0) AS a, avg(value) FILTE
 def paired_deltas_median(t):
     odd = F.dayofmonth("ts") % 2
     p = t("events").groupBy("user_id").agg(F.avg(F.when(odd == 0, F.col("value"))).alias("a"), F.avg(F.when(odd == 1, F.col("value"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    d = F.col("b") - F.col("a")
-    return p.agg(F.count("*").alias("pairs"), F.round(F.percentile(d, 0.5), 6).alias("median_delta"), F.round(F.avg(d), 6).alias("mean_delta"), F.count_if(d < 0).alias("regressions"))
+    d = p.select((F.col("b") - F.col("a")).alias("d"))
+    one = F.lit(1).alias("k")  # one row on either side
+    g = d.agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 6).alias("mean_delta"), F.count_if(F.col("d") < 0).alias("regressions")).select("*", one)
+    return g.join(quantiles(d, [], "d", {"q": ("between", 0.5)}).select("q", one), "k", "left").select("pairs", F.round("q", 6).alias("median_delta"), "mean_delta", "regressions")
 
 
 DAILY = "(SELECT user_id, CAST(ts AS DATE) AS day, arg_max(event_type, event_id) AS state FROM events GROUP BY 1, 2)"

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .answers import LINES, lines
+from ..operators.quantiles import quantiles
 from .registry import query
 
 VERDICTS = ("MISSING", "PARTIAL", "UNDETERMINED", "COVERED")
@@ -76,13 +77,12 @@ def bound_judgments(t):
 @query("""SELECT event_type AS scope, count(*) AS total, count(*) FILTER (WHERE event_id % 3 = 0) AS reviewed, count(*) FILTER (WHERE event_id % 11 = 0) AS failed, count(*) FILTER (WHERE event_id % 3 = 0 AND event_id % 5 = 0) AS wrong, round(quantile_cont(value, 0.5), 6) AS p50,
  list_sort(list(value))[CAST(ceil(count(*) * 0.95) AS INTEGER)] AS p95, max(value) AS slowest FROM events GROUP BY 1""")
 def shadow_report(t):
-    """Observations of a scope: how many were reviewed, failed or found wrong, and their latency. The nearest-rank p95 comes from counts of each value, so values combine before the shuffle."""
+    """Observations of a scope: how many were reviewed, failed or found wrong, and their latency. Quantiles are exact and hold no scope in a task."""
     reviewed = F.col("event_id") % 3 == 0
-    e = t("events").groupBy(F.col("event_type").alias("scope"), "value").agg(F.count("*").alias("n"), F.count_if(reviewed).alias("r"), F.count_if(F.col("event_id") % 11 == 0).alias("f"), F.count_if(reviewed & (F.col("event_id") % 5 == 0)).alias("w"))
-    g = e.groupBy("scope").agg(F.sum("n").alias("total"), F.sum("r").alias("reviewed"), F.sum("f").alias("failed"), F.sum("w").alias("wrong"), F.round(F.percentile("value", 0.5, F.col("n")), 6).alias("p50"), F.max("value").alias("slowest"))
-    up = F.sum("n").over(Window.partitionBy("scope").orderBy("value"))
-    rank = e.select("scope", "value", up.alias("up")).join(g.select("scope", F.ceil(F.col("total") * 0.95).alias("at")), "scope").filter("up >= at").groupBy("scope").agg(F.min("value").alias("p95"))
-    return g.join(rank, "scope").select("scope", "total", "reviewed", "failed", "wrong", "p50", "p95", "slowest")
+    counts = (F.count("*").alias("total"), F.count_if(reviewed).alias("reviewed"), F.count_if(F.col("event_id") % 11 == 0).alias("failed"), F.count_if(reviewed & (F.col("event_id") % 5 == 0)).alias("wrong"))
+    g = t("events").groupBy(F.col("event_type").alias("scope")).agg(*counts, F.max("value").alias("slowest"))
+    rank = quantiles(t("events").select(F.col("event_type").alias("of"), "value"), ["of"], "value", {"p50": ("between", 0.5), "p95": ("nearest", 0.95)})
+    return g.join(rank, F.col("scope").eqNullSafe(F.col("of")), "left").select("scope", "total", "reviewed", "failed", "wrong", F.round("p50", 6).alias("p50"), "p95", "slowest")
 
 
 @query("""WITH f AS (SELECT l_suppkey AS store, l_orderkey || ':' || l_linenumber AS fact, l_partkey AS source, l_returnflag AS label, l_tax = 0 AS unplaced, p_type, p_partkey IS NULL AS dangling FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 2)
