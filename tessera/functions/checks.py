@@ -9,16 +9,15 @@ from . import fixed
 from .text import canonical_number
 
 
+def canonical(number: Column) -> Column:
+    """A fraction as it is; others without thousands separators and zeros at the end of a decimal."""
+    return F.when(number.contains("/"), number).otherwise(canonical_number(F.regexp_replace(number, ",", "")))
+
+
 def numbers_in(text: Column) -> Column:
     """The distinct numbers of a text: fractions as they are, no thousands separators, no zeros at the end of a decimal. Null text: none."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.LINE_NUMBER), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda n: F.when(n.contains("/"), n).otherwise(canonical_number(F.regexp_replace(n, ",", "")))))
-
-
-def units_in(text: Column) -> Column:
-    """The distinct words that directly follow a number."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?:{fixed.LINE_NUMBER})(?:{fixed.LINE_UNIT})"), F.lit(1))
-    return F.array_distinct(found)
+    return F.array_distinct(F.transform(found, canonical))
 
 
 def bare_value(text: Column) -> Column:
@@ -35,12 +34,14 @@ def unit_grounded(unit: Column, pool: Column) -> Column:
 
 
 def line_fault(text: Column, pool: Column) -> Column:
-    """Why a line may not stand beside the facts whose texts, one a line, are in pool; null if it may. An invented number counts before an invented unit
-    (a line's numbers are looked at together). Null text is empty; a null pool has no facts."""
+    """Why a line may not stand beside the facts whose texts, one a line, are in pool; null if it may. The first number with a fault decides: one that no fact has is invented, else
+    the word after it may be. Null text is empty; a null pool has no facts."""
     line, held = F.coalesce(text, F.lit("")), F.coalesce(pool, F.lit(""))
-    invented = F.size(F.array_except(numbers_in(line), numbers_in(held))) > 0
-    unknown = F.exists(units_in(line), lambda u: ~unit_grounded(u, held))
-    return F.when(~line.rlike(r"\S"), "LINE_EMPTY").when(bare_value(line), "LINE_BARE_VALUE").when(invented, "LINE_INVENTED_NUMBER").when(unknown, "LINE_INVENTED_UNIT")
+    known, pattern = numbers_in(held), F.lit(f"({fixed.LINE_NUMBER})(?:{fixed.LINE_UNIT})?")
+    each = F.arrays_zip(F.regexp_extract_all(line, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(line, pattern, F.lit(2)).alias("unit"))
+    fault = lambda x: F.when(~F.array_contains(known, canonical(x["n"])), "LINE_INVENTED_NUMBER").when((x["unit"] != "") & ~unit_grounded(x["unit"], held), "LINE_INVENTED_UNIT")
+    first = F.get(F.filter(F.transform(each, fault), lambda f: f.isNotNull()), 0)
+    return F.when(~line.rlike(r"\S"), "LINE_EMPTY").when(bare_value(line), "LINE_BARE_VALUE").otherwise(first)
 
 
 def friendly(text: Column, original: Column, value: Column) -> Column:

@@ -111,3 +111,11 @@ def test_friendly(spark, text, shown):
 def test_fact_coverage(spark, facts, text, share):
     d = spark.createDataFrame([(facts, text)], "f array<string>, t string")
     assert d.select(checks.fact_coverage(F.col("f"), F.col("t"))).first()[0] == share
+
+
+def test_the_first_number_with_a_fault_decides(spark):
+    from tessera.functions.checks import line_fault
+
+    rows = [("시럽 5oz 우유 99ml", "시럽 5ml"), ("우유 99ml 시럽 5oz", "시럽 5ml"), ("시럽 5.0ml", "시럽 5ml"), ("시럽 5", "시럽 5ml"), ("시럽 1/2컵", "시럽 1/2컵을"), ("1,000ml 물", "물 1000 ml"), (None, "x"), ("물", None)]
+    got = [r.f for r in spark.createDataFrame(rows, "a string, b string").select(line_fault(F.col("a"), F.col("b")).alias("f")).collect()]
+    assert got == ["LINE_INVENTED_UNIT", "LINE_INVENTED_NUMBER", None, None, None, None, "LINE_EMPTY", None]
