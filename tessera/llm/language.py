@@ -8,7 +8,8 @@ language that needs the fewest normalised phrases wins, ties by name.
 
 Each automaton has the bytes that its sample holds as symbols, and one symbol for all others, which is a phrase of its own. It is a table of next
 states, where a step that ends a phrase is marked and goes on from the root, so a whole batch of texts is parsed side by
-side, one table look-up for each byte. Whole texts are parsed, in lanes of LANE bytes; each lane starts at the root.
+side, one table look-up for each byte. Texts are parsed in lanes of LANE bytes at once, each from the state in which the one before it ended: lanes that guessed another
+state are parsed again, and those that ROUNDS rounds don't settle are parsed in turn. So counts are those of one greedy parse of the whole text.
 
 Null text and text without letters: `und`, score 0. Labels that are null are not learned from; with no labelled text
 all is `und`. The score is 1 - (phrases of the best / phrases of the second), or 1 with a single language. Repeated rows are judged each
@@ -30,11 +31,12 @@ TRAIN_BYTES = 24_000
 TRAIN_DOCS = 48
 MODEL_BYTES = 600_000
 LANE = 512
+#: A parse soon meets one that began elsewhere, so second rounds nearly always settle the lanes.
+ROUNDS = 3
 #: Bytes of text parsed together.
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
-#: Texts of so many bytes at least are rejected by `keep_known` if their phrases are shorter than this on average: no language explains them.
-MIN_BYTES = 64
+#: No language explains a text whose phrases have fewer bytes than this on average.
 MIN_PHRASE = 1.5
 #: A step's number of phrases that end stands above this bit.
 ENDS = 29
@@ -125,27 +127,58 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), lanes)
         first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
         grid = np.zeros(total * LANE, "u1")
-        held = np.zeros(total, np.int64)
+        held = np.full(total, LANE, np.int64)
         for t, f, k, size in zip(texts, first, lanes, n, strict=True):
             grid[f * LANE : f * LANE + size] = np.frombuffer(t, "u1")
-            held[f : f + k] = LANE
             if k:
                 held[f + k - 1] = size - (k - 1) * LANE
+        grid, begins = grid.reshape(total, LANE), np.concatenate([[True], owner[1:] != owner[:-1]])
+        for k in range(len(self.names)):
+            entry, left, count = (np.zeros(total, np.int32) for _ in range(3))
+            todo = np.arange(total)
+            for _ in range(ROUNDS):
+                left[todo], count[todo] = self.side_by_side(k, grid[todo], held[todo], entry[todo])
+                true = np.where(begins, 0, np.roll(left, 1))
+                todo = np.flatnonzero(true != entry)
+                if not len(todo):
+                    break
+                entry[todo] = true[todo]
+            else:
+                self.in_turn(k, grid, held, begins, todo, entry, left, count)
+            ends = np.roll(begins, -1)  # a phrase that the end of a text cuts off counts
+            np.add.at(found[:, k], owner, count + (ends & (left > 0)))
+        return found
+
+    def side_by_side(self, k: int, grid: np.ndarray, held: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each lane and the phrases that end in it."""
+        symbol, width, next_state = self.symbols[k], np.int32(self.widths[k]), self.tables[k]
         # longest lanes first, so that those still running are a prefix
         order = np.argsort(-held, kind="stable")
-        cols = np.ascontiguousarray(grid.reshape(total, LANE)[order].T)
+        cols = np.ascontiguousarray(grid[order].T)
         running = np.searchsorted(-held[order], -np.arange(LANE), side="left")
-        for k, (symbol, width, next_state) in enumerate(zip(self.symbols, self.widths, self.tables, strict=True)):
-            state, count = np.zeros(total, np.int32), np.zeros(total, np.int32)
-            for i in range(LANE):
-                m = int(running[i])
-                if not m:
-                    break
-                v = next_state[state[:m] * np.int32(width) + symbol[cols[i, :m]]]
-                count[:m] += v >> ENDS
-                state[:m] = v & ((1 << ENDS) - 1)
-            np.add.at(found[:, k], owner[order], count + (state > 0))
-        return found
+        state, count = entry[order], np.zeros(len(order), np.int32)
+        for i in range(LANE):
+            m = int(running[i])
+            if not m:
+                break
+            v = next_state[state[:m] * width + symbol[cols[i, :m]]]
+            count[:m] += v >> ENDS
+            state[:m] = v & ((1 << ENDS) - 1)
+        back = np.argsort(order, kind="stable")
+        return state[back], count[back]
+
+    def in_turn(self, k: int, grid: np.ndarray, held: np.ndarray, begins: np.ndarray, todo: np.ndarray, entry: np.ndarray, left: np.ndarray, count: np.ndarray) -> None:
+        """Lanes whose state did not settle, one after the other; entry, left and count are set."""
+        width, next_state, rest, stale = self.widths[k], memoryview(self.tables[k]), (1 << ENDS) - 1, set(todo.tolist())
+        for j in range(int(todo[0]), len(held)):
+            state = 0 if begins[j] else int(left[j - 1])
+            if j in stale or state != entry[j]:
+                entry[j], ended = state, 0
+                for c in self.symbols[k][grid[j, : held[j]]].tolist():
+                    v = next_state[state * width + c]
+                    ended += v >> ENDS
+                    state = v & rest
+                left[j], count[j] = state, ended
 
 
 def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -214,14 +247,14 @@ def judge(docs: DataFrame, parser: Parser, columns: tuple[str, ...]) -> DataFram
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs with the language found in `lang`, without those that have no letters or that no language explains (phrases under MIN_PHRASE bytes). Where
-    there is nothing to learn from, only letters count and `lang` stays."""
+    """docs with the language found in `lang`, without those that have no letters. Texts that no language explains (phrases under MIN_PHRASE bytes on average, as in a
+    script that nobody labelled) stay, as `und`, whatever their size and label. Where there is nothing to learn from, only letters count and `lang` stays."""
     parser = fit(docs)
     if not parser.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    explained = (F.col("phrase_bytes") >= MIN_PHRASE) | (F.octet_length("kept.text") < MIN_BYTES)
-    known = judge(docs, parser, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & explained)
-    return known.select(*(F.col("lang_pred").alias("lang") if n == "lang" else F.col(f"kept.`{n}`").alias(n) for n in docs.columns))
+    known = judge(docs, parser, tuple(docs.columns)).filter(F.col("lang_pred") != UNKNOWN)
+    lang = F.when(F.col("phrase_bytes") >= MIN_PHRASE, F.col("lang_pred")).otherwise(F.lit(UNKNOWN))
+    return known.select(*(lang.alias("lang") if n == "lang" else F.col(f"kept.`{n}`").alias(n) for n in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ Lists up to BROADCAST_ROWS intervals (counted first) are broadcast as one timeli
 and captures of a key in the order of days, each capture takes the last entry before it. Keys that over SALT_ROWS captures ask for are
 dealt over several tasks, each with that key's entries, so a host with a third of all captures is spread.
 
+List keys are brought to the form of captures: scheme, user, port, query, leading `.` or `*.` and final dot of a host go, hosts are lower-cased, empty path
+segments dropped; entries that are one in that form share intervals. A prefix without a path holds the host itself. A domain key with a path, or a key
+without a host, matches nothing.
+
 Captures without a host match nothing and pass; null url or fetch time passes; repeated captures are judged each on its own;
 of several entries of one key and day the last by action holds. Other columns are ignored.
 """
@@ -28,7 +32,7 @@ SPAN = ["valid_from", "valid_to", "action"]
 
 def host_of(url: Column) -> Column:
     """The lower-case host without user, port and final dot; empty if there is none."""
-    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
     return F.regexp_replace(host, r"\.$", "")
 
 
@@ -37,24 +41,36 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def prefix_key(host: Column, parts: Column) -> Column:
+    return F.array_join(F.concat(F.array(host), parts), "/")
+
+
+def list_key(kind: Column, key: Column) -> Column:
+    """A list's key in the form of the keys of captures; null if it can match nothing."""
+    url = F.when(F.trim(key).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.trim(key)).otherwise(F.concat(F.lit("any://"), F.trim(key)))
+    host, parts = F.regexp_replace(host_of(url), r"^(\*?\.)+", ""), segments(path_of(url))
+    return F.when(host == "", None).when(kind == "prefix", prefix_key(host, parts)).when(F.size(parts) == 0, host)
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """Dated entries as intervals: key, kind, action, valid_from, valid_to (null: still valid)."""
     day = Window.partitionBy("kind", "key").orderBy("entry_date")
-    one = entries.filter("key IS NOT NULL AND key <> '' AND entry_date IS NOT NULL").groupBy("kind", "key", "entry_date").agg(F.max("action").alias("action"))
+    named = entries.withColumn("key", list_key(F.col("kind"), F.col("key"))).filter("key IS NOT NULL AND entry_date IS NOT NULL")
+    one = named.groupBy("kind", "key", "entry_date").agg(F.max("action").alias("action"))
     return one.select("kind", "key", "action", F.col("entry_date").alias("valid_from"), F.lead("entry_date").over(day).alias("valid_to")).filter("action <> 'remove'")
 
 
-def segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda p: p != "")
-
-
 def candidate_keys(host: Column, path: Column, depths: list[int]) -> Column:
     """All keys of a capture: parent domains of its host, and its host with as many path segments as entries of the list have (depths)."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     parts = segments(path)
     held = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: i <= F.size(parts))
-    prefixes = F.transform(held, lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")))
+    prefixes = F.transform(held, lambda i: F.struct(F.lit("prefix").alias("kind"), prefix_key(host, F.slice(parts, 1, i)).alias("key")))
     return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(domains, prefixes))
 
 
@@ -87,7 +103,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = B
     listed = active.agg(F.count("*").alias("n"), F.collect_set(deep).alias("depths")).first()
     asked = captures.select("capture_id", "url", "fetched", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     asked = asked.withColumn("row", F.monotonically_increasing_id())
-    keys = asked.select("*", F.explode_outer(candidate_keys(F.col("host"), F.col("path"), sorted(d for d in listed.depths if d > 0))).alias("k")).select("row", "capture_id", "url", "host", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
+    keys = asked.select("*", F.explode_outer(candidate_keys(F.col("host"), F.col("path"), sorted(listed.depths))).alias("k")).select("row", "capture_id", "url", "host", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
     joined = asof_broadcast(keys, active) if listed.n <= broadcast_rows else asof_sorted(keys, active, salt_rows)
     held = F.col("entry").isNotNull() & (F.col("entry.valid_to").isNull() | (F.col("fetched") < F.col("entry.valid_to")))
     hit = F.when(held, F.struct(F.length("key").alias("n"), "key", "kind", F.col("entry.action").alias("action")))
@@ -126,7 +142,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH captures AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
-         regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', '') AS host,
+         regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.$', '') AS host,
          regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path
   FROM pages),
 hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 2) AS INTEGER) % 7 AS code FROM captures WHERE host <> ''),

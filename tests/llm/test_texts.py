@@ -69,6 +69,18 @@ def test_phrases_are_longest_matches():
     assert got[4].tolist() == [0, 0] and got[5].tolist() == [3, 3]
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_phrases_run_on_over_lanes(monkeypatch, rounds):
+    """Texts of many lanes, some of a period that no parse leaves: as one greedy parse of the whole text."""
+    monkeypatch.setattr(language, "ROUNDS", rounds)
+    rng = np.random.default_rng(7)
+    word = lambda n: bytes(rng.choice(list(b"abc"), n).tolist())
+    samples = {"x": word(200), "y": b"abcabcabcabcabcabcabcabcab"}
+    texts = [word(n) for n in (511, 512, 513, 1024, 5000)] + [b"abc" * 1500, b"ab" * 1300 + b"q" * 700 + b"abc" * 400, b"", b"c"]
+    got = language.Parser(samples).phrases(texts)
+    assert got.tolist() == [[brute_phrases(samples[n], t) for n in ("x", "y")] for t in texts]
+
+
 def test_language_id_accuracy_and_edges(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     parser = language.fit(d)
@@ -103,18 +115,22 @@ def test_languages_of_many_scripts_and_unequal_samples(spark):
     names, scores, _ = language.predict(parser, asked)
     want = [k for k in scripts for _ in range(20)]
     assert sum(a == b for a, b in zip(names, want, strict=True)) >= 0.97 * len(want) and all(0 <= s <= 1 for s in scores)
-    # a language nobody labelled: every byte is a phrase of its own
-    odd = docs(spark, [(1, "ሀሁሂሃሄህሆለሉሊላሌልሎ " * 5, "en", "s"), (2, text("ru", 50), None, "s")])
-    assert [(r.doc_id, r.lang) for r in language_kept(odd, parser)] == [(2, "ru")]
 
 
-def language_held(i):
-    return zlib.crc32(str(i).encode()) % 3 == 1
+def test_texts_in_a_script_nobody_labelled_stay(spark):
+    """Of any size: kept as und, never under the label of another language."""
+    learned = {"en": "the house and the garden are near the old river where they were often seen ", "de": "das haus und der garten sind nahe am alten fluss wo sie oft gesehen wurden "}
+    rows = [(2 * i + j, t * 8, lang, "s") for i in range(30) for j, (lang, t) in enumerate(learned.items())]
+    chinese = "的一是不了人我在有他这中大来上国的一是不了人我在有他这中大来上国大来上国"
+    a, b, c, d, e, f = [i for i in range(1000, 1100) if language_held(i)][:6]  # labels of these aren't learned from
+    odd = [(a, chinese, None, "s"), (b, chinese[:20], None, "s"), (c, chinese[:1], "en", "s"), (d, "ሀሁሂሃሄህሆለሉሊላሌልሎ " * 5, "en", "s"), (e, "the old garden", None, "s"), (f, "12 - 34", "en", "s")]
+    kept = {r.doc_id: r.lang for r in language.keep_known(docs(spark, rows + odd)).collect()}
+    assert [kept.get(i) for i in (a, b, c, d, e, f)] == ["und", "und", "und", "und", "en", None]
+    assert all(kept[i] == lang for i, _, lang, _ in rows)
 
 
-def language_kept(d, parser):
-    known = language.judge(d, parser, tuple(d.columns)).filter((F.col("phrase_bytes") >= language.MIN_PHRASE) & (F.col("lang_pred") != "und"))
-    return known.select("kept.doc_id", F.col("lang_pred").alias("lang")).collect()
+def language_held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
 
 
 PAGE = """<!DOCTYPE html><head><title>t</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href=x>Menu</a></nav>
@@ -225,6 +241,17 @@ def test_url_prefixes_of_any_depth(spark, broadcast_rows):
     assert found == {1: (False, b, 1), 2: (True, a, 2), 3: (True, a, 2), 4: (False, c, 3), 5: (False, None, 0), 6: (False, None, 0)}
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_url_list_keys_in_other_forms(spark, broadcast_rows):
+    listed = [("prefix", "a.com/x/"), ("domain", "Example.com"), ("domain", ".münchen.de"), ("domain", "*.wild.org."), ("prefix", "HTTPS://user@Deep.net:443//p//q/?z"), ("prefix", "whole.net/"), ("domain", "path.net/only"), ("domain", "[2001:DB8::1]"), ("domain", "..."), ("prefix", "/x"), ("domain", "EXAMPLE.com.")]
+    entries = spark.createDataFrame([(day("2024-01-01"), k, n, "block") for k, n in listed], "entry_date date, kind string, key string, action string")
+    asked = {"http://a.com/x": "a.com/x", "http://a.com/x/y": "a.com/x", "http://a.com/xy": None, "http://www.example.com/": "example.com", "http://www.MÜNCHEN.de/": "münchen.de", "http://b.wild.org": "wild.org", "http://deep.net/p/q": "deep.net/p/q", "http://deep.net/P/q": None,
+             "http://whole.net": "whole.net", "http://sub.whole.net": None, "http://path.net/only": None, "http://[2001:db8::1]:80/a": "[2001:db8::1]", "http://[2001:db8::2]/a": None}
+    caps = spark.createDataFrame([(i, u, day("2024-02-01")) for i, u in enumerate(asked)], "capture_id long, url string, fetched date")
+    found = {r.url: (r.blocked, r.rule, r.n_active) for r in urls.filter_urls(caps, entries, broadcast_rows, salt_rows=2).collect()}
+    assert found == {u: (rule is not None, rule, int(rule is not None)) for u, rule in asked.items()}
+
+
 def test_url_filter_by_brute_force(spark):
     rng = np.random.default_rng(17)
     keys = ["a.example", "example", "b.example", "a.example/x", "a.example/x/y"]
