@@ -12,7 +12,7 @@ from tessera.llm.common import drop_tables, step, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`lang` becomes the language found; documents that have no letters, or that no language explains, go."""
+    """`lang` becomes the language found, `und` where no language explains a text; documents that have no letters go."""
     return language.keep_known(docs)
 
 
