@@ -1,11 +1,15 @@
 """Streaming queries, each with its batch twin as the oracle."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import question_key
+from ..sources.shared import shared_path
+from ..streaming import delivery
 from ..streaming.contexts import FAILED_MOST, RETAIN, TTL, TURNS_MOST, forget_context, turn
 from ..streaming.jobs import appended, completed, events, stream
+from ..streaming.maintained import View, maintain
 from ..streaming.ordered import replayed
 from .dialogue import KEY
 from .registry import query
@@ -153,3 +157,54 @@ def stream_contexts(t):
     e = events(t.spark, t.sf_dir).withColumn("known", (F.dayofmonth("ts") / 10).cast("long") - F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
     state = "turns long, revision long, offered long, knowledge long, expires long, failed array<long>"
     return replayed(e, "user_id", ["event_id", "event_type", "known"], state, (0, 0, 0, 0, 0, []), "event_id long, said string, turns long, revision long, failed long", turn, forget_context)
+
+
+CHANGES = """c AS (SELECT user_id AS card_id, user_id % 5 AS store_id, {ts: ts, id: event_id} AS moment, CASE WHEN event_type IN ('click', 'purchase') AND event_id % 12 <> 11 THEN event_id % 12 END AS category, event_id AS version FROM events),
+items AS (SELECT card_id, store_id, max(moment) FILTER (WHERE category IS NOT NULL) AS placed, arg_max(category, moment) FILTER (WHERE category IS NOT NULL) AS category, arg_max(version, moment) FILTER (WHERE category IS NOT NULL) AS version,
+ coalesce(max(moment) FILTER (WHERE category IS NOT NULL) = max(moment), false) AS is_active FROM c GROUP BY ALL)"""
+
+
+def roadmap(t) -> View:
+    """Events as changes of the cards of five stores: click and purchase publish a version in a category (one id of twelve has none), all others take the card back."""
+    e = events(t.spark, t.sf_dir)
+    category = F.when(F.col("event_type").isin("click", "purchase") & (F.col("event_id") % 12 != 11), F.col("event_id") % 12)
+    stage = F.when(category.isNotNull(), F.struct((F.col("user_id") % 5).alias("store_id"), category.alias("category")))
+    changes = e.select(F.col("user_id").alias("key"), F.struct("ts", F.col("event_id").alias("id")).alias("at"), stage.alias("grp"), F.col("event_id").alias("weight"))
+    return maintain(changes, shared_path(t.spark, "roadmap"))
+
+
+@query(f"WITH {CHANGES} SELECT card_id, store_id, category, version, is_active FROM items WHERE placed IS NOT NULL")
+def stream_roadmap_items(t):
+    """Each card that was ever published in a category, with its last place, and whether it is still shown there."""
+    return roadmap(t).keys().select(F.col("key").alias("card_id"), "grp.store_id", "grp.category", F.col("weight").alias("version"), F.col("holds").alias("is_active"))
+
+
+@query(f"""WITH {CHANGES} SELECT g.store_id, g.category, row_number() OVER (PARTITION BY g.store_id ORDER BY g.began) AS stage_order, count(i.card_id) AS n_items, count(i.card_id) > 0 AS is_active, coalesce(sum(i.version), 0)::BIGINT AS versions
+FROM (SELECT store_id, category, min(moment) AS began FROM c WHERE category IS NOT NULL GROUP BY ALL) g LEFT JOIN items i ON i.store_id = g.store_id AND i.category = g.category AND i.is_active GROUP BY g.store_id, g.category, g.began""")
+def stream_roadmap(t):
+    """The stages of each store's roadmap, in the order in which its categories were first used (one row a category in the window); a stage whose cards have all gone stays, inactive. `versions` sums the versions shown."""
+    order = F.row_number().over(Window.partitionBy("grp.store_id").orderBy("first")).cast("long")
+    return roadmap(t).groups().select("grp.store_id", "grp.category", order.alias("stage_order"), F.col("n").alias("n_items"), (F.col("n") > 0).alias("is_active"), F.col("weight").alias("versions"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id * 4 + device AS subscription_id, event_id, epoch_us(ts) AS now, CASE WHEN event_type <> 'signup' THEN user_id * 10 + event_id % 10 END AS notification,
+ CASE (event_id + device) % 7 WHEN 0 THEN 410 WHEN 1 THEN 500 WHEN 2 THEN 404 ELSE 201 END AS answer FROM events, unnest(range(user_id % 4)) AS d(device)),
+r AS (SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY now, event_id) AS n FROM e),
+s AS (SELECT DISTINCT subscription_id, 0::BIGINT AS n, 0::BIGINT AS event_id, 0::BIGINT AS now, NULL::BIGINT AS notification, '' AS said, false AS sent, true AS enabled, []::BIGINT[] AS got FROM r UNION ALL
+SELECT subscription_id, n, event_id, now, notification, said, sent, CASE WHEN said = 'JOINED' THEN true WHEN said = 'FAILED' AND answer IN (404, 410) THEN false ELSE enabled END, CASE WHEN said = 'REQUESTED' AND sent THEN list_append(got, notification) ELSE got END FROM
+ (SELECT *, said IN ('REQUESTED', 'FAILED') AND NOT list_contains(got, notification) AS sent FROM (SELECT s.subscription_id, r.n, r.event_id, r.now, r.notification, r.answer, enabled, got,
+   CASE WHEN r.notification IS NULL THEN 'JOINED' WHEN NOT enabled THEN 'OFF' WHEN list_contains(got, r.notification) OR answer < 300 THEN 'REQUESTED' ELSE 'FAILED' END AS said FROM s JOIN r ON r.subscription_id = s.subscription_id AND r.n = s.n + 1))),
+runs AS (SELECT notification, event_id, now, count(*) FILTER (WHERE said <> 'OFF') AS tried, count(*) FILTER (WHERE said = 'REQUESTED') AS got, count(*) FILTER (WHERE sent) AS sends FROM s WHERE n > 0 AND notification IS NOT NULL GROUP BY ALL)
+SELECT notification, CASE WHEN max(tried) = 0 THEN 'PENDING' WHEN arg_max(got, (now, event_id)) FILTER (WHERE tried > 0) > 0 THEN 'REQUESTED' ELSE 'FAILED' END AS status, count(*) AS requests, sum(tried)::BIGINT AS attempts, sum(sends)::BIGINT AS sends FROM runs GROUP BY 1""")
+def stream_delivery(t):
+    """Requests to notify a user go to each of the user's devices; a device that has the message isn't sent it again, one whose subscription is gone takes none until it joins again (signup).
+    Devices, notifications and the service's answers come from user and event ids by rule."""
+    e = events(t.spark, t.sf_dir).filter("user_id % 4 > 0").withColumn("device", F.explode(F.sequence(F.lit(0).cast("long"), F.col("user_id") % 4 - 1)))
+    kind = (F.col("event_id") + F.col("device")) % 7
+    e = e.select(
+        "ts", "event_id", (F.col("user_id") * 4 + F.col("device")).alias("subscription_id"), F.when(F.col("event_type") != "signup", F.col("user_id") * 10 + F.col("event_id") % 10).otherwise(delivery.NONE).alias("notification"),
+        F.when(kind == 0, 410).when(kind == 1, 500).when(kind == 2, 404).otherwise(201).cast("long").alias("answer"),
+    )
+    done = replayed(e, "subscription_id", ["event_id", "notification", "answer"], delivery.STATE, delivery.START, "event_id long, notification long, said string, sent boolean", delivery.deliver)
+    when = t("events").select("event_id", F.col("ts").alias("at"))
+    return delivery.folded(done.join(when, "event_id"))

@@ -48,6 +48,8 @@ class OrderedFold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = None
         for part in rows:
+            if part[self.columns].isna().any(axis=None):
+                raise ValueError("a row in event-time order has a null; give such columns a value of their own")
             come = [tuple(r) for r in part[self.columns].itertuples(index=False, name=None)]
             if come:
                 self.waiting.appendList(come)
@@ -82,7 +84,7 @@ def clock(spark: SparkSession, path: str, rows: list) -> None:
 
 
 def replayed(events: DataFrame, key: str, columns: list[str], state: str, start: tuple, out: str, step: Callable, forget: Callable[[tuple], int | None] = lambda state: None) -> DataFrame:
-    """events: a stream with ts (timestamp), key and columns. Each event in the order of (ts, first of columns) goes through step(state, (microseconds, *columns)).
+    """events: a stream with ts (timestamp), key and columns, none of them null (a null is an error). Each event in the order of (ts, first of columns) goes through step(state, (microseconds, *columns)).
     The result has key and `out`. Run to the end of what is there; state and output are in the shared folder, so a restart goes on where it was."""
     spark, path = events.sparkSession, shared_path(events.sparkSession, "ordered")
     clock(spark, f"{path}-clock", [])

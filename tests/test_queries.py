@@ -23,7 +23,7 @@ def test_stream_matches_batch_twin(spark, con, sf, name):
     assert verify.differs(spark, con, name, sf) == ""
 
 
-@pytest.mark.parametrize("name", ["stream_dedup", "stream_session", "stream_stale", "stream_publish", "stream_leases", "stream_contexts"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_session", "stream_stale", "stream_publish", "stream_leases", "stream_contexts", "stream_delivery", "stream_roadmap", "stream_roadmap_items"])
 def test_stream_does_not_depend_on_files(spark, sf, tmp_path, name):
     """Twelve files in no order of time, so several micro-batches, and each event delivered once."""
     spark.read.parquet(f"{sf}/events.parquet").repartition(12, "event_id").write.parquet(f"{tmp_path}/events.parquet")
