@@ -9,7 +9,7 @@ language that needs the fewest normalised phrases wins, ties by name.
 Each automaton has the bytes that its sample holds as symbols, and one symbol for all others, which is a phrase of its own. It is a table of next
 states, where a step that ends a phrase is marked and goes on from the root, so a whole batch of texts is parsed side by
 side, one table look-up for each byte. Texts are parsed in lanes of LANE bytes at once, each from the state in which the one before it ended: lanes that guessed another
-state are parsed again, and those that ROUNDS rounds don't settle are parsed in turn. So counts are those of one greedy parse of the whole text.
+state are parsed again, and when they are few, or after ROUNDS rounds, in turn. So counts are those of one greedy parse of the whole text.
 
 Null text and text without letters: `und`, score 0. Labels that are null are not learned from; with no labelled text
 all is `und`. The score is 1 - (phrases of the best / phrases of the second), or 1 with a single language. Repeated rows are judged each
@@ -33,6 +33,8 @@ MODEL_BYTES = 600_000
 LANE = 512
 #: A parse soon meets one that began elsewhere, so second rounds nearly always settle the lanes.
 ROUNDS = 3
+#: So few lanes are parsed sooner in turn than side by side.
+FEW = 64
 #: Bytes of text parsed together.
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -135,15 +137,13 @@ class Parser:
         grid, begins = grid.reshape(total, LANE), np.concatenate([[True], owner[1:] != owner[:-1]])
         for k in range(len(self.names)):
             entry, left, count = (np.zeros(total, np.int32) for _ in range(3))
-            todo = np.arange(total)
-            for _ in range(ROUNDS):
+            todo, rounds = np.arange(total), 0
+            while len(todo) > FEW and rounds < ROUNDS or not rounds:
                 left[todo], count[todo] = self.side_by_side(k, grid[todo], held[todo], entry[todo])
-                true = np.where(begins, 0, np.roll(left, 1))
+                true, rounds = np.where(begins, 0, np.roll(left, 1)), rounds + 1
                 todo = np.flatnonzero(true != entry)
-                if not len(todo):
-                    break
                 entry[todo] = true[todo]
-            else:
+            if len(todo):
                 self.in_turn(k, grid, held, begins, todo, entry, left, count)
             ends = np.roll(begins, -1)  # a phrase that the end of a text cuts off counts
             np.add.at(found[:, k], owner, count + (ends & (left > 0)))

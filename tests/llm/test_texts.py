@@ -69,10 +69,11 @@ def test_phrases_are_longest_matches():
     assert got[4].tolist() == [0, 0] and got[5].tolist() == [3, 3]
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_phrases_run_on_over_lanes(monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "few"), [(1, 0), (3, 0), (3, 64)])
+def test_phrases_run_on_over_lanes(monkeypatch, rounds, few):
     """Texts of many lanes, some of a period that no parse leaves: as one greedy parse of the whole text."""
     monkeypatch.setattr(language, "ROUNDS", rounds)
+    monkeypatch.setattr(language, "FEW", few)
     rng = np.random.default_rng(7)
     word = lambda n: bytes(rng.choice(list(b"abc"), n).tolist())
     samples = {"x": word(200), "y": b"abcabcabcabcabcabcabcabcab"}
