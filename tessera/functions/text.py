@@ -34,7 +34,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and Hangul syllables."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[^0-9A-Za-z가-힣]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9A-Za-z가-힣]+"), F.lit(0))
 
 
 def stripped(word: Column, endings: tuple[str, ...], least: int) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, tokens
-from ..operators.search import fuse, gate, lexical, postings
+from ..operators.search import fuse, gate, lexical
 from ..operators.vectors import nearest
 from .quality import COSINE
 from .registry import query
@@ -42,7 +42,7 @@ lex AS (SELECT * FROM (SELECT query_id, doc_id, count(*) AS score, row_number()
 def lex(t, k=20):
     terms = tokens(F.lower("text"))
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
-    return lexical(asked, postings(t("documents"), terms), k)
+    return lexical(asked, t("documents").select("doc_id", "text"), terms, k)
 
 
 @query(f"WITH {LEX} SELECT query_id, doc_id, score, rank FROM lex")
