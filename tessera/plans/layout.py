@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from .answers import LINES, lines
+from ..operators.boxes import box_pairs
 from .registry import query
 
 LEAST_CHARS, MOST_SECTIONS = 200, 8
@@ -107,3 +108,22 @@ def missing_tokens(t):
     facts = F.when(kind == 1, F.lit("price 1200")).when(kind == 2, F.concat(size, F.lit(" ml for 12001 or 1.1200"))).otherwise(F.concat(size, F.lit("ml, 1,200")))
     denied = F.when(F.col("p_partkey") % 2 == 1, F.lit("hotwater allowed"))
     return t("part").select(F.col("p_partkey").alias("row"), checks.missing_tokens(cells, crossed, facts, denied).alias("missing"))
+
+
+#: Boxes of a page: a supplier's lines as boxes of days on the way by price.
+BOX_DAYS, BOX_PRICE = 32, 2048
+
+
+@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS page, datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS x0, x0 + 1 + l_quantity AS x1, l_extendedprice AS y0, l_extendedprice + 40 * l_quantity AS y1 FROM lineitem),
+p AS (SELECT a.id AS l, b.id AS r, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common, (a.x1 - a.x0) * (a.y1 - a.y0) AS s, (b.x1 - b.x0) * (b.y1 - b.y0) AS t
+FROM b a JOIN b ON a.page = b.page AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+every AS (SELECT l AS id, common / (s + t - common) AS iou, common / least(s, t) AS inside FROM p UNION ALL SELECT r, common / (s + t - common), common / least(s, t) FROM p)
+SELECT id, count(*) AS overlaps, count(*) FILTER (WHERE inside >= 0.9) AS nested, round(max(iou), 6) AS best_iou FROM every GROUP BY 1""")
+def box_overlaps(t):
+    """For each box that overlaps others of its page: how many, how many of them one inside the other, and the best intersection over union."""
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double")
+    days, price = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    boxes = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("page"), start.alias("x0"), price.alias("y0"), (start + 1 + days).alias("x1"), (price + 40 * days).alias("y1"))
+    pairs = box_pairs(boxes, boxes, BOX_DAYS, BOX_PRICE, same=True)
+    each = pairs.select(F.explode(F.array("left_id", "right_id")).alias("id"), "iou", "inside")
+    return each.groupBy("id").agg(F.count("*").alias("overlaps"), F.count_if(F.col("inside") >= 0.9).alias("nested"), F.round(F.max("iou"), 6).alias("best_iou"))
