@@ -10,9 +10,6 @@ from .quality import COSINE
 from .registry import query
 
 
-SALTS = 16
-
-
 def near(t, k=20):
     e = t("embeddings")
     return nearest(e.filter("vec_id % 100 = 0"), e, k)
@@ -72,17 +69,15 @@ def retrieval_gate(t):
     return gate(b, c)
 
 
-@query(f"""WITH {NEAR}, top AS (SELECT query_id, vec_id, label, round(score, 6) AS score FROM near JOIN embeddings USING (vec_id) WHERE rank <= 3)
-SELECT query_id, vec_id, score, false AS sibling FROM top UNION ALL SELECT DISTINCT t.query_id, e.vec_id, 0.0, true FROM top t JOIN embeddings e USING (label) WHERE NOT EXISTS (SELECT 1 FROM top x WHERE x.query_id = t.query_id AND x.vec_id = e.vec_id)""")
+@query(f"""WITH {NEAR}, top AS (SELECT query_id, label, count(*) AS hits, round(max(score), 6) AS best FROM near JOIN embeddings USING (vec_id) WHERE rank <= 3 GROUP BY 1, 2)
+SELECT query_id, label, best, hits, (SELECT count(*) FROM embeddings e WHERE e.label = top.label) - hits AS siblings FROM top""")
 def sibling_completion(t):
-    """The top three, and their cards' other key blocks with score zero."""
+    """The cards of the top three: their best score, their hits, and how many other key blocks complete them with score zero.
+
+    A card's blocks are the rows of its label, so they aren't repeated for each question; a card may have a third of all blocks, and counts combine first."""
     e = t("embeddings").select("vec_id", "label")
-    top = near(t, 3).join(e, "vec_id").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
-    # a card may have a third of all blocks: its rows are dealt over salts, and each card asked for meets every salt
-    blocks = e.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    asked = top.select("query_id", "label").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    more = asked.join(blocks, ["label", "salt"]).join(top.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
-    return top.select("query_id", "vec_id", "score", F.lit(False).alias("sibling")).unionByName(more.select("query_id", "vec_id", F.lit(0.0).alias("score"), F.lit(True).alias("sibling")))
+    top = near(t, 3).join(e, "vec_id").groupBy("query_id", "label").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("hits"))
+    return top.join(e.groupBy("label").agg(F.count("*").alias("blocks")), "label").select("query_id", "label", "best", "hits", (F.col("blocks") - F.col("hits")).alias("siblings"))
 
 
 @query("""SELECT 'missing' AS problem, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'unexpected', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)

@@ -12,14 +12,36 @@ def file_readers(t):
     return t("pages").select("page_id", files.reader_of(F.col("url")).alias("reader"))
 
 
-@query(r"""SELECT page_id, CAST(ord AS INTEGER) AS ord, kind, text FROM (SELECT page_id, generate_subscripts(m, 1) AS ord, CASE WHEN starts_with(unnest(m), '<h') THEN 'HEADING' ELSE 'PARA' END AS kind, regexp_replace(unnest(m), '<[^>]*>', '', 'g') AS text
-FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?: [^>]*)?>', '', 'g'), '<br ?/?>', ' ', 'g'), '<(?:h[1-6]|p)(?: [^>]*)?>[^<]*') AS m FROM pages))""")
+#: Steps to blocks, for Java's regular expressions and DuckDB's: what is no text goes, inline tags go, cells of a row are joined, and breaks are spaces.
+BLOCK_STEPS = [
+    (r"(?is)<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>", ""),
+    (r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?: [^>]*)?>", ""),
+    (r"(?i)<br ?/?>", " "),
+    (r"(?i)</t[dh]>[ \t\r\n]*<t[dh](?: [^>]*)?>", " | "),
+]
+#: A tag with the text behind it, if there is any.
+BLOCK = r"<[^>]*>[ \t\r\n]*[^< \t\r\n][^<]*"
+
+
+def _sql_steps(text: str) -> str:
+    for pattern, by in BLOCK_STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@query(rf"""SELECT page_id, CAST(ord AS INTEGER) AS ord, CASE WHEN regexp_matches(raw, '(?i)^<h[1-6][ >]') THEN 'HEADING' WHEN regexp_matches(raw, '(?i)^<t[dh][ >]') THEN 'TABLE_ROW' ELSE 'PARA' END AS kind,
+trim(regexp_replace(regexp_replace(raw, '^<[^>]*>', ''), '[ \t\r\n]+', ' ', 'g')) AS text
+FROM (SELECT page_id, generate_subscripts(m, 1) AS ord, unnest(m) AS raw FROM (SELECT page_id, regexp_extract_all({_sql_steps("'<p>' || html")}, '{BLOCK}') AS m FROM pages))""")
 def html_blocks(t):
-    """Headings and paragraphs in page order; inline tags are taken out first, a paragraph ends at the next other tag."""
-    plain = F.regexp_replace(F.regexp_replace("html", "</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?: [^>]*)?>", ""), "<br ?/?>", " ")
-    found = F.regexp_extract_all(plain, F.lit("<(?:h[1-6]|p)(?: [^>]*)?>[^<]*"), F.lit(0))
-    b = t("pages").select("page_id", F.posexplode(found).alias("pos", "raw"))
-    return b.select("page_id", (F.col("pos") + 1).alias("ord"), F.when(F.startswith("raw", F.lit("<h")), "HEADING").otherwise("PARA").alias("kind"), F.regexp_replace("raw", "<[^>]*>", "").alias("text"))
+    """All text of a page in order, a block for each run of text between tags: a heading, a table row (cells joined by a bar) or a paragraph. Inline tags
+    don't end a block; comments, scripts and styles are no text; a null page has no blocks."""
+    plain = F.concat(F.lit("<p>"), "html")
+    for pattern, by in BLOCK_STEPS:
+        plain = F.regexp_replace(plain, pattern, by)
+    b = t("pages").select("page_id", F.posexplode(F.regexp_extract_all(plain, F.lit(BLOCK), F.lit(0))).alias("pos", "raw"))
+    kind = F.when(F.col("raw").rlike("(?i)^<h[1-6][ >]"), "HEADING").when(F.col("raw").rlike("(?i)^<t[dh][ >]"), "TABLE_ROW").otherwise("PARA")
+    text = F.trim(F.regexp_replace(F.regexp_replace("raw", "^<[^>]*>", ""), r"[ \t\r\n]+", " "))
+    return b.select("page_id", (F.col("pos") + 1).alias("ord"), kind.alias("kind"), text.alias("text"))
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS file, role AS who, TIMESTAMP '2026-08-18 00:00:00' + CAST(turn % 1440 AS INTEGER) * INTERVAL 1 MINUTE AS sent, text FROM conversations WHERE trim(text) <> ''""")
