@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as X
 from .operations import DAY, business_date
 from ..operators.quantiles import quantiles
 from .registry import query
@@ -72,7 +73,7 @@ def device_label(t):
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<mail>', 'g'), '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b', '<ip>', 'g') AS text FROM documents WHERE regexp_matches(text, '@|[0-9]\.[0-9]')""")
 def redaction(t):
     d = t("documents").filter(F.col("text").rlike(r"@|[0-9]\.[0-9]"))
-    text = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<mail>"), r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "<ip>")
+    text = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<mail>"), X.whole(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), "<ip>")
     return d.select("doc_id", text.alias("text"))
 
 
