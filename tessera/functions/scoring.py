@@ -1,8 +1,9 @@
-"""What one card says of one fact: subject, value and variant within the clauses of the subject. Small helpers for a row; `operators.scoring` finds which rows."""
+"""What one card says of a fact: subject, value and variant within the clauses of the subject. Small helpers for a row; `operators.scoring` finds which rows."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from . import fixed
 
@@ -55,16 +56,35 @@ def shown(variant: str, said: str) -> bool:
     return any(w in said for w in fixed.VARIANT_WORDS.get(variant.upper(), (variant.lower(),)))
 
 
+def whole_words(value: str | None) -> list[str]:
+    asked = [stem(w) for w in words(value) if w not in fixed.SCORING_STOP_WORDS and not w.isdecimal()]
+    return [w for w in asked if w not in fixed.SCORING_STOP_WORDS and not (len(w) == 1 and w in fixed.SCORING_STOP_LETTERS)]
+
+
 def whole(value: str, said: list[str]) -> bool:
     """Whether each word of the value is there, as it is, as a stem or as the beginning of a longer word."""
-    asked = [stem(w) for w in words(value) if w not in fixed.SCORING_STOP_WORDS and not w.isdecimal()]
-    asked = [w for w in asked if w not in fixed.SCORING_STOP_WORDS and not (len(w) == 1 and w in fixed.SCORING_STOP_LETTERS)]
-    return all(any(x == w or stem(x) == w or (len(w) > 1 and x.startswith(w)) for x in said) for w in asked)
+    return all_begin(whole_words(value), sorted(set(said)))
+
+
+def all_begin(asked: list[str], have: list[str]) -> bool:
+    """have: distinct words in order. A stem is a beginning; a single letter must be a word or a stem."""
+    at = [bisect_left(have, w) for w in asked]
+    return all(i < len(have) and have[i].startswith(w) if len(w) > 1 else any(x == w or stem(x) == w for x in have[i : i + 1] + [w + e for e in fixed.SCORING_ENDINGS if held(have, w + e)]) for i, w in zip(at, asked, strict=True))
+
+
+def held(have: list[str], word: str) -> bool:
+    i = bisect_left(have, word)
+    return i < len(have) and have[i] == word
 
 
 def doubtful(value: str, variant: str | None, text: str, said: list[str], counted: bool) -> bool:
     """Whether something in the text leaves open that it states the value: a denial, a number with another unit, another number with the unit, both variants, words missing."""
-    if DENIED.search(text) or (not counted and not whole(value, said)):
+    return bool(DENIED.search(text)) or unclear(value, variant, text, said, counted)
+
+
+def unclear(value: str, variant: str | None, text: str, said: list[str], counted: bool) -> bool:
+    """The same but for denials."""
+    if not counted and not whole(value, said):
         return True
     for n, unit in BOUND.findall(value):
         if not re.search(rf"(?<![0-9]){re.escape(n)}\s*{re.escape(unit)}(?![A-Za-z])", text, re.IGNORECASE):
@@ -98,3 +118,73 @@ def judge(subject: str, value: str | None, variant: str | None, title: str | Non
         return 1, False, share
     every = f"{title or ''} {content or ''}"
     return (2 if doubtful(value, variant, text, said, bool(wanted)) or DENIED.search(every) else 3), True, share
+
+
+class Card:
+    """A card split into clauses once for all its facts: `judge` gives what the function gives, without the share. Clauses are bits of a number: those that hold a key, those that name a subject."""
+
+    def __init__(self, title: str | None, content: str | None):
+        self.title, self.content = title or "", content or ""
+        self.every = f"{self.title} {self.content}"
+        self.denials: dict[str, bool] = {}
+        self.denied = bool(DENIED.search(self.every))
+        self.parts = CLAUSE.split(self.content)
+        said = [words(p) for p in self.parts]
+        self.lines = [" ".join(s) for s in said]
+        self.line = " ".join(self.lines)
+        # bit 0 is the title, bit i + 1 clause i, the last one the whole content: the words that clauses break at count only there
+        self.whole = 2 << len(self.parts)
+        self.follows = sum(2 << i for i, p in enumerate(self.parts) if i and p.strip() and not re.search(r"\d", p))
+        self.forms: dict[str, int] = {}
+        self.keys: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+        for i, text in enumerate([self.title, *self.parts]):
+            self.add(text, 1 << i)
+        for i, s in enumerate(said):
+            for w in set(s):
+                for x in {w, stem(w)}:
+                    self.forms[x] = self.forms.get(x, 0) | 2 << i
+        self.scopes: dict[str, tuple[int, str, list[str], bool]] = {}
+        self.added = False
+
+    def add(self, text: str, bit: int) -> None:
+        for found, of in ((self.keys, keys(text)), (self.numbers, numbers(text))):
+            for x in of:
+                found[x] = found.get(x, 0) | bit
+
+    def scope(self, subject: str, close: set[str] | None = None) -> tuple[int, str, list[str], bool]:
+        """Clauses and title as bits, their text, its words, and whether it names the subject. close: forms that are the subject but for one letter, if they are known."""
+        if subject not in self.scopes:
+            bits = 0
+            if subject:
+                if subject in self.line:
+                    bits = sum(2 << i for i, x in enumerate(self.lines) if subject in x)
+                for x in [x for x in self.forms if near(subject, x)] if close is None else close:
+                    bits |= self.forms.get(x, 0)
+            bits |= bits << 1 & self.follows
+            kept = [p for i, p in enumerate(self.parts) if bits >> i + 1 & 1]
+            text = f"{self.title} " + " ".join(kept or [self.content])
+            said = words(text)
+            named = bool(kept) or names(subject, said)
+            if named and not kept and not self.added:
+                self.added = True
+                self.add(self.content, self.whole)
+            self.scopes[subject] = (bits if kept else self.whole) | 1, text, said, named
+        return self.scopes[subject]
+
+    def judge(self, asked: str, value: str, variant: str | None, wanted: list[str], want: list[str], close: set[str] | None = None) -> tuple[int, bool]:
+        """asked, wanted, want: words, numbers and keys of the subject and the value. close: as in scope."""
+        bits, text, said, named = self.scope(asked, close)
+        if not named:
+            return 0, False
+        if wanted:
+            held = all(self.numbers.get(n, 0) & bits for n in wanted)
+        else:
+            held = bool(want) and sum(bool(self.keys.get(w, 0) & bits) for w in want) / len(want) >= fixed.VALUE_SHARE
+        if not held:
+            return 1, False
+        if variant and not shown(variant, plain := " ".join(said)):
+            return 1, not any(shown(v, plain) for v in fixed.VARIANT_WORDS)
+        if not self.denied and asked not in self.denials:
+            self.denials[asked] = bool(DENIED.search(text))
+        return (2 if self.denied or self.denials[asked] or unclear(value, variant, text, said, bool(wanted)) else 3), True
