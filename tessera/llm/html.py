@@ -4,8 +4,8 @@ Each page becomes blocks of text in page order, each with a level: 3 inside an a
 for its content, 0 open, below 0 inside a menu, header, footer, sidebar, notice, advert, form or reader comments. Where only a form, a header or a class name
 says so (-1), a main inside still has its level, and an article has 1; a nav, footer, aside and the like (-2) hold for all inside. The pages of a
 host are dealt in shards of SHARD_PAGES pages or fewer. In a shard the pages' token streams are concatenated with a separator of its own after each page and
-their suffixes ordered to depth MIN_TOKENS by prefix doubling; substrings of that length that occur on PAGE_SHARE of the pages (MIN_PAGES at least)
-cover boilerplate. A page with blocks above level 0 keeps those of its highest level; any other page keeps its open blocks
+their suffixes ordered to depth MIN_TOKENS by prefix doubling; substrings of that length that occur on PAGE_SHARE of the host's pages (MIN_PAGES at least)
+cover boilerplate. For a host of several shards their counts are summed over all its shards first, and those that the sums of some shards leave open are counted in the others too. A page with blocks above level 0 keeps those of its highest level; any other page keeps its open blocks
 that hold a token that isn't covered. Coverage alone would take away articles that several pages of a host carry.
 
 Null html: empty text. Null url: a host of its own, named ''. A page without main text has the empty string. Repeated rows give repeated rows.
@@ -35,6 +35,8 @@ TASK_PAGES = 4000
 MIN_TOKENS = 8
 MIN_PAGES = 3
 PAGE_SHARE = 0.3
+#: From this share of a shard's pages on, a substring is counted at once. What enough pages of a host have, at least one shard has so often.
+SHARD_SHARE = 0.15
 
 OUT_TAGS = frozenset("nav footer aside menu dialog button select textarea label datalist".split())
 SOFT_TAGS = frozenset("form header".split())
@@ -200,12 +202,9 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
     return found
 
 
-def covered(streams: list[np.ndarray], pages: int) -> list[np.ndarray]:
-    """For each page's token ids, which tokens lie in a substring of MIN_TOKENS tokens that enough pages have."""
-    out = [np.zeros(len(s), bool) for s in streams]
+def suffix_ranks(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The streams in a row, each with an end of its own: the rank of each suffix by its first MIN_TOKENS tokens, where streams start, their lengths with that end, and on how many streams each rank is."""
     lengths = np.array([len(s) + 1 for s in streams])
-    if not len(streams):
-        return out
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = int(lengths.sum())
     top = max((int(s.max()) for s in streams if len(s)), default=0) + 1
@@ -225,23 +224,64 @@ def covered(streams: list[np.ndarray], pages: int) -> list[np.ndarray]:
     suffixes = np.argsort(rank, kind="stable")
     ordered, owner = rank[suffixes], page[suffixes]
     new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])])
-    spread = np.bincount(ordered[new], minlength=total)
-    often = spread[rank] >= max(MIN_PAGES, math.ceil(PAGE_SHARE * pages))
-    edge = np.zeros(total + MIN_TOKENS + 1, np.int64)
+    return rank, starts, lengths, np.bincount(ordered[new], minlength=total)
+
+
+def enough(pages: int) -> int:
+    return max(MIN_PAGES, math.ceil(PAGE_SHARE * pages))
+
+
+def within(often: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a substring of MIN_TOKENS tokens that begins where it is often."""
+    edge = np.zeros(len(often) + MIN_TOKENS + 1, np.int64)
     np.add.at(edge, np.nonzero(often)[0], 1)
     np.add.at(edge, np.nonzero(often)[0] + MIN_TOKENS, -1)
-    inside = np.cumsum(edge)[:total] > 0
-    for i, at in enumerate(starts):
-        out[i] = inside[at : at + lengths[i] - 1]
-    return out
+    inside = np.cumsum(edge)[: len(often)] > 0
+    return [inside[at : at + n - 1] for at, n in zip(starts, lengths, strict=True)]
 
 
-def main_texts(pages: list[tuple[list[str], list[int]]]) -> list[str]:
-    """The main text of each page of a shard: its blocks' texts and levels."""
+def covered(streams: list[np.ndarray], pages: int) -> list[np.ndarray]:
+    """For each page's token ids, which tokens lie in a substring of MIN_TOKENS tokens that enough pages have."""
+    if not len(streams):
+        return []
+    rank, starts, lengths, spread = suffix_ranks(streams)
+    return within(spread[rank] >= enough(pages), starts, lengths)
+
+
+def streams_of(pages: list[list[str]], grams: list[str]) -> list[np.ndarray]:
+    """Token ids of pages (their blocks), then of substrings, each a stream."""
     ids: dict[str, int] = {}
-    number = lambda w: ids.setdefault(w, len(ids))
+    return [np.array([ids.setdefault(w, len(ids)) for t in texts for w in t.split(" ")], np.int64) for texts in [*pages, *([g] for g in grams)]]
+
+
+def frequent_here(pages: list[list[str]]) -> dict[str, int]:
+    """The substrings of MIN_TOKENS tokens on SHARD_SHARE of a shard's pages or more, with the number of pages."""
+    rank, starts, lengths, spread = suffix_ranks(streams_of(pages, []))
+    often = spread[rank] >= math.ceil(SHARD_SHARE * len(pages) - 1e-9)
+    words = [[w for t in texts for w in t.split(" ")] for texts in pages]
+    found: dict[int, str] = {}
+    for page, at in zip(words, starts.tolist(), strict=True):
+        for i in np.nonzero(often[at : at + max(0, len(page) - MIN_TOKENS + 1)])[0].tolist():
+            if rank[at + i] not in found:
+                found[rank[at + i]] = " ".join(page[i : i + MIN_TOKENS])
+    return {gram: int(spread[r]) for r, gram in found.items()}
+
+
+def pages_with(pages: list[list[str]], grams: list[str]) -> list[int]:
+    """How many of the pages have each substring."""
+    rank, starts, _, spread = suffix_ranks(streams_of(pages, grams))
+    return (spread[rank[starts[len(pages) :]]] - 1).tolist()
+
+
+def main_texts(pages: list[tuple[list[str], list[int]]], often: list[str] | None = None) -> list[str]:
+    """The main text of each page of a shard: its blocks' texts and levels. Substrings that are often on the host are given, or counted where the shard is the host."""
     words = [[t.split(" ") for t in texts] for texts, _ in pages]
-    cover = covered([np.array([number(w) for b in page for w in b], np.int64) for page in words], len(pages))
+    streams = streams_of([texts for texts, _ in pages], often or [])
+    if often is None:
+        cover = covered(streams, len(pages))
+    else:
+        rank, starts, lengths, _ = suffix_ranks(streams)
+        cover = within(np.isin(rank, rank[starts[len(pages) :]]), starts, lengths)[: len(pages)]
     out = []
     for (texts, levels), page, hit in zip(pages, words, cover, strict=True):
         best = max(levels, default=-1)
@@ -261,23 +301,62 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     named = named.withColumn("row", F.xxhash64("page_id", "url", "html"))  # page_id may be null or repeated
     hosts = materialise(named.groupBy("host").agg(F.count("*").alias("pages")), "html-hosts")
     large = hosts.filter(F.col("pages") > shard_pages).select("host", F.ceil(F.col("pages") / (0.75 * shard_pages)).cast("int").alias("parts"))
-    tasks = math.ceil((hosts.agg(F.sum("pages")).first()[0] or 0) / TASK_PAGES)
     kind = pages.schema["url"].dataType.simpleString()
+    shuffled = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def parse(batches):
         for b in batches:
             found = [blocks_of(x) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("row"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[v for _, v in f] for f in found], pa.list_(pa.int8()))], ["page_id", "url", "host", "row", "texts", "levels"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("shard"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[v for _, v in f] for f in found], pa.list_(pa.int8()))], ["page_id", "url", "host", "shard", "texts", "levels"])
 
-    blocks = named.mapInArrow(parse, f"page_id long, url {kind}, host string, row long, texts array<string>, levels array<tinyint>")
-    dealt = blocks.join(large, "host", "left").withColumn("shard", F.coalesce(F.pmod("row", F.col("parts")), F.lit(0)).cast("int")).drop("parts", "row")
+    def dealt(rows: DataFrame, of: DataFrame) -> DataFrame:
+        """Blocks of the pages, by shard."""
+        tasks = math.ceil((of.agg(F.sum("pages")).first()[0] or 0) / TASK_PAGES)
+        blocks = rows.select("page_id", "url", "html", "host", "shard").mapInArrow(parse, f"page_id long, url {kind}, host string, shard int, texts array<string>, levels array<tinyint>")
+        return blocks.repartition(max(tasks, shuffled), "host", "shard")
 
-    def judge(shard: pa.Table) -> pa.Table:
-        texts = main_texts(list(zip(shard.column("texts").to_pylist(), shard.column("levels").to_pylist(), strict=True)))
+    def result(shard: pa.Table, often: list[str] | None) -> pa.Table:
+        texts = main_texts(list(zip(shard.column("texts").to_pylist(), shard.column("levels").to_pylist(), strict=True)), often)
         return pa.table({"page_id": shard.column("page_id"), "url": shard.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    dealt = dealt.repartition(max(tasks, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "host", "shard")
-    return dealt.groupBy("host", "shard").applyInArrow(judge, f"page_id long, url {kind}, text string, n_chars long")
+    def judge(shard: pa.Table) -> pa.Table:
+        return result(shard, None)
+
+    def judge_by(shard: pa.Table, often: pa.Table) -> pa.Table:
+        return result(shard, often.column("gram").to_pylist()) if shard.num_rows else out_schema.empty_table()
+
+    def propose(shard: pa.Table) -> pa.Table:
+        found = frequent_here(shard.column("texts").to_pylist())
+        whole = lambda x: pa.array([x] * len(found), pa.int64())
+        return pa.table({"host": pa.array([shard.column("host")[0].as_py()] * len(found), pa.string()), "gram": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64()), "seen": whole(shard.num_rows)})
+
+    def count(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        grams = asked.column("gram").to_pylist() if shard.num_rows else []
+        n = pages_with(shard.column("texts").to_pylist(), grams) if grams else []
+        return pa.table({"host": pa.array([shard.column("host")[0].as_py()] * len(grams) if grams else [], pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(n, pa.int64())})
+
+    out = f"page_id long, url {kind}, text string, n_chars long"
+    out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    if large.isEmpty():
+        return dealt(named.withColumn("shard", F.lit(0)), hosts).groupBy("host", "shard").applyInArrow(judge, out)
+    few = dealt(named.join(large, "host", "left_anti").withColumn("shard", F.lit(0)), hosts).groupBy("host", "shard").applyInArrow(judge, out)
+    shards = named.join(large, "host").withColumn("shard", F.pmod("row", F.col("parts")).cast("int"))
+    each = large.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("shard"))
+    of = hosts.join(large, "host", "left_semi")
+    proposed = dealt(shards, of).groupBy("host", "shard").applyInArrow(propose, "host string, gram string, n long, seen long")
+    known = proposed.groupBy("host", "gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).join(hosts, "host")
+    least = F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(PAGE_SHARE) * F.col("pages")))
+    # shards that didn't name a substring have it on less than SHARD_SHARE of their pages
+    most = F.col("n") + F.ceil(F.lit(SHARD_SHARE) * (F.col("pages") - F.col("seen")))
+    known = materialise(known.filter(most >= least).select("host", "gram", (F.col("n") >= least).alias("sure")), "html-known")
+    often, asked = known.filter("sure").select("host", "gram"), known.filter("NOT sure").select("host", "gram")
+    if not asked.isEmpty():  # counted on all pages of their hosts
+        again = shards.join(asked.select("host").distinct(), "host", "left_semi")
+        counted = dealt(again, of).groupBy("host", "shard").cogroup(asked.join(each, "host").groupBy("host", "shard")).applyInArrow(count, "host string, gram string, n long")
+        counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(hosts, "host").filter(F.col("n") >= least).select("host", "gram")
+        often = often.unionByName(materialise(counted, "html-counted"))
+    many = dealt(shards, of).groupBy("host", "shard").cogroup(often.join(each, "host").groupBy("host", "shard")).applyInArrow(judge_by, out)
+    return few.unionByName(many)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

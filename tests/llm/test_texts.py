@@ -365,3 +365,16 @@ def test_mixing_of_texts_that_share_a_doc_id(spark):
     assert sorted((str((r.doc_id, r.size, r.taken)) for r in mixing.allocate(d).collect())) == sorted(str((w[0], w[1], w[4])) for w in simulated(rows))
     texts = [r.text for r in mixing.mix(d).collect()]
     assert {t[0] for t in texts} == {"a", "b", "c", "d", "e"} and sum(len(t.split()) for t in texts) == math.floor(1.5 * 15 + 0.5)
+
+
+@pytest.mark.parametrize("shard_share", [html.SHARD_SHARE, html.PAGE_SHARE])
+def test_coverage_counts_all_pages_of_a_host(spark, monkeypatch, shard_share):
+    """Shares and thresholds are of the host, not of one of its shards: some sentences are on just under, others on just enough of the pages."""
+    monkeypatch.setattr(html, "SHARD_SHARE", shard_share)
+    said = lambda k: " ".join(f"s{k}w{j}" for j in range(9))
+    shares = [20, 28, 29, 30, 31, 35, 60]
+    rows = [(i, "http://a.example/x", "".join(f"<p>{said(k)}</p>" for k, share in enumerate(shares) if (i * 37 + k * 11) % 100 < share) + f"<p>only {i}</p>") for i in range(100)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(d, shard_pages=12).collect()}
+    assert got == {i: "\n".join([said(k) for k, share in enumerate(shares) if share < 30 and (i * 37 + k * 11) % 100 < share] + [f"only {i}"]) for i in range(100)}
+    assert got == {r.page_id: r.text for r in html.extract(d, shard_pages=1000).collect()}
