@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, fixed
 from ..functions.text import lexical_terms
+from ..sources.shared import in_tasks
 from .registry import query
 
 LINES = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS place FROM lineitem)
@@ -18,7 +19,7 @@ def placed(lineitem):
 
 
 def lines(t):
-    return placed(t("lineitem"))
+    return placed(in_tasks(t("lineitem"), "l_orderkey"))
 
 
 @query(LINES + """, f AS (SELECT l.*, p.p_partkey AS fact, p.p_size AS ord, CASE WHEN p.p_partkey % 5 = 0 THEN p.p_partkey - 1 END AS requires FROM l LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 2)
@@ -32,7 +33,7 @@ def answer_references(t):
     twice, a prerequisite that is missing or comes later. Citations and requirements of a fact meet in one grouping, so all but the join with the facts shares one
     shuffle by answer."""
     p = t("part").filter("p_size > 2").select("p_partkey", F.col("p_partkey").alias("fact"), F.col("p_size").alias("ord"))
-    f = placed(t("lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"), "left"))
+    f = placed(in_tasks(t("lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"), "left"), "l_orderkey", t("lineitem")))
     f = f.select(F.col("l_orderkey").alias("answer"), "place", "fact", F.struct("ord", "fact").alias("key"), (F.col("l_suppkey") % 3).alias("block"))
     before = Window.partitionBy("answer", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("swapped", F.coalesce(F.max("key").over(before) > F.col("key"), F.lit(False)))

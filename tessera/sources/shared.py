@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task, on average, where all rows of a key meet.
+TASK_ROWS = 500_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; where that is unset, below a temp folder, in local mode only."""
@@ -19,6 +23,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def in_tasks(df: DataFrame, keys: str | list[str], counted: DataFrame | None = None) -> DataFrame:
+    """df dealt by keys, TASK_ROWS rows a task on average or fewer, so that what a task sorts or groups doesn't grow with the table. The rows are those of df, or of a table that has as many."""
+    keys = [keys] if isinstance(keys, str) else keys
+    tasks = math.ceil((df if counted is None else counted).count() / TASK_ROWS)
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def with_checkpoints(df: DataFrame) -> DataFrame:
     """df, in a session that has a checkpoint folder: the configured one, or one of its own where none is set."""
     spark = df.sparkSession
