@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators.vectors import nearest
 from ..operators.quantiles import quantiles
+from ..sources.shared import in_tasks
 from .registry import query
 
 PREDICTED = "CASE WHEN n_chars >= 1500 THEN 1 ELSE 0 END"
@@ -71,7 +72,7 @@ def stability_transitions(t):
 SELECT l_partkey, l_suppkey, votes, representative, count(*) OVER (PARTITION BY l_partkey) > 1 AS contested FROM k WHERE votes >= 3""")
 def consensus_vote(t):
     """Values of a part that a quorum of three runs agrees on; contested if more than one does."""
-    k = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("votes"), F.min("l_orderkey").alias("representative")).filter("votes >= 3")
+    k = in_tasks(t("lineitem"), ["l_partkey", "l_suppkey"]).groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("votes"), F.min("l_orderkey").alias("representative")).filter("votes >= 3")
     return k.withColumn("contested", F.count("*").over(Window.partitionBy("l_partkey")) > 1)
 
 
